@@ -62,9 +62,16 @@ def duck_rows(con, sql):
     return [cols[i] for i in order], rows
 
 
+TIMES = {}
+
+
 def compare(spark_df, con, sql):
+    import time
+    t0 = time.time()
     scols, srows = spark_rows(spark_df)
+    t1 = time.time()
     dcols, drows = duck_rows(con, sql)
+    TIMES["spark"], TIMES["duck"] = t1 - t0, time.time() - t1
     problems = []
     if scols != dcols:
         problems.append(f"columns differ: spark={scols} duck={dcols}")
