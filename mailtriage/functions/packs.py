@@ -239,3 +239,19 @@ def pack_rows(pack: str = DEFAULT_PACK) -> list[dict]:
                          "reason": REASON_PREFIX[layer] + rid,
                          "pattern": pattern, "pattern2": pattern2})
     return rows
+
+# ---------------------------------------------------------------------------
+# Four-class labeling outcomes (class, in training, target, reason)
+# ---------------------------------------------------------------------------
+LABEL_OUTCOMES = {
+    "tx_in_trash": ("archival_after_handled", False, None, "trash+transactional ({rule}) — user cleanup, exclude"),
+    "tx": ("transactional_keep", True, "keep", "transactional ({rule})"),
+    "read_later_in_trash": ("deletable_now", True, "spam", "read_later + trash → treat as spam signal"),
+    "read_later": ("read_later", False, None, "tematic newsletter — user reads selectively"),
+    "spam": ("deletable_now", True, "spam", "trash-derived spam"),
+    "default_keep": ("deletable_now", True, "keep", "default keep"),
+}
+# Sources that carry an explicit human or curated signal (training eligibility).
+HUMAN_SOURCES = ["user_restore", "user_confirm"]
+CURATED_PREFIX = "bootstrap_"
+RECOVERY_DAYS = 30

@@ -151,9 +151,9 @@ def transactional_rules(df: DataFrame, pack: str = DEFAULT_PACK, out: str = "tx_
                         sender: str = "sender", domain: str = "sender_domain",
                         subject: str = "subject") -> DataFrame:
     """Rule id of the first keep rule (combo, domain, subject); inputs not normalised, null -> ''."""
-    return (apply_rules(df, pack, sender, domain, subject, out="_tx", normalize=False,
+    return (apply_rules(df, pack, sender, domain, subject, out="_txhit", normalize=False,
                         layers=("combo", "keep_domain", "keep_subject"))
-            .withColumn(out, F.col("_tx.rule_id")).drop("_tx"))
+            .withColumn(out, F.col("_txhit.rule_id")).drop("_txhit"))
 
 
 @functools.lru_cache(maxsize=16)
@@ -201,10 +201,11 @@ def first_hit_table(emails: DataFrame, rules: DataFrame, id_col: str = "id") ->
     r = rules.select("layer", "layer_no", "ord", "decision", "rule_id", "reason",
                      F.concat(F.lit("(?iUd)"), "pattern").alias("p1"),
                      F.concat(F.lit("(?iUd)"), "pattern2").alias("p2"))
-    cond = (F.when(F.col("layer") == "combo", F.col("_s").rlike(F.col("p1")) & F.col("_t").rlike(F.col("p2")))
-            .when(F.col("layer") == "keep_domain", F.col("_d").rlike(F.col("p1")) | F.col("_s").rlike(F.col("p1")))
-            .when(F.col("layer") == "keep_subject", F.col("_t").rlike(F.col("p1")))
-            .otherwise(F.col("_d").rlike(F.col("p1"))))
+    rl = lambda c, p: F.regexp_like(F.col(c), F.col(p))
+    cond = (F.when(F.col("layer") == "combo", rl("_s", "p1") & rl("_t", "p2"))
+            .when(F.col("layer") == "keep_domain", rl("_d", "p1") | rl("_s", "p1"))
+            .when(F.col("layer") == "keep_subject", rl("_t", "p1"))
+            .otherwise(rl("_d", "p1")))
     hits = (m.join(F.broadcast(r), cond, "inner")
             .groupBy("_id")
             .agg(F.min_by(F.struct("decision", "rule_id", "reason"),

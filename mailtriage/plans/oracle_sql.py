@@ -55,6 +55,7 @@ def _conditions(pack: str, layer: str, s: str, d: str, t: str):
 def first_hit_case(value: str, pack: str = DEFAULT_PACK, s: str = "s", d: str = "d", t: str = "t",
                    layers=LAYERS) -> str:
     """CASE chain giving, for the first rule that fires, ``rule_id`` / ``decision`` / ``reason``."""
+    layers = tuple(layers)
     whens = []
     for layer in layers:
         for cond, rid in _conditions(pack, layer, s, d, t):
