@@ -88,10 +88,10 @@ def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_emails(spark, sf_dir).select("id", "received_at")
-    n = F.col("id").cast("bigint")
+    n = F.col("id").try_cast("bigint")
     return r.select(
         F.col("id").alias("email_id"),
-        F.expr("""CASE CAST(id AS BIGINT) * 37 % 10 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'keep'
+        F.expr("""CASE TRY_CAST(id AS BIGINT) * 37 % 10 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'keep'
                  WHEN 2 THEN 'keep' ELSE 'spam' END""").alias("decision"),
         ((n * 37 % 101).cast("double") / 100).alias("confidence"),
         F.when(n % 3 == 0, F.lit("v2")).otherwise(F.lit("v1")).alias("model_version"),
@@ -103,14 +103,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(spark, sf_dir)
     return d.filter((F.col("decision") == "spam") & F.col("executed")
-                    & (F.col("email_id").cast("bigint") % 7 != 0)).select(
-        F.col("email_id").cast("int").alias("id"), "email_id",
+                    & (F.col("email_id").try_cast("bigint") % 7 != 0)).select(
+        F.col("email_id").try_cast("int").alias("id"), "email_id",
         F.lit("auto_trash").alias("action"), F.col("decided_at").alias("performed_at"))
 
 
 def raw_emails_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_emails(spark, sf_dir)
-    n = F.col("id").cast("bigint")
+    n = F.col("id").try_cast("bigint")
     return r.unionAll(r.filter(n % 50 == 0)).unionAll(
         r.filter(n % 41 == 0).select(
             F.concat(F.lit("n"), "id").alias("id"), "thread_id", F.lit(None).cast("string").alias("sender"),
@@ -126,7 +126,7 @@ def raw_emails_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw provider JSON, one message per row (``value``), as a message feed would hold it."""
     r = raw_emails(spark, sf_dir)
-    n = F.col("id").cast("bigint")
+    n = F.col("id").try_cast("bigint")
     headers = F.array(
         F.struct(F.lit("Date").alias("name"), F.lit("x").alias("value")),
         F.struct(F.when(n % 2 == 0, F.lit("FROM")).otherwise(F.lit("From")).alias("name"),
@@ -174,7 +174,7 @@ SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, ts AS changed_at,
  CASE event_type WHEN 'signup' THEN ['INBOX','UNREAD'] WHEN 'view' THEN ['INBOX'] WHEN 'click' THEN ['CATEGORY_UPDATES'] WHEN 'purchase' THEN ['INBOX','STARRED'] ELSE ['TRASH'] END AS labels FROM events
 """, ()),
     "decisions": ("""
-SELECT id AS email_id, CASE CAST(id AS BIGINT) * 37 % 10 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'keep' WHEN 2 THEN 'keep' ELSE 'spam' END AS decision,
+SELECT id AS email_id, CASE TRY_CAST(id AS BIGINT) * 37 % 10 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'keep' WHEN 2 THEN 'keep' ELSE 'spam' END AS decision,
  CAST(CAST(id AS BIGINT) * 37 % 101 AS DOUBLE) / 100 AS confidence, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'v2' ELSE 'v1' END AS model_version,
  CAST(id AS BIGINT) % 4 <> 0 AS executed, received_at + INTERVAL 1 DAY AS decided_at FROM raw_emails
 """, ("raw_emails",)),
