@@ -1,13 +1,278 @@
-"""Model training, scoring and evaluation."""
+"""Model training, scoring and evaluation.
+
+Training reads the labeled mail (a human-sized table), so the assembled
+training matrix is persisted once and reused by both model kinds. Scoring
+is a Spark ML ``transform`` over the feature vectors of any number of mails.
+
+Label order: keep = 0, spam = 1; ``p_spam`` is the probability of class 1.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as _dt
+import json
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packs import UNCERTAIN_BAND
+from ..session import AS_OF
+from . import features as FE
+
+KINDS = ("logistic", "gbm")
+LABELS = ("keep", "spam")
+C = 1.0
 
 
 def uncertain_band(df: DataFrame, p_col: str = "p_spam", band=UNCERTAIN_BAND) -> DataFrame:
     """Rows with lo < p < hi (both open): candidates for a second opinion."""
     lo, hi = band
     return df.filter((F.col(p_col) > lo) & (F.col(p_col) < hi))
+
+
+# M10-M12 ---------------------------------------------------------------------
+def build_classifier(kind: str, n_train: int):
+    """M10 / M11; M12: any other kind is refused before a job runs."""
+    if kind == "logistic":
+        from pyspark.ml.classification import LogisticRegression
+        # scikit-learn's liblinear objective C * sum(w_i loss_i) + |b|^2 / 2, divided by
+        # C * sum(w_i) (= C * n with balanced weights), is Spark's
+        # mean weighted loss + regParam / 2 * |b|^2 with regParam = 1 / (C * n).
+        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                  regParam=1.0 / (C * max(n_train, 1)), elasticNetParam=0.0,
+                                  standardization=False, maxIter=2000, tol=1e-4)
+    if kind == "gbm":
+        from pyspark.ml.classification import GBTClassifier
+        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=300, maxDepth=3,
+                             stepSize=0.05, seed=42)
+    raise ValueError(f"Unknown kind: {kind}")
+
+
+def with_label_and_weight(df: DataFrame, label_col: str = "user_label") -> DataFrame:
+    """label (spam = 1) and balanced class weight n / (2 * n_class); the two class counts
+    are one small aggregate."""
+    counts = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    w = {k: n / (2.0 * v) for k, v in counts.items() if v}
+    weight = F.lit(1.0)
+    for k, v in w.items():
+        weight = F.when(F.col(label_col) == k, F.lit(v)).otherwise(weight)
+    return df.withColumn("label", (F.col(label_col) == "spam").cast("double")).withColumn("weight", weight)
+
+
+@dataclass
+class TrainedModel:
+    kind: str
+    version: str
+    features: FE.FeatureModel
+    classifier: object
+    metrics: dict = field(default_factory=dict)
+
+
+def p_spam_col() -> F.Column:
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col("probability")).getItem(1)
+
+
+def predict(tm: TrainedModel, assembled: DataFrame) -> DataFrame:
+    """Adds ``p_spam`` and ``predicted`` (spam / keep) to assembled rows."""
+    out = tm.classifier.transform(assembled)
+    return (out.withColumn("p_spam", p_spam_col())
+            .withColumn("predicted", F.when(F.col("prediction") == 1.0, F.lit("spam")).otherwise(F.lit("keep")))
+            .drop("rawPrediction", "probability", "prediction"))
+
+
+# M14 -------------------------------------------------------------------------
+def score(tm: TrainedModel, emails: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame:
+    """(id, p_spam, model_version) for every mail, features as at training."""
+    fm = tm.features
+    feats = FE.build_features(emails.select("id", "sender_domain", "subject", "snippet", "received_at"),
+                              as_of or fm.as_of)
+    out = predict(tm, FE.assemble(feats, fm))
+    return out.select("id", "p_spam", F.lit(tm.version).alias("model_version"))
+
+
+def scorer(tm: TrainedModel, as_of: _dt.datetime = AS_OF):
+    """Scoring step for ``plans.triage.triage``: (routed, scanned) -> routed + p_spam, model_version.
+
+    Features are computed from the scanned mail, not from the routed frame, so
+    the rule expression is evaluated once; the scores join back on the id.
+    """
+    def run(routed: DataFrame, scanned: DataFrame) -> DataFrame:
+        s = score(tm, scanned, as_of)
+        return routed.join(s, "id", "left")
+    return run
+
+
+# G6-G9 -----------------------------------------------------------------------
+def class_distribution(df: DataFrame, label_col: str = "user_label") -> DataFrame:
+    """Rows per class."""
+    return df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def confusion_matrix(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """rows = actual, columns = predicted, order keep, spam, zeros shown."""
+    cells = pred.groupBy(actual).agg(*[F.count_if(F.col(predicted) == lab).alias(lab) for lab in LABELS])
+    both = pred.sparkSession.createDataFrame([(lab,) for lab in LABELS], f"{actual} string")
+    return both.join(cells, actual, "left").select(actual, *[F.coalesce(F.col(lab), F.lit(0)).alias(lab)
+                                                             for lab in LABELS])
+
+
+def _safe_div(a, b):
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def precision_recall_f1(pred: DataFrame, actual: str = "actual", predicted: str = "predicted",
+                        positive: str = "spam") -> DataFrame:
+    """Binary precision, recall, F1 of ``positive`` (0 on an empty denominator)."""
+    a, p = F.col(actual) == positive, F.col(predicted) == positive
+    c = pred.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"))
+    prec = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    rec = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = _safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return c.select(F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def classification_report(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """Per class precision / recall / F1 / support, then accuracy, macro and weighted means."""
+    aggs = []
+    for lab in LABELS:
+        a, p = F.col(actual) == lab, F.col(predicted) == lab
+        aggs += [F.count_if(a & p).alias(f"{lab}_tp"), F.count_if(p).alias(f"{lab}_pp"),
+                 F.count_if(a).alias(f"{lab}_sup")]
+    c = pred.agg(*aggs, F.count_if(F.col(actual) == F.col(predicted)).alias("correct"), F.count(F.lit(1)).alias("n"))
+    rows = []
+    for lab in LABELS:
+        tp, pp, sup = F.col(f"{lab}_tp"), F.col(f"{lab}_pp"), F.col(f"{lab}_sup")
+        pr, rc = _safe_div(tp, pp), _safe_div(tp, sup)
+        rows.append(F.struct(F.lit(lab).alias("cls"), pr.alias("precision"), rc.alias("recall"),
+                             _safe_div(2 * pr * rc, pr + rc).alias("f1"), sup.cast("double").alias("support")))
+    acc = _safe_div(F.col("correct"), F.col("n"))
+    n = F.col("n").cast("double")
+    per = c.select(F.explode(F.array(*rows)).alias("r"), acc.alias("acc"), n.alias("n")).select("r.*", "acc", "n")
+    macro = per.agg(F.lit("macro avg").alias("cls"), F.avg("precision").alias("precision"),
+                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support"))
+    wavg = lambda c_: _safe_div(F.sum(F.col(c_) * F.col("support")), F.sum("support"))
+    weighted = per.agg(F.lit("weighted avg").alias("cls"), wavg("precision").alias("precision"),
+                       wavg("recall").alias("recall"), wavg("f1").alias("f1"), F.sum("support").alias("support"))
+    accuracy = per.agg(F.lit("accuracy").alias("cls"), F.first("acc").alias("precision"),
+                       F.first("acc").alias("recall"), F.first("acc").alias("f1"), F.first("n").alias("support"))
+    out = per.select("cls", "precision", "recall", "f1", "support").unionByName(accuracy) \
+        .unionByName(macro).unionByName(weighted)
+    return out.select("cls", *[F.round(c_, 6).alias(c_) for c_ in ("precision", "recall", "f1", "support")])
+
+
+# M13 / M15 -------------------------------------------------------------------
+ROWS_PER_PARTITION = 200_000
+
+
+def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Partitions sized by row count: iterative training runs one job per iteration, so a
+    small training set in many tiny partitions pays task overhead thousands of times."""
+    n = df.count()
+    parts = max(1, -(-n // rows_per_partition))
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df.repartition(parts)
+
+def select_best(results: list[tuple[str, dict]]) -> int:
+    """Index of the highest F1; the first wins a tie (bounded: one entry per kind)."""
+    best = 0
+    for i, (_, m) in enumerate(results):
+        if m["f1"] > results[best][1]["f1"]:
+            best = i
+    return best
+
+
+@dataclass
+class TrainResult:
+    best: TrainedModel
+    models: list[TrainedModel]
+    reports: dict
+    uncertain: DataFrame
+    test_predictions: DataFrame
+
+
+def training_rows(emails: DataFrame, feedback: DataFrame, legacy: bool = False, pack: str = "web") -> DataFrame:
+    """S10 / J1 + R21: labeled mail; by default only explicit human signals and curated
+    bootstrap labels, and not the classes R15 excludes (``legacy`` = every feedback row)."""
+    from ..sources.ingest import load_training_rows
+    rows = load_training_rows(emails, feedback.select("email_id", "user_label", "source"))
+    if legacy:
+        return rows
+    from . import labeling as L
+    src = feedback.select(F.col("email_id").alias("id"), "source")
+    lab = L.derive_label(rows.join(src, "id"), pack)
+    return lab.filter(L.training_eligible(F.col("source"), F.col("label"))).drop("label", "source")
+
+
+def train_job(emails: DataFrame, feedback: DataFrame, version: str, as_of: _dt.datetime = AS_OF,
+              kinds: tuple[str, ...] = KINDS, legacy: bool = False) -> TrainResult:
+    """S10 -> M1 -> M9 -> each kind -> report -> M13 -> R17 (K7 is ``save_model``)."""
+    for k in kinds:                      # M12 before any job
+        build_classifier(k, 1)
+    # the labeled feature table is read by every fit step: persist it once
+    feats = FE.build_features(training_rows(emails, feedback, legacy), as_of) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = FE.stratified_split(feats)
+    fm = FE.fit_features(train, as_of)
+    xtr = sized(with_label_and_weight(FE.assemble(train, fm))).persist(StorageLevel.MEMORY_AND_DISK)
+    xte = sized(FE.assemble(test, fm)).persist(StorageLevel.MEMORY_AND_DISK)
+    n = xtr.count()
+    models, results, reports = [], [], {}
+    for k in kinds:
+        clf = build_classifier(k, n).fit(xtr)
+        tm = TrainedModel(k, version, fm, clf)
+        pred = predict(tm, xte).select("id", F.col("user_label").alias("actual"), "predicted", "p_spam")
+        m = precision_recall_f1(pred).first().asDict()
+        tm.metrics = m
+        models.append(tm)
+        results.append((k, m))
+        reports[k] = {"confusion": confusion_matrix(pred), "report": classification_report(pred), "metrics": m}
+    best = models[select_best(results)]
+    test_pred = predict(best, xte).select("id", F.col("user_label").alias("actual"), "predicted", "p_spam")
+    return TrainResult(best, models, reports, uncertain_band(test_pred), test_pred)
+
+
+# K7 / S11 --------------------------------------------------------------------
+def save_model(spark: SparkSession, tm: TrainedModel, model_dir: str, registry_dir: str,
+               saved_at: _dt.datetime = AS_OF) -> str:
+    """K7: write the classifier, the domain index and the (bounded) vocabularies, then append
+    one registry row. A version that exists is refused (no silent overwrite)."""
+    path = f"{model_dir.rstrip('/')}/{tm.version}"
+    tm.classifier.write().save(f"{path}/classifier")
+    tm.features.domains.write().save(f"{path}/domains")
+    fm = tm.features
+    vocab = ([("subject", t, i, w) for i, (t, w) in enumerate(zip(fm.subject.terms, fm.subject.idf))]
+             + [("snippet", t, i, w) for i, (t, w) in enumerate(zip(fm.snippet.terms, fm.snippet.idf))])
+    spark.createDataFrame(vocab, "block string, term string, idx int, idf double").write.parquet(f"{path}/vocab")
+    meta = {"kind": tm.kind, "version": tm.version, "stds": fm.stds, "as_of": fm.as_of.isoformat(),
+            "n_subject": fm.subject.n_docs, "n_snippet": fm.snippet.n_docs}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.text(f"{path}/meta")
+    m = tm.metrics or {}
+    spark.createDataFrame(
+        [(tm.version, tm.kind, float(m.get("f1", 0.0)), float(m.get("precision", 0.0)),
+          float(m.get("recall", 0.0)), path, saved_at)],
+        "version string, kind string, f1 double, precision double, recall double, path string, "
+        "saved_at timestamp_ntz").write.mode("append").parquet(registry_dir)
+    return path
+
+
+def latest_model(spark: SparkSession, registry_dir: str) -> DataFrame:
+    """The newest registry row (highest version)."""
+    return spark.read.parquet(registry_dir).orderBy(F.col("version").desc()).limit(1)
+
+
+def load_model(spark: SparkSession, path: str) -> TrainedModel:
+    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+    from pyspark.ml.feature import StringIndexerModel
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    clf_cls = LogisticRegressionModel if meta["kind"] == "logistic" else GBTClassificationModel
+    clf = clf_cls.load(f"{path}/classifier")
+    dom = StringIndexerModel.load(f"{path}/domains")
+    v = spark.read.parquet(f"{path}/vocab").orderBy("block", "idx").collect()
+    subj = FE.Vocabulary([r.term for r in v if r.block == "subject"], [r.idf for r in v if r.block == "subject"],
+                         meta["n_subject"])
+    snip = FE.Vocabulary([r.term for r in v if r.block == "snippet"], [r.idf for r in v if r.block == "snippet"],
+                         meta["n_snippet"])
+    fm = FE.FeatureModel(subj, snip, dom, meta["stds"], _dt.datetime.fromisoformat(meta["as_of"]))
+    return TrainedModel(meta["kind"], meta["version"], fm, clf)
