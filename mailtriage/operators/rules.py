@@ -206,7 +206,10 @@ def first_hit_table(emails: DataFrame, rules: DataFrame, id_col: str = "id") ->
             .when(F.col("layer") == "keep_domain", rl("_d", "p1") | rl("_s", "p1"))
             .when(F.col("layer") == "keep_subject", rl("_t", "p1"))
             .otherwise(rl("_d", "p1")))
-    hits = (m.join(F.broadcast(r), cond, "inner")
+    # the rule table is broadcast only behind a size check; a larger table is
+    # joined without the hint (Spark then picks the strategy from its statistics)
+    small = rules.limit(RULE_TABLE_BROADCAST_MAX + 1).count() <= RULE_TABLE_BROADCAST_MAX
+    hits = (m.join(F.broadcast(r) if small else r, cond, "inner")
             .groupBy("_id")
             .agg(F.min_by(F.struct("decision", "rule_id", "reason"),
                           F.struct("layer_no", "ord")).alias("hit")))

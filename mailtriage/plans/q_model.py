@@ -7,8 +7,7 @@ run inside the training job. Training and scoring are rows-only checks.
 """
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -164,8 +163,8 @@ def q_shadow_compare(spark, sf):
 
 
 def _scratch(spark, name):
-    base = checkpoint_dir(spark)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base) if os.path.isdir(base) else f"{base}/{name}"
+    """A fresh folder under the shared checkpoint directory (unique per call)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @query("save_model")

@@ -19,12 +19,33 @@ from ..functions.packs import (BOOTSTRAP_WINDOW_DAYS, OBSERVE_WINDOW_DAYS,
 from ..session import AS_OF
 
 
+DAY_COLUMN = "received_day"   # partition column of a stored mail table (see ``write_mail_table``)
+
+
 def newer_than(as_of: _dt.datetime, days: int) -> Column:
     """``received_at`` within the last ``days`` days (a literal bound, pushed down)."""
     bound = as_of - _dt.timedelta(days=days)
     return F.col("received_at") >= S.as_of_ntz(bound)
 
 
+def window_filter(df: DataFrame, as_of: _dt.datetime, days: int) -> Column:
+    """``newer_than`` plus, on a table partitioned by receipt day, the same bound on the
+    partition column, so whole day folders are skipped (partition pruning)."""
+    cond = newer_than(as_of, days)
+    if DAY_COLUMN in df.columns:
+        bound = (as_of - _dt.timedelta(days=days)).date()
+        cond = cond & (F.col(DAY_COLUMN) >= F.lit(bound.isoformat()).cast("date"))
+    return cond
+
+
+def write_mail_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store mail partitioned by receipt day, sorted by domain and id inside each file, so
+    time windows prune folders and Parquet min/max statistics serve domain filters."""
+    (df.withColumn(DAY_COLUMN, F.to_date("received_at"))
+     .repartition(DAY_COLUMN).sortWithinPartitions("sender_domain", "id")
+     .write.mode(mode).partitionBy(DAY_COLUMN).parquet(path))
+
+
 def mail_filter(in_: list[str] | tuple = (), not_in: list[str] | tuple = (),
                 newer_than_days: int | None = None, as_of: _dt.datetime = AS_OF) -> Column:
     """Conjunction of ``in:X`` / ``-in:X`` / ``newer_than:Nd`` as one predicate."""
@@ -41,23 +62,23 @@ def mail_filter(in_: list[str] | tuple = (), not_in: list[str] | tuple = (),
 def scan_inbox_window(emails: DataFrame, as_of: _dt.datetime = AS_OF,
                       days: int = TRIAGE_WINDOW_DAYS) -> DataFrame:
     """INBOX mail younger than ``days`` days. No cap (see ``capped_scan``)."""
-    return emails.filter(mail_filter(["INBOX"], newer_than_days=days, as_of=as_of))
+    return emails.filter(window_filter(emails, as_of, days) & mail_filter(["INBOX"]))
 
 
 def scan_recent(emails: DataFrame, as_of: _dt.datetime = AS_OF,
                 days: int = OBSERVE_WINDOW_DAYS) -> DataFrame:
     """All mail younger than ``days`` days, every place included."""
-    return emails.filter(mail_filter(newer_than_days=days, as_of=as_of))
+    return emails.filter(window_filter(emails, as_of, days))
 
 
 def scan_trash_window(emails: DataFrame, as_of: _dt.datetime = AS_OF, days: int = 30) -> DataFrame:
     """S3: TRASH, ``days`` days."""
-    return emails.filter(mail_filter(["TRASH"], newer_than_days=days, as_of=as_of))
+    return emails.filter(window_filter(emails, as_of, days) & mail_filter(["TRASH"]))
 
 
 def scan_read_inbox(emails: DataFrame, as_of: _dt.datetime = AS_OF, days: int = 30) -> DataFrame:
     """INBOX and not UNREAD, ``days`` days."""
-    return emails.filter(mail_filter(["INBOX"], ["UNREAD"], newer_than_days=days, as_of=as_of))
+    return emails.filter(window_filter(emails, as_of, days) & mail_filter(["INBOX"], ["UNREAD"]))
 
 
 def bootstrap_source(labels: Column | str = "labels") -> Column:
@@ -72,7 +93,7 @@ def bootstrap_source(labels: Column | str = "labels") -> Column:
 def scan_bootstrap_sources(emails: DataFrame, as_of: _dt.datetime = AS_OF,
                            days: int = BOOTSTRAP_WINDOW_DAYS) -> DataFrame:
     """One pass over a year of mail, each row tagged with its (single) source."""
-    return emails.filter(newer_than(as_of, days)).withColumn("source", bootstrap_source("labels"))
+    return emails.filter(window_filter(emails, as_of, days)).withColumn("source", bootstrap_source("labels"))
 
 
 def capped_scan(emails: DataFrame, max_results: int) -> DataFrame:
