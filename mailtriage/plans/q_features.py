@@ -77,7 +77,7 @@ def _vocab_sql(col: str, min_df: int, bigrams: bool) -> str:
 n_docs AS (SELECT count(*) AS n FROM train),
 tt AS (SELECT id, {terms} AS terms FROM (SELECT id, {toks} AS tk FROM train)),
 per AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM tt) GROUP BY id, term),
-stats AS (SELECT term, count(*) AS df, sum(tf) AS total FROM per GROUP BY term),
+stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM per GROUP BY term),
 vocab AS (SELECT term, df, total, ln((1 + (SELECT n FROM n_docs)) / (1 + df)) + 1 AS idf FROM stats
   WHERE df >= {min_df} AND df <= 0.9 * (SELECT n FROM n_docs) ORDER BY total DESC, term LIMIT 5000)
 """

@@ -126,7 +126,7 @@ def _b2(spark, sf):
 
 
 @query("state_counts", sql=B2_SQL + """
-SELECT count_if(state = 'spam') AS spam, count_if(state = 'keep') AS keep, count_if(state IS NULL) AS uncertain,
+SELECT count(*) FILTER (WHERE state = 'spam') AS spam, count(*) FILTER (WHERE state = 'keep') AS keep, count(*) FILTER (WHERE state IS NULL) AS uncertain,
  count(*) AS scanned FROM rec""")
 def q_state_counts(spark, sf):
     return _b2(spark, sf)["state_counts"]

@@ -32,7 +32,7 @@ def q_review_stats_24h(spark, sf):
     return RV.review_stats(fx.feedback(spark, sf), AS_OF)
 
 
-@query("flagged_count", sql=QUEUE + "SELECT count_if(user_label = 'spam') AS flagged FROM q")
+@query("flagged_count", sql=QUEUE + "SELECT count(*) FILTER (WHERE user_label = 'spam') AS flagged FROM q")
 def q_flagged_count(spark, sf):
     return RV.flagged_count(_queue(spark, sf))
 
@@ -83,8 +83,8 @@ def q_precision_gate(spark, sf):
 
 
 @query("audit_coverage", sql=fx.oracle_with("decisions", "audit_log") + f"""
-SELECT count(*) AS actions, count_if(email_id IN (SELECT email_id FROM audit_log)) AS audited,
- {_r('count_if(email_id IN (SELECT email_id FROM audit_log))', 'count(*)')} AS coverage
+SELECT count(*) AS actions, count(*) FILTER (WHERE email_id IN (SELECT email_id FROM audit_log)) AS audited,
+ {_r('count(*) FILTER (WHERE email_id IN (SELECT email_id FROM audit_log))', 'count(*)')} AS coverage
 FROM decisions WHERE decision = 'spam' AND executed""")
 def q_audit_coverage(spark, sf):
     return RV.audit_coverage(fx.decisions(spark, sf), fx.audit_log(spark, sf))

@@ -216,8 +216,8 @@ def q_append_audit(spark, sf):
 
 @query("run_log", sql=ROUTED + f"""
 SELECT {A} AS run_at, 'OK' AS status, count(*) AS scanned,
- count_if(route IN ('deletable', 'grace_expired', 'ml')) AS trashed, count_if(route = 'deletable') AS rules,
- 0::BIGINT AS ml, count_if(route = 'grace_expired') AS grace, count_if(route = 'protected') AS protected,
+ count(*) FILTER (WHERE route IN ('deletable', 'grace_expired', 'ml')) AS trashed, count(*) FILTER (WHERE route = 'deletable') AS rules,
+ 0::BIGINT AS ml, count(*) FILTER (WHERE route = 'grace_expired') AS grace, count(*) FILTER (WHERE route = 'protected') AS protected,
  0::BIGINT AS ml_below, NULL::VARCHAR AS error FROM routed""")
 def q_run_log(spark, sf):
     return K.run_log_row(T.triage_summary(T.triage(fx.raw_emails(spark, sf), AS_OF)), AS_OF)

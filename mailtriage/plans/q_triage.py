@@ -41,9 +41,9 @@ def q_triage_rules_only(spark, sf):
 
 
 @query("triage_summary", bench=True, sql=W + """
-SELECT count(*) AS scanned, count_if(route = 'deletable') AS deletable_rules, 0::BIGINT AS deletable_ml,
- count_if(route = 'grace_expired') AS grace_expired, 0::BIGINT AS ml_below_threshold,
- count_if(route = 'protected') AS protected_by_rule, count_if(route = 'unmatched') AS unmatched_no_model
+SELECT count(*) AS scanned, count(*) FILTER (WHERE route = 'deletable') AS deletable_rules, 0::BIGINT AS deletable_ml,
+ count(*) FILTER (WHERE route = 'grace_expired') AS grace_expired, 0::BIGINT AS ml_below_threshold,
+ count(*) FILTER (WHERE route = 'protected') AS protected_by_rule, count(*) FILTER (WHERE route = 'unmatched') AS unmatched_no_model
 FROM routed""")
 def q_triage_summary(spark, sf):
     return T.triage_summary(routed(spark, sf))
