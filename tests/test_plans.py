@@ -69,3 +69,33 @@ def test_stored_table_scan_prunes_and_pushes(spark):
     a = df.select("id").collect()
     b = SC.scan_inbox_window(fx.raw_emails(spark, SF_SMALL), AS_OF).select("id").collect()
     assert sorted(r.id for r in a) == sorted(r.id for r in b)
+
+
+@pytest.mark.parametrize("name,partial", [
+    ("latest_per_key", "partial_max_by"),
+    ("upsert_feedback_latest", "partial_max_by"),
+    ("sender_domain_counts", "partial_count"),
+    ("rule_hit_counts", "partial_count"),
+    ("vocabulary", "partial_count"),
+    ("insert_if_absent_mail", "partial_min_by"),
+])
+def test_hot_keys_combine_before_shuffle(spark, name, partial):
+    """A key holding a third of all rows reaches the shuffle as one row per task."""
+    p = plan_text(QUERIES[name](spark, SF_SMALL), "formatted")
+    assert partial in p
+
+
+def test_hot_key_stays_whole(spark):
+    """One id with a third of all label events: the latest state is still exact and whole."""
+    from pyspark.sql import functions as F
+    from mailtriage.operators.tables import latest_per_key
+    ev = fx.label_events(spark, SF_SMALL)
+    n = ev.count()
+    hot = ev.limit(n // 2).withColumn("id", F.lit("hot"))
+    skewed = ev.unionByName(hot)
+    got = latest_per_key(skewed, "id", ["changed_at", "seq"])
+    assert got.filter(F.col("id") == "hot").count() == 1
+    assert got.count() == skewed.select("id").distinct().count()
+    want = hot.orderBy(F.col("changed_at").desc(), F.col("seq").desc()).first()
+    row = got.filter(F.col("id") == "hot").first()
+    assert (row.changed_at, row.seq) == (want.changed_at, want.seq)
