@@ -107,11 +107,15 @@ def rule_hit_counts(routed: DataFrame) -> DataFrame:
 
 
 def rule_hit_map(routed: DataFrame) -> DataFrame:
-    """G2 as one ``map<string,bigint>`` (bounded by the number of rules and model versions)."""
-    counts = rule_hit_counts(routed)
-    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(
-        F.struct((-F.col("n")).alias("o"), "hit", "n")))
-        .alias("x")).alias("rule_hits"))
+    """G2 as one ``map<string,bigint>`` (bounded by the number of rules and model versions).
+
+    Spark maps carry no order; ``rule_hit_counts`` is the ordered form."""
+    k = hit_key(routed)
+    counts = (routed.filter(F.col("route").isin(*TRASH_ROUTES))
+              .groupBy(k.alias("hit")).agg(F.count(F.lit(1)).alias("n")))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "hit", "n")))
+    return counts.agg(F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["hit"], e["n"])))
+                      .alias("rule_hits"))
 
 
 def route_samples(routed: DataFrame, n: int = 5) -> DataFrame:

@@ -60,3 +60,10 @@ def test_checks_find_dirty_rows(spark):
     d = fx.raw_emails_dirty(spark, SF_SMALL)
     assert K.check_primary_key(d, ["id"]).count() > 0
     assert K.check_not_null(d, ["sender", "received_at"]).count() > 0
+
+
+def test_rule_hit_map_equals_counts(spark):
+    r = T.triage(fx.raw_emails(spark, SF_SMALL), AS_OF)
+    m = T.rule_hit_map(r).first()["rule_hits"]
+    c = {row.hit: row.n for row in T.rule_hit_counts(r).collect()}
+    assert dict(m) == c
