@@ -67,3 +67,26 @@ def test_rule_hit_map_equals_counts(spark):
     m = T.rule_hit_map(r).first()["rule_hits"]
     c = {row.hit: row.n for row in T.rule_hit_counts(r).collect()}
     assert dict(m) == c
+
+
+def test_triage_is_order_free(spark):
+    e = fx.raw_emails(spark, SF_SMALL)
+    a = T.triage(e, AS_OF).select("id", "route", "rule_id")
+    shuffled = e.repartition(5, F.rand(seed=7)).orderBy(F.rand(seed=3))
+    b = T.triage(shuffled, AS_OF).select("id", "route", "rule_id")
+    assert _same(a, b)
+
+
+def test_corrupt_message_lines_are_kept_aside(spark):
+    import uuid
+    from mailtriage.session import checkpoint_dir
+    from mailtriage.sources import ingest as I
+    d = f"{checkpoint_dir(spark)}/msgs-{uuid.uuid4().hex[:8]}"
+    good = fx.raw_messages(spark, SF_SMALL)
+    bad = spark.createDataFrame([("{not json",), ('{"id": "x1", "internalDate": "oops"}',)], "value string")
+    good.unionByName(bad).coalesce(1).write.text(d)
+    m = I.read_messages(spark, d).cache()
+    assert m.filter(F.col(I.CORRUPT).isNotNull()).count() == 1
+    rows = I.to_raw_emails(m.filter(F.col(I.CORRUPT).isNull()))
+    assert rows.count() == good.count() + 1
+    assert rows.filter(F.col("id") == "x1").select("received_at").first()[0] is None   # bad time -> null
