@@ -229,7 +229,8 @@ def train_job(emails: DataFrame, feedback: DataFrame, version: str, as_of: _dt.d
         tm.metrics = m
         models.append(tm)
         results.append((k, m))
-        reports[k] = {"confusion": confusion_matrix(pred), "report": classification_report(pred), "metrics": m}
+        reports[k] = {"confusion": confusion_matrix(pred), "report": classification_report(pred), "metrics": m,
+                      "predictions": pred}
     best = models[select_best(results)]
     test_pred = predict(best, xte).select("id", F.col("user_label").alias("actual"), "predicted", "p_spam")
     return TrainResult(best, models, reports, uncertain_band(test_pred), test_pred)
