@@ -54,24 +54,25 @@ def insert_if_absent(current: DataFrame, changes: DataFrame, key: str = "id",
 def upsert_mail_labels(current: DataFrame, changes: DataFrame, key: str = "id",
                        order: Column | None = None) -> DataFrame:
     """K2: insert new ids; for known ids replace only ``labels``. Adds ``outcome``
-    (inserted / updated / unchanged) for K3. The last change per id wins."""
+    (inserted / updated / unchanged) for K3. The last change per id wins.
+
+    Plan: the current table goes through a left join with the deduplicated
+    changes (id, labels). Changes are normally far smaller than the mailbox,
+    so AQE can broadcast them and the big table is not shuffled. A full outer
+    join would always shuffle it, since Spark cannot broadcast either side of
+    one. New ids come from an anti join against the current ids only.
+    """
     ch = _dedupe_last(changes.select(*current.columns, *([order.alias("_o")] if order is not None else [])),
                       key, F.col("_o") if order is not None else None).select(*current.columns)
-    o = current.alias("o")
-    n = ch.alias("n")
-    j = o.join(n, key, "full_outer")
-    cols = []
-    for c in current.columns:
-        if c == key:
-            cols.append(F.col(key))
-        elif c == "labels":
-            cols.append(F.when(F.col("n.id").isNotNull(), F.col("n.labels")).otherwise(F.col("o.labels")).alias(c))
-        else:
-            cols.append(F.when(F.col("o.id").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
-    outcome = (F.when(F.col("o.id").isNull(), F.lit("inserted"))
-               .when(F.col("n.id").isNull(), F.lit("unchanged"))
-               .otherwise(F.lit("updated")))
-    return j.select(*cols, outcome.alias("outcome"))
+    new_labels = ch.select(F.col(key).alias("_k"), F.col("labels").alias("_nl"), F.lit(True).alias("_hit"))
+    kept = current.join(new_labels, current[key] == new_labels["_k"], "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    kept = kept.select(*[F.when(hit, F.col("_nl")).otherwise(F.col("labels")).alias(c) if c == "labels"
+                         else F.col(c) for c in current.columns],
+                       F.when(hit, F.lit("updated")).otherwise(F.lit("unchanged")).alias("outcome"))
+    inserted = (ch.join(current.select(F.col(key).alias("_ck")), ch[key] == F.col("_ck"), "left_anti")
+                .select(*current.columns, F.lit("inserted").alias("outcome")))
+    return kept.unionByName(inserted)
 
 
 def upsert_outcome_counts(upserted: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ NOTES = {
                          "Generate (evaluated once), routing. No exchange.",
     "rule_hit_counts": "Partial count per task before the only exchange.",
     "route_samples": "WindowGroupLimit keeps 5 rows per route and task before the shuffle.",
-    "upsert_mail_labels": "One full outer join on id; changes are deduplicated with a partial min_by/max_by first.",
+    "upsert_mail_labels": "Changes deduplicated by a partial max_by; the current table streams through a left join "
+                          "with them (broadcast when small), new ids come from an anti join on the id column.",
     "upsert_feedback_latest": "union + max_by per email_id: partial aggregation, no window sort.",
     "detect_changes": "One tagged pass; the lookups are small and broadcast by AQE when they fit.",
     "tfidf_subject": "In-row term counts, broadcast hash join to the bounded vocabulary, one window by id.",
