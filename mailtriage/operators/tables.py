@@ -89,10 +89,14 @@ def upsert_feedback_latest(current: DataFrame, changes: DataFrame, protect_human
                            seq: Column | None = None) -> DataFrame:
     """K5: last label wins per ``email_id``: label, source and time replaced.
 
-    ``union`` + ``max_by(row, (created_at, batch, seq))``: a partial
-    aggregation per key, no window sort. A change beats the current row at
-    equal time. With ``protect_human`` (the documented rule) a passive
-    observation does not overwrite a human label.
+    Order: (created_at, batch, seq), the change batch after the current row,
+    so a change wins a tie in time; a null time loses. With ``protect_human``
+    (the documented rule) a passive observation does not overwrite a human label.
+
+    Plan: the latest change per id (``max_by``, partial aggregation over the
+    changes only), left-joined onto the current table (broadcast when the
+    changes are small, so the table is not shuffled), plus an anti join on
+    the ids for new rows.
     """
     cols = ["email_id", "user_label", "source", "created_at"]
     ch = changes.select(*cols, (seq if seq is not None else F.lit(0)).cast("bigint").alias("_seq"))
@@ -100,11 +104,20 @@ def upsert_feedback_latest(current: DataFrame, changes: DataFrame, protect_human
         human = current.filter(F.col("source").isin(*HUMAN_SOURCES)).select("email_id")
         passive = ch.filter(F.col("source").isin(*PASSIVE_SOURCES)).join(human, "email_id", "left_anti")
         ch = ch.filter(~F.col("source").isin(*PASSIVE_SOURCES)).unionByName(passive)
-    u = (current.select(*cols, F.lit(0).alias("_b"), F.lit(0).cast("bigint").alias("_seq"))
-         .unionByName(ch.withColumn("_b", F.lit(1))))
-    return (u.groupBy("email_id")
-            .agg(F.max_by(F.struct(*cols), F.struct("created_at", "_b", "_seq")).alias("_r"))
+    best = (ch.groupBy("email_id")
+            .agg(F.max_by(F.struct(*cols), F.struct("created_at", "_seq")).alias("_r"))
             .select("_r.*"))
+    b = best.select(F.col("email_id").alias("_k"), F.col("user_label").alias("_nl"),
+                    F.col("source").alias("_ns"), F.col("created_at").alias("_nc"), F.lit(True).alias("_hit"))
+    j = current.join(b, current["email_id"] == b["_k"], "left")
+    cc, nc = F.col("created_at"), F.col("_nc")
+    take = F.coalesce(F.col("_hit"), F.lit(False)) & (cc.isNull() | (nc.isNotNull() & (nc >= cc)))
+    kept = j.select("email_id",
+                    F.when(take, F.col("_nl")).otherwise(F.col("user_label")).alias("user_label"),
+                    F.when(take, F.col("_ns")).otherwise(F.col("source")).alias("source"),
+                    F.when(take, nc).otherwise(cc).alias("created_at"))
+    new = best.join(current.select(F.col("email_id").alias("_ck")), best["email_id"] == F.col("_ck"), "left_anti")
+    return kept.unionByName(new.select(*cols))
 
 
 def confirm_feedback(current: DataFrame, ids: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:

@@ -24,7 +24,8 @@ NOTES = {
     "route_samples": "WindowGroupLimit keeps 5 rows per route and task before the shuffle.",
     "upsert_mail_labels": "Changes deduplicated by a partial max_by; the current table streams through a left join "
                           "with them (broadcast when small), new ids come from an anti join on the id column.",
-    "upsert_feedback_latest": "union + max_by per email_id: partial aggregation, no window sort.",
+    "upsert_feedback_latest": "Latest change per id by a partial max_by over the changes only, left-joined onto the "
+                              "current table; new ids from an anti join.",
     "detect_changes": "One tagged pass; the lookups are small and broadcast by AQE when they fit.",
     "tfidf_subject": "In-row term counts, broadcast hash join to the bounded vocabulary, one window by id.",
     "review_queue": "Filters pushed below the join; TakeOrderedAndProject for the 100 rows.",
