@@ -23,7 +23,7 @@ _CACHE: dict = {}
 
 def trained(spark, sf, kinds=M.KINDS):
     """One training run per (session, data, kinds); the queries below share it."""
-    key = (id(spark.sparkContext), sf, tuple(kinds))
+    key = (spark.sparkContext.applicationId, sf, tuple(kinds))
     if key not in _CACHE and tuple(kinds) == ("logistic",):
         # a run that trained both kinds holds the logistic model already
         for (ctx, s, ks), r in _CACHE.items():
