@@ -158,12 +158,21 @@ def transactional_rules(df: DataFrame, pack: str = DEFAULT_PACK, out: str = "tx_
 
 @functools.lru_cache(maxsize=16)
 def all_hits_sql(s: str, d: str, t: str, pack: str = DEFAULT_PACK) -> str:
+    """Every rule that fires, in order. Each chunk of ``CHUNK`` rules is tested only when
+    its alternation guard matches, so a row no rule touches costs one regex per chunk."""
     nums = _rule_numbers(pack)
-    items = ", ".join(f"CASE WHEN {c} THEN {nums[(layer, rid)]} END"
-                      for layer in LAYERS for c, rid in _conditions(layer, PACKS[pack][layer], s, d, t))
+    chunks = []
+    for layer in LAYERS:
+        rules = PACKS[pack][layer]
+        conds = _conditions(layer, rules, s, d, t)
+        for i in range(0, len(rules), CHUNK):
+            items = ", ".join(f"CASE WHEN {c} THEN {nums[(layer, rid)]} END" for c, rid in conds[i:i + CHUNK])
+            guard = _guard(layer, rules[i:i + CHUNK], s, d, t)
+            chunks.append(f"CASE WHEN {guard} THEN array({items}) ELSE CAST(array() AS ARRAY<INT>) END")
     table = ", ".join(f"named_struct('layer', {_q(r['layer'])}, 'layer_no', {r['layer_no']}, 'ord', {r['ord']}, "
                       f"'decision', {_q(r['decision'])}, 'rule_id', {_q(r['rule_id'])})" for r in pack_rows(pack))
-    return f"transform(filter(array({items}), _x -> _x IS NOT NULL), _n -> array({table})[_n - 1])"
+    return (f"transform(filter(flatten(array({', '.join(chunks)})), _x -> _x IS NOT NULL), "
+            f"_n -> array({table})[_n - 1])")
 
 
 def all_hits(df: DataFrame, pack: str = DEFAULT_PACK, out: str = "hits") -> DataFrame:
