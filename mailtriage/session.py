@@ -9,12 +9,15 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed clock of the fixtures (FIXTURES.md): 2024-02-01 00:00:00 UTC.
 AS_OF = _dt.datetime(2024, 2, 1, 0, 0, 0)
 
+_LOCAL_DIRS: dict[str, str] = {}  # application id -> work folder of a single-process session
+
 
 def build_session(master: str | None = None, app: str = "mailtriage",
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -50,15 +53,27 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and snapshot tables.
+    """The shared work folder: checkpoints, stream state, written intermediate tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    operator (a shared filesystem). Only when it is unset (local tests) do we
-    create a private scratch folder.
+    On a cluster this is ``spark.checkpoint.dir``, a folder every node sees; a
+    session on several machines without it is an error. A single-process session
+    (``local[*]``, as in tests) gets one folder of its own per application.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="mailtriage-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared work folder")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="mailtriage-work-")
+        sc.setCheckpointDir(_LOCAL_DIRS[sc.applicationId])
+    return _LOCAL_DIRS[sc.applicationId]
+
+
+def cut(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back: lineage ends here, the rows
+    survive a lost executor, and the planner knows the size of what it reads."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
