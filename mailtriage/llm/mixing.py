@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         "level", (F.col("all") - F.coalesce(F.sum("cap").over(upto), zero))
         / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), zero)))
     t = t.withColumn("free", F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level")))
-    level = F.min("free").over(every)
+    level = F.max("free").over(every)
     return t.select("source", "source_size", "weight",
                     F.coalesce(F.least(F.col("cap"), F.col("weight") * level), F.col("cap")).alias("target"))
 
@@ -110,7 +110,7 @@ s1 as (select source, source_size, n, ([5.0, 2.0, 1.0])[((row_number() over (ord
          source_size * 2.0::double as cap from s0),
 s2 as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
        from s1 window w as (order by cap / weight, source asc nulls last rows between unbounded preceding and 1 preceding)),
-s3 as (select *, min(case when cap / weight >= level then level end) over () as lv from s2),
+s3 as (select *, max(case when cap / weight >= level then level end) over () as lv from s2),
 s as (select source, source_size, coalesce(least(cap, weight * lv), cap) as target from s3),
 r as (select d.*, ('0x' || substr(md5(concat_ws('|', 'mix-1', doc_id::varchar)), 1, 8))::bigint / 4294967296.0::double as u,
         floor(sqrt(size::double))::int as class from d),
