@@ -1,39 +1,46 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared in a normal form (lower case, white space as one blank). Its shingles are the ``WIDTH``
-characters from each word's start on (from every character in scripts without blanks; long words every
-``WIDTH`` characters). The signature has ``BANDS * ROWS`` values, each the smallest shingle hash after XOR with a
-constant of its own. Lines that agree in a band share a bucket.
+A line's shingles are the ``WIDTH`` characters (lower case, white space as one blank) from each word's start on; from
+every character in scripts without blanks, and every ``WIDTH`` characters of a long word. The signature has
+``BANDS * ROWS`` values, each the smallest shingle hash after XOR with a constant of its own. Lines that agree in a
+band share a bucket.
 
 In a bucket, every line is first compared with the bucket's most frequent line (a star, linear in the bucket).
 The exact Jaccard index of the shingle sets decides. Union-find joins the links; lines of one bucket that
 are still in different components are then compared with each other, again exactly, so a large bucket isn't
 expanded into pairs and no link inside a bucket is lost. Of each component one line stays: the first by doc_id and place.
 
-With similarity 0.8 two lines share one of 10 bands of 4 with probability 0.995. DataFrame functions only; copies of a line are
-collapsed by partial aggregation before any shuffle, and no line's text is shuffled unless it has a partner.
+With similarity 0.8 two lines share one of 7 bands of 3 with probability 0.993, with 0.85 0.9985. DataFrame functions
+only. Copies of a line are collapsed by partial aggregation before any shuffle. Most lines have no partner; a bit filter
+of fixed size lets the later passes skip nearly all of them (it only ever lets too much through).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from mailtriage.session import cut
 
-from .text import SPACE, free_name, hex16, read
+from .text import SPACE, SPACE_CHARS, free_name, hex16, read
 from .union_find import components
 
-SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 10, 4
+SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 7, 3
+#: Longs of the bit filter: 1 MB, whatever the input.
+FILTER_LONGS = 1 << 17
 #: Letters of scripts that are written without blanks between words.
-UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 ANCHORED = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{UNSPACED}]|[^\x20{UNSPACED}]{{1,{WIDTH}}})"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, SPACE, " ")))
+    odd = F.contains(line, F.lit("  "))
+    for c in SPACE_CHARS[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.lower(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "))).otherwise(F.btrim(line)))
 
 
-def shingles(norm: Column) -> Column:
-    return F.regexp_extract_all(norm, F.lit(ANCHORED), F.lit(1))
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(normal(line), F.lit(ANCHORED), F.lit(1))
 
 
 def _constant(i: int) -> int:
@@ -43,69 +50,94 @@ def _constant(i: int) -> int:
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, th, pos, norm, h1, h2) of every line with a word; th is the text's hash, h1 and h2 the line's identity."""
+    """(doc_id, th, pos, line, h1, h2) of every line with a word; th is the text's hash, h1 and h2 the line's identity."""
     lines = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("norm", normal(F.col("line")))
-    return lines.select("doc_id", "th", "pos", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
+    lines = lines.where(F.length(F.btrim("line", F.lit(SPACE_CHARS))) > 0)
+    return lines.select("doc_id", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, copies, m0, m1, ..) of each distinct line."""
-    s = lines.select("h1", "h2", F.posexplode(shingles(F.col("norm"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
+    s = lines.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
     return s.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *[
         F.min(F.col("s").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
 
 
+def bit_filter(keys: DataFrame) -> Column:
+    """``keys(h1)`` -> a test of column h1: true for every key, false for most others. FILTER_LONGS rows at most are
+    gathered, into one array that goes to the tasks as a scalar."""
+    word = F.shiftrightunsigned("h1", 8).bitwiseAND(F.lit(FILTER_LONGS - 1)).cast("int")
+    bit = F.col("h1").bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
+    every = keys.sparkSession.range(FILTER_LONGS).select(F.col("id").cast("int").alias("w"))
+    one = cut(every.join(words, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0)).alias("v")))).alias("a"))
+              .select(F.transform("a", lambda x: x["v"]).alias("a")), "filter")
+    return F.getbit(F.get(one.scalar(), word), bit) == 1
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
-def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, r1, r2): the representative of every distinct line that has one other than itself."""
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    members = cut(signatures(lines).select("h1", "h2", "copies", bands.alias("bands")), "bands")
-    members = members.select("h1", "h2", "copies", F.explode("bands").alias("key"))
-    rank = F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned("h1", 24))
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.max_by("h1", rank).alias("g1"), F.max_by("h2", rank).alias("g2"))
-    heads = cut(heads.where("n > 1").drop("n"), "heads")
-    inside = cut(members.join(heads, "key").select("key", "h1", "h2", "g1", "g2"), "buckets")
-    ids = cut(inside.select("h1", "h2").distinct(), "ids")
-    text = lines.select("h1", "h2", "norm").join(ids, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    sets = cut(text.select("h1", "h2", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"),
-                           F.array_distinct(F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x))).alias("set")), "sets")
-    star = inside.where("h1 <> g1 or h2 <> g2").select("h1", "h2", "g1", "g2").distinct()
-    other = sets.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("id2"), F.col("set").alias("set2"))
-    star = star.join(sets, ["h1", "h2"]).join(other, ["g1", "g2"]).where(jaccard(F.col("set"), F.col("set2")) >= similarity)
-    first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    rooted = sets.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = cut(inside.select("key", "h1", "h2").join(rooted.select("h1", "h2", "id", "root"), ["h1", "h2"]), "rooted")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    split = cut(placed.join(mixed, "key").join(sets.select("id", "set"), "id").select("key", "id", "root", "set"), "mixed")
-    again = split.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("set").alias("set2"))
-    links = split.join(again, "key").where("id < id2 and root <> root2").where(jaccard(F.col("set"), F.col("set2")) >= similarity)
-    top = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
-    final = (rooted.select("h1", "h2", "id", "root").join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
-             .select("h1", "h2", "id", F.coalesce("top", "root").alias("root")).where("id <> root"))
-    names = sets.select(F.col("id").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    return cut(final.join(names, "root").select("h1", "h2", "r1", "r2"), "lines")
-
-
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, removed): places of the lines to remove, for each document that has any.
 
     The first line of a component is that of the smallest doc_id (null last), text hash and place.
     """
-    occ = occurrences(docs)
-    same = line_components(occ, similarity)
-    occ = occ.drop("norm").join(same, ["h1", "h2"], "left").select(
-        "doc_id", "th", "pos", F.coalesce("r1", "h1").alias("g1"), F.coalesce("r2", "h2").alias("g2"))
+    lines = occurrences(docs)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    members = cut(signatures(lines).select("h1", "h2", "copies", bands.alias("bands")), "bands")
+    # a bucket's rows meet once; lines that share a bucket with another line stay
+    bucket = Window.partitionBy("key")
+    inside = (members.select("h1", "h2", F.explode("bands").alias("key"))
+              .select("key", "h1", "h2", F.count("*").over(bucket).alias("n")).where("n > 1").drop("n"))
+    inside = cut(inside, "buckets")
+    ids = inside.select("h1", "h2").distinct()
+    ids = cut(ids.join(members.select("h1", "h2", "copies"), ["h1", "h2"]), "ids")
+    repeated = members.where("copies > 1").select("h1", "h2")
+    passes = bit_filter(ids.select("h1").unionAll(repeated.select("h1")))
+    relevant = cut(lines.where(passes), "relevant")
+    same = line_components(relevant, ids, inside, similarity)
+    groups = repeated.join(same, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    occ = relevant.drop("line").join(cut(groups.unionByName(same), "groups"), ["h1", "h2"]).select("doc_id", "th", "pos", "g1", "g2")
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "pos")
-    first = occ.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    first = occ.groupBy("g1", "g2").agg(F.min(place).alias("first"))
     gone = occ.join(first, ["g1", "g2"]).where(place != F.col("first"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed"))
 
 
+def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
+    """(h1, h2, g1, g2): the representative of every line of a component of two or more.
+
+    ``relevant`` holds the lines' texts, ``ids(h1, h2, copies)`` the lines in buckets, ``inside(key, h1, h2)`` the buckets.
+    """
+    text = relevant.select("h1", "h2", "line").join(ids, ["h1", "h2"]).groupBy("h1", "h2").agg(
+        F.first("line").alias("line"), F.first("copies").alias("copies"))
+    sets = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"),
+                           F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "sets")
+    names = sets.select("h1", "h2", "id", "copies")
+    named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies"), "named")
+    rank = F.struct("copies", "id")
+    heads = named.groupBy("key").agg(F.max(rank).alias("head")).select("key", F.col("head.id").alias("id2"))
+    star = named.join(heads, "key").where("id <> id2").select("id", "id2").distinct()
+    mine, other = sets.select("id", "set"), sets.select(F.col("id").alias("id2"), F.col("set").alias("set2"))
+    star = star.join(mine, "id").join(other, "id2").where(jaccard(F.col("set"), F.col("set2")) >= similarity)
+    first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    placed = named.select("key", "id").join(rooted.select("id", "root"), "id")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    split = cut(placed.join(mixed, "key").join(mine, "id").select("key", "id", "root", "set"), "mixed")
+    again = split.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("set").alias("set2"))
+    links = split.join(again, "key").where("id < id2 and root <> root2").where(jaccard(F.col("set"), F.col("set2")) >= similarity)
+    top = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
+    final = rooted.join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
+        "h1", "h2", "id", F.coalesce("top", "root").alias("root"))
+    shared = final.where("id <> root").select("root").distinct()
+    top_names = names.select(F.col("id").alias("root"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(shared, "root")
+    return cut(final.join(top_names, "root").select("h1", "h2", "g1", "g2"), "lines")
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``docs`` with deduplicated texts, plus ``n_removed``.
 
