@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CAPACITY, END_ID = 2048, 1
 #: Words whose ids a worker remembers at most, on each of two levels; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 
 
 def encoder(path: str, end_id: int, remembered: int = REMEMBERED):
@@ -137,7 +137,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
                     own = ids[4 * at:4 * (at + size)]
                     placed += bins.add((key, at, size, zlib.crc32(own), n, own if with_ids else None), size)
                     at += size
-                if len(placed) >= 20_000 or with_ids and len(placed) >= 2_000:
+                if len(placed) >= 2_000:
                     yield batch(placed)
                     placed = []
         placed += bins.close()
