@@ -10,8 +10,8 @@ The exact Jaccard index of the shingle sets decides. Union-find joins the links;
 are still in different components are then compared with each other, again exactly, so a large bucket isn't
 expanded into pairs and no link inside a bucket is lost. Of each component one line stays: the first by doc_id and place.
 
-With similarity 0.8 two lines share one of 7 bands of 3 with probability 0.993, with 0.85 0.9985. DataFrame functions
-only. Copies of a line are collapsed by partial aggregation before any shuffle. Most lines have no partner; a bit filter
+With similarity 0.8 two lines share one of 8 bands of 4 with probability 0.985, with 0.85 0.997,
+with 0.9 0.9999. DataFrame functions only. Copies of a line are collapsed by partial aggregation before any shuffle. Most lines have no partner; a bit filter
 of fixed size lets the later passes skip nearly all of them (it only ever lets too much through).
 """
 from __future__ import annotations
@@ -24,7 +24,7 @@ from mailtriage.session import cut
 from .text import SPACE, SPACE_CHARS, free_name, hex16, read
 from .union_find import components
 
-SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 7, 3
+SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 8, 4
 #: Longs of the bit filter: 1 MB, whatever the input.
 FILTER_LONGS = 1 << 17
 #: Letters of scripts that are written without blanks between words.
