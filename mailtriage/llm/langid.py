@@ -3,7 +3,8 @@
 For every language a raw-content zstandard dictionary is filled from a bounded sample of labelled documents.
 A text is cut into pieces of ``PIECE`` bytes (all of them, so long texts are judged whole and no piece
 learns from another), every piece is compressed with each dictionary, and the language with the smallest total wins.
-A narrow margin to the runner-up is a rejection.
+Case says little about a language and costs matches, so texts and dictionaries are lower-cased. A narrow margin to the
+runner-up is a rejection.
 """
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
         langs.setdefault(r["lang"], []).append((r["h"], r["t"]))
     if len(langs) > MAX_LANGS or len(picked) > SAMPLE_DOCS * MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    return {k: "\n".join(t for _, t in sorted(v)).encode() for k, v in sorted(langs.items())}
+    return {k: "\n".join(t for _, t in sorted(v)).lower().encode() for k, v in sorted(langs.items())}
 
 
 def predictions(dictionaries: dict[str, bytes], margin: float):
@@ -62,7 +63,7 @@ def predictions(dictionaries: dict[str, bytes], margin: float):
         def judge(text: str | None) -> tuple:
             if not coders or text is None or not letter.search(text):
                 return "und", 0.0, 0.0, True
-            raw = text.encode()
+            raw = text.lower().encode()
             pieces = [raw[i:i + PIECE] for i in range(0, len(raw), PIECE)]
             sizes = sorted((sum(len(code(p)) for p in pieces), name) for name, code in coders)
             if len(sizes) == 1:
