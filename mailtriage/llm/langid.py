@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1200
 #: Languages a fit may hold (a fit with more is refused, not cut).
 MAX_LANGS = 500
-PIECE, LEVEL = 2048, 3
+PIECE, LEVEL, MIN_MATCH = 2048, 6, 4
 #: Saved bits per byte between best and second, below which a text is rejected.
 MARGIN = 0.02
 
@@ -56,9 +56,10 @@ def predictions(dictionaries: dict[str, bytes], margin: float):
         coders = []
         for name, content in dictionaries.items():
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append((name, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False,
-                                                  write_checksum=False, write_dict_id=False).compress))
+            p = z.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, window_log=19, write_content_size=0,
+                                                       write_checksum=0, write_dict_id=0)
+            d.precompute_compress(compression_params=p)
+            coders.append((name, z.ZstdCompressor(compression_params=p, dict_data=d).compress))
 
         def judge(text: str | None) -> tuple:
             if not coders or text is None or not letter.search(text):
