@@ -14,7 +14,7 @@ from .text import SPACE, free_name, read, words
 #: A line ends in a sentence mark, optionally followed by closing quotes or brackets.
 SENTENCE_END = r"[.!?…。！？؟।:;][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 NOT_PUNCTUATION = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
-NAVIGATION = r"(?:[^|»›·>]+[|»›·>]){3}"
+NAVIGATION = r"^(?:[^|»›·>]*[|»›·>]){3}"
 BOILERPLATE = (r"(?i)\b(?:all rights reserved|cookies? policy|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|"
                r"enable javascript|javascript is (?:disabled|required)|click here|skip to (?:main )?content|"
                r"sign up (?:now|for our)|subscribe to our|share (?:this|on)|lorem ipsum|powered by|back to top)\b")
