@@ -23,19 +23,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.packs import KEYWORD_COLS, NUMERIC_COLS, SNIPPET_CHARS
-from ..session import AS_OF
+from ..functions.packs import KEYWORD_COLS, NUMERIC_COLS
+from ..session import AS_OF, cut
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"      # tokens of >= 2 word characters (Unicode)
 SPLIT_SEED = 42
+MODEL_FEATURES = 5000                      # terms per text block of a trained model (its size, not the vocabulary's)
 TEST_FRACTION_HEX = "33333333"             # md5 prefix below this: ~20 % test rows
 
 
 # M1 --------------------------------------------------------------------------
-def build_features(df: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """M1: P5 + P7-P10 in one projection; mailbox labels are deliberately not features."""
+def build_features(df: DataFrame, as_of: _dt.datetime = AS_OF, snippet_chars: int | None = None) -> DataFrame:
+    """M1: P5 + P7-P10 in one projection; mailbox labels are deliberately not features.
+
+    Whole texts by default; ``snippet_chars`` (``packs.SNIPPET_CHARS`` is the classic value) cuts the snippet.
+    """
     subject = F.coalesce(F.col("subject"), F.lit(""))
-    snippet = S.truncate_text(F.coalesce(F.col("snippet"), F.lit("")), SNIPPET_CHARS)
+    snippet = F.coalesce(F.col("snippet"), F.lit(""))
+    if snippet_chars is not None:
+        snippet = S.truncate_text(snippet, snippet_chars)
     keep = [c for c in df.columns if c not in ("subject", "snippet", "sender_domain")]
     return df.select(
         *keep,
@@ -73,20 +79,17 @@ def snippet_terms(col: str = "snippet") -> Column:
 def term_stats(docs: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
     """Per term: document frequency and total count over ``docs``.
 
-    Each row contributes its distinct terms with their in-row count (computed
-    in the row), so one ``groupBy(term)`` with partial aggregation does the
-    rest; a very common term is combined map-side before the shuffle.
+    Terms are exploded once and counted by (id, term), then by term; both
+    counts combine map-side, so a very common term is one row per task.
     """
-    t = docs.select(id_col, terms.alias("_t"))
-    per = t.select(F.explode(F.array_distinct("_t")).alias("term"), "_t").select(
-        "term", F.size(F.filter("_t", lambda x: x == F.col("term"))).alias("tf"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return (term_counts(docs, terms, id_col).groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").cast("bigint").alias("total")))
 
 
 def select_vocabulary(stats: DataFrame, n_docs: int, min_df: int, max_df: float = 0.9,
-                      max_features: int | None = 5000) -> DataFrame:
-    """M4: df >= min_df, df <= max_df * n, then the ``max_features`` terms of highest total
-    count (term breaks ties), with the smoothed idf. At most ``max_features`` rows."""
+                      max_features: int | None = None) -> DataFrame:
+    """M4: df >= min_df, df <= max_df * n, with the smoothed idf. All terms by default;
+    ``max_features`` keeps those of highest total count (term breaks ties)."""
     v = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     if max_features is not None:
         v = v.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
@@ -106,9 +109,14 @@ class Vocabulary:
         return len(self.terms)
 
 
+def vocabulary_table(docs: DataFrame, terms: Column, min_df: int, max_df: float = 0.9) -> DataFrame:
+    """The uncut vocabulary (term, df, total, idf) as a written table; nothing comes to the driver but the row count."""
+    return cut(select_vocabulary(term_stats(docs, terms), docs.count(), min_df, max_df), "vocabulary")
+
+
 def fit_vocabulary(docs: DataFrame, terms: Column, min_df: int, max_df: float = 0.9,
-                   max_features: int | None = 5000, n_docs: int | None = None) -> Vocabulary:
-    """Fit: the selected terms (bounded by ``max_features``) come back to the driver."""
+                   max_features: int = MODEL_FEATURES, n_docs: int | None = None) -> Vocabulary:
+    """Fit for a model: the selected terms, ``max_features`` at most (the model's documented size), come back to the driver."""
     n = n_docs if n_docs is not None else docs.count()
     rows = select_vocabulary(term_stats(docs, terms), n, min_df, max_df, max_features).collect()
     rows.sort(key=lambda r: r["term"])
@@ -123,31 +131,27 @@ def vocabulary_frame(spark, v: Vocabulary) -> DataFrame:
 
 
 def term_counts(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
-    """(id, term, cnt): each row's distinct terms with their in-row count (no shuffle)."""
-    t = df.select(id_col, terms.alias("_t"))
-    return (t.select(id_col, "_t", F.explode(F.array_distinct("_t")).alias("term"))
-            .select(id_col, "term", F.size(F.filter("_t", lambda x: x == F.col("term"))).alias("cnt")))
+    """(id, term, cnt): each mail's distinct terms with their count (linear in the text; counts combine map-side)."""
+    t = df.select(id_col, F.explode(terms).alias("term"))
+    return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def tfidf_weights(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id") -> DataFrame:
     """M5: (id, term, idx, w) with L2-normalised sublinear TF-IDF weights.
 
-    Plan: in-row term counts -> broadcast hash join with the vocabulary (its
-    size is bounded by ``max_features``, so the broadcast is safe at any data
-    size) -> one window aggregation per id for the norm (one shuffle by id).
-    Spark's map lookup is a linear scan, so a vocabulary map literal would
-    cost O(vocabulary) per term; the hash join costs O(1).
+    Plan: counts by (id, term) -> hash join with the vocabulary, which Spark
+    broadcasts only if its size allows -> one window aggregation per id for the norm.
     """
-    j = term_counts(df, terms, id_col).join(F.broadcast(vocab), "term", "inner")
+    j = term_counts(df, terms, id_col).join(vocab, "term", "inner")
     j = j.withColumn("_w", (F.lit(1.0) + F.log(F.col("cnt").cast("double"))) * F.col("idf"))
     from pyspark.sql import Window
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return j.select(id_col, "term", "idx", (F.col("_w") / norm).alias("w"))
+    return j.select(id_col, "term", *[c for c in vocab.columns if c == "idx"], (F.col("_w") / norm).alias("w"))
 
 
-def tfidf_long(df: DataFrame, terms: Column, v: Vocabulary, id_col: str = "id", digits: int = 9) -> DataFrame:
-    """M5 in long form: one row per (mail, term) with its weight (the relational feature matrix)."""
-    vocab = vocabulary_frame(df.sparkSession, v)
+def tfidf_long(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id", digits: int = 9) -> DataFrame:
+    """M5 in long form: one row per (mail, term) with its weight (the relational feature matrix),
+    over a vocabulary table of any size."""
     return tfidf_weights(df, terms, vocab, id_col).select(id_col, "term", F.round("w", digits).alias("weight"))
 
 
@@ -209,11 +213,11 @@ class FeatureModel:
         return self.subject.size + self.snippet.size + len(self.domains.labels) + len(SCALED_COLS)
 
 
-def fit_features(train: DataFrame, as_of: _dt.datetime = AS_OF) -> FeatureModel:
+def fit_features(train: DataFrame, as_of: _dt.datetime = AS_OF, max_features: int = MODEL_FEATURES) -> FeatureModel:
     """Fit all blocks on the training rows (already passed through ``build_features``)."""
     n = train.count()
-    subj = fit_vocabulary(train, subject_terms(), min_df=2, max_df=0.9, max_features=5000, n_docs=n)
-    snip = fit_vocabulary(train, snippet_terms(), min_df=3, max_df=0.9, max_features=5000, n_docs=n)
+    subj = fit_vocabulary(train, subject_terms(), min_df=2, max_df=0.9, max_features=max_features, n_docs=n)
+    snip = fit_vocabulary(train, snippet_terms(), min_df=3, max_df=0.9, max_features=max_features, n_docs=n)
     return FeatureModel(subj, snip, fit_domains(train), fit_scaler(train), as_of)
 
 

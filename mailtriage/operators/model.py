@@ -166,15 +166,6 @@ def classification_report(pred: DataFrame, actual: str = "actual", predicted: st
 
 
 # M13 / M15 -------------------------------------------------------------------
-ROWS_PER_PARTITION = 200_000
-
-
-def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Partitions sized by row count: iterative training runs one job per iteration, so a
-    small training set in many tiny partitions pays task overhead thousands of times."""
-    n = df.count()
-    parts = max(1, -(-n // rows_per_partition))
-    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df.repartition(parts)
 
 def select_best(results: list[tuple[str, dict]]) -> int:
     """Index of the highest F1; the first wins a tie (bounded: one entry per kind)."""
@@ -217,8 +208,8 @@ def train_job(emails: DataFrame, feedback: DataFrame, version: str, as_of: _dt.d
         .persist(StorageLevel.MEMORY_AND_DISK)
     train, test = FE.stratified_split(feats)
     fm = FE.fit_features(train, as_of)
-    xtr = sized(with_label_and_weight(FE.assemble(train, fm))).persist(StorageLevel.MEMORY_AND_DISK)
-    xte = sized(FE.assemble(test, fm)).persist(StorageLevel.MEMORY_AND_DISK)
+    xtr = with_label_and_weight(FE.assemble(train, fm)).persist(StorageLevel.MEMORY_AND_DISK)
+    xte = FE.assemble(test, fm).persist(StorageLevel.MEMORY_AND_DISK)
     n = xtr.count()
     models, results, reports = [], [], {}
     for k in kinds:

@@ -92,12 +92,12 @@ def bootstrap_history(mailbox: DataFrame, mail: DataFrame, feedback: DataFrame,
     """
     scanned = SC.scan_bootstrap_sources(mailbox, as_of)
     rank = F.array_position(F.array(*[F.lit(s) for s in BOOTSTRAP_SOURCES]), F.col("source"))
-    new_mail = K.insert_if_absent(mail, scanned.select(*mail.columns))
+    new_mail = K.insert_if_absent(mail, scanned.select(*mail.columns), F.col("received_at"))
     lab = scanned.select(F.col("id").alias("email_id"),
                          L.bootstrap_label(F.col("source"), F.col("received_at"), "labels", as_of).alias("user_label"),
                          "source", S.as_of_ntz(as_of).alias("created_at"), rank.alias("rank"))
-    new_fb = K.insert_if_absent(feedback, lab.filter(F.col("user_label").isNotNull()), key="email_id",
-                                order=F.col("rank"))
+    new_fb = K.insert_if_absent(feedback, lab.filter(F.col("user_label").isNotNull()), F.col("rank"),
+                                key="email_id")
     known = mail.select("id").withColumn("_known", F.lit(True))
     had_fb = feedback.select(F.col("email_id").alias("id")).withColumn("_had", F.lit(True))
     rep = (scanned.select("id", "source").join(known, "id", "left").join(had_fb, "id", "left")
@@ -115,7 +115,7 @@ def daily_observe(mailbox: DataFrame, mail: DataFrame, feedback: DataFrame, as_o
                   days: int = 2, protect_human: bool = True) -> dict[str, DataFrame]:
     """B2: S2 -> K2 (labels) -> R11 -> K5 ``daily_observation`` -> G3, G4, W4 (15)."""
     recent = SC.scan_recent(mailbox, as_of, days)
-    upserted = K.upsert_mail_labels(mail, recent.select(*mail.columns))
+    upserted = K.upsert_mail_labels(mail, recent.select(*mail.columns), F.col("received_at"))
     observed = recent.select("id", "sender_domain", "labels", L.label_state("labels").alias("state"))
     changes = observed.filter(F.col("state").isNotNull()).select(
         F.col("id").alias("email_id"), F.col("state").alias("user_label"),
@@ -132,30 +132,31 @@ def detect_changes(mailbox: DataFrame, mail: DataFrame, feedback: DataFrame,
                    as_of: _dt.datetime = AS_OF, days: int = 30) -> dict[str, DataFrame]:
     """TRASH and read-INBOX windows -> new observations (J3 UNION J4) -> K2, K5 -> reports.
 
-    One pass over the mailbox: each row in the window is tagged with the
-    step(s) it belongs to (spam: TRASH; keep: INBOX and read), then two left
-    joins (mail ids; feedback on id and label) decide per step whether it is
-    new: unknown to the mail table (J4) or known without that label (J3).
-    The spam step counts before the keep step: a mail in both windows ends
-    with the keep observation (last write wins), as in the reference.
+    One pass over the mailbox: two left joins (mail ids; feedback labels, one
+    row per mail each) say whether a mail is known and how it is labeled. A step
+    (spam: TRASH; keep: INBOX and read) takes a mail that is unknown (J4) or
+    known without the step's label (J3). The keep step sees what the spam step
+    wrote: a mail that the spam step took is then known and labeled spam, so the
+    keep step takes it too, and it ends as keep.
     """
     has = lambda x: S.has_label("labels", x)
-    steps = F.filter(F.array(F.when(has("TRASH"), F.lit("spam")),
-                             F.when(has("INBOX") & ~has("UNREAD"), F.lit("keep"))), lambda x: x.isNotNull())
-    win = (mailbox.filter(SC.newer_than(as_of, days))
-           .select("*", F.explode(steps).alias("label"))
-           .withColumn("step", F.when(F.col("label") == "spam", 0).otherwise(1)))
-    # fresh column names on the lookup sides: mailbox and mail may share lineage
-    known = mail.select(F.col("id").alias("_kid")).distinct().withColumn("_known", F.lit(True))
-    labeled = (feedback.select(F.col("email_id").alias("_lid"), F.col("user_label").alias("_llab"))
-               .distinct().withColumn("_labeled", F.lit(True)))
-    tagged = (win.join(known, win["id"] == known["_kid"], "left")
-              .join(labeled, (F.col("id") == F.col("_lid")) & (F.col("label") == F.col("_llab")), "left"))
-    new = tagged.filter(F.col("_known").isNull() | F.col("_labeled").isNull())
+    known = mail.select(F.col("id").alias("_kid"), F.lit(True).alias("_k"))
+    labeled = feedback.select(F.col("email_id").alias("_lid"), F.col("user_label").alias("_llab"))
+    win = mailbox.filter(SC.window_filter(mailbox, as_of, days))
+    t = win.join(known, win["id"] == F.col("_kid"), "left").join(labeled, win["id"] == F.col("_lid"), "left")
+    is_known = F.coalesce(F.col("_k"), F.lit(False))
+    lacks = lambda label: ~is_known | F.coalesce(F.col("_llab") != label, F.lit(True))
+    spam = has("TRASH") & lacks("spam")
+    keep = has("INBOX") & ~has("UNREAD") & (spam | lacks("keep"))
+    take = lambda hit, label, step, seen: F.when(hit, F.struct(
+        F.lit(label).alias("label"), F.lit(step).alias("step"), seen.alias("_known")))
+    new = (t.select(*[win[c] for c in mailbox.columns], F.explode(F.array_compact(F.array(
+        take(spam, "spam", 0, is_known), take(keep, "keep", 1, is_known | spam)))).alias("_s"))
+        .select(*mailbox.columns, "_s.*"))
     counts = new.groupBy("label").agg(
         F.count(F.lit(1)).alias("new_total"),
-        F.count_if(F.col("_known").isNotNull()).alias("known_unlabeled"),
-        F.count_if(F.col("_known").isNull()).alias("unknown"))
+        F.count_if("_known").alias("known_unlabeled"),
+        F.count_if(~F.col("_known")).alias("unknown"))
     new_mail = K.upsert_mail_labels(mail, new.select(*mail.columns, "step"), order=F.col("step"))
     fb_changes = new.select(F.col("id").alias("email_id"), F.col("label").alias("user_label"),
                             F.lit("daily_observation").alias("source"), S.as_of_ntz(as_of).alias("created_at"), "step")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.packs import (HUMAN_SOURCES, REVIEW_LIMIT, REVIEW_SNIPPET_CHARS, REVIEW_WINDOW,
+from ..functions.packs import (HUMAN_SOURCES, REVIEW_SNIPPET_CHARS, REVIEW_WINDOW,
                                STATS_WINDOW)
 from ..session import AS_OF
 
@@ -29,17 +29,18 @@ def recent(ts: Column, interval: str, as_of: _dt.datetime = AS_OF) -> Column:
 
 
 def review_queue(feedback: DataFrame, emails: DataFrame, as_of: _dt.datetime = AS_OF,
-                 limit: int = REVIEW_LIMIT) -> DataFrame:
-    """Automatic decisions of the last 7 days with their mail, newest first, ``limit`` rows.
+                 limit: int | None = None) -> DataFrame:
+    """Automatic decisions of the last 7 days with their mail. All of them by default; with ``limit``
+    the newest page of that many rows (``packs.REVIEW_LIMIT`` is the review page's).
 
-    Filter first (both predicates on ``feedback``), then the join, then a
+    Filter first (both predicates on ``feedback``), then the join; a page is a
     TakeOrderedAndProject: each task keeps its top ``limit`` rows.
     """
     f = feedback.filter(auto_action(F.col("source")) & recent(F.col("created_at"), REVIEW_WINDOW, as_of))
     j = f.join(emails.withColumnRenamed("id", "email_id"), "email_id", "inner")
-    return (j.select(F.col("email_id").alias("id"), "sender_domain", "subject", "snippet", "received_at",
-                     "user_label", "source", F.col("created_at").alias("decided_at"))
-            .orderBy(F.col("decided_at").desc(), F.col("id")).limit(limit))
+    rows = j.select(F.col("email_id").alias("id"), "sender_domain", "subject", "snippet", "received_at",
+                    "user_label", "source", F.col("created_at").alias("decided_at"))
+    return rows if limit is None else rows.orderBy(F.col("decided_at").desc(), F.col("id")).limit(limit)
 
 
 def review_stats(feedback: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:

@@ -22,39 +22,34 @@ from ..functions.packs import DECISION_VALUES, FINAL_STATES, HUMAN_SOURCES, OUTB
 from ..session import AS_OF, checkpoint_dir
 
 
-def _dedupe_first(df: DataFrame, key: str, order: Column | None) -> DataFrame:
-    """One row per key: the row with the smallest ``order`` (whole-row tie-break), deterministic."""
-    cols = [c for c in df.columns]
-    pick = F.struct(*[F.col(c) for c in cols])
-    by = F.struct(order, pick) if order is not None else pick
+def _dedupe_first(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row per key: the row with the smallest ``order`` (equal orders: the smallest row), deterministic."""
+    pick = F.struct(*[F.col(c) for c in df.columns])
+    by = F.struct(order, pick)
     return df.groupBy(key).agg(F.min_by(pick, by).alias("_r")).select("_r.*")
 
 
-def _dedupe_last(df: DataFrame, key: str, order: Column | None) -> DataFrame:
-    cols = [c for c in df.columns]
-    pick = F.struct(*[F.col(c) for c in cols])
-    by = F.struct(order, pick) if order is not None else pick
+def _dedupe_last(df: DataFrame, key: str, order: Column) -> DataFrame:
+    pick = F.struct(*[F.col(c) for c in df.columns])
+    by = F.struct(order, pick)
     return df.groupBy(key).agg(F.max_by(pick, by).alias("_r")).select("_r.*")
 
 
 # K1 / K4 ---------------------------------------------------------------------
-def insert_if_absent(current: DataFrame, changes: DataFrame, key: str = "id",
-                     order: Column | None = None) -> DataFrame:
+def insert_if_absent(current: DataFrame, changes: DataFrame, order: Column, key: str = "id") -> DataFrame:
     """K1 (K4 with ``order`` = source rank): insert new keys, leave existing rows alone.
 
-    Within one batch the first row per key wins (smallest ``order``).
+    Within one batch the first row per key wins (smallest ``order``, such as a time or a struct of time and sequence).
     """
-    new = _dedupe_first(changes.select(*current.columns, *([order.alias("_o")] if order is not None else [])),
-                        key, F.col("_o") if order is not None else None)
+    new = _dedupe_first(changes.select(*current.columns, order.alias("_o")), key, F.col("_o"))
     new = new.select(*current.columns).join(current.select(key), key, "left_anti")
     return current.unionByName(new)
 
 
 # K2 / K3 ---------------------------------------------------------------------
-def upsert_mail_labels(current: DataFrame, changes: DataFrame, key: str = "id",
-                       order: Column | None = None) -> DataFrame:
+def upsert_mail_labels(current: DataFrame, changes: DataFrame, order: Column, key: str = "id") -> DataFrame:
     """K2: insert new ids; for known ids replace only ``labels``. Adds ``outcome``
-    (inserted / updated / unchanged) for K3. The last change per id wins.
+    (inserted / updated / unchanged) for K3. The last change per id wins (largest ``order``).
 
     Plan: the current table goes through a left join with the deduplicated
     changes (id, labels). Changes are normally far smaller than the mailbox,
@@ -62,8 +57,7 @@ def upsert_mail_labels(current: DataFrame, changes: DataFrame, key: str = "id",
     join would always shuffle it, since Spark cannot broadcast either side of
     one. New ids come from an anti join against the current ids only.
     """
-    ch = _dedupe_last(changes.select(*current.columns, *([order.alias("_o")] if order is not None else [])),
-                      key, F.col("_o") if order is not None else None).select(*current.columns)
+    ch = _dedupe_last(changes.select(*current.columns, order.alias("_o")), key, F.col("_o")).select(*current.columns)
     new_labels = ch.select(F.col(key).alias("_k"), F.col("labels").alias("_nl"), F.lit(True).alias("_hit"))
     kept = current.join(new_labels, current[key] == new_labels["_k"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
@@ -227,7 +221,7 @@ def append_decisions(current: DataFrame, new: DataFrame) -> DataFrame:
     key = F.concat_ws("\u0001", "email_id", "model_version")
     cur = current.withColumn("_k", key)
     nw = new.select(*current.columns).withColumn("_k", key)
-    add = _dedupe_first(nw, "_k", None).join(cur.select("_k"), "_k", "left_anti")
+    add = _dedupe_first(nw, "_k", F.col("decided_at")).join(cur.select("_k"), "_k", "left_anti")
     return cur.unionByName(add).drop("_k")
 
 

@@ -22,7 +22,7 @@ KW_SQL = O.keyword_flags_sql("subject")
 
 TRAIN_SQL = fx.oracle_with("raw_emails", "feedback") + f""",
 rows AS (SELECT r.id, lower(coalesce(r.sender_domain, '')) AS sender_domain, coalesce(r.subject, '') AS subject,
-  substring(coalesce(r.snippet, ''), 1, 200) AS snippet, r.received_at, f.user_label
+  coalesce(r.snippet, '') AS snippet, r.received_at, f.user_label
   FROM raw_emails r JOIN feedback f ON r.id = f.email_id),
 feat AS (SELECT id, sender_domain, subject, snippet, user_label, length(subject) AS subject_len, length(snippet) AS snippet_len,
   coalesce(greatest({O.age_days()}, 0), 0) AS age_days, coalesce(hour(received_at), 0) AS hour_received, {KW_SQL},
@@ -79,14 +79,14 @@ tt AS (SELECT id, {terms} AS terms FROM (SELECT id, {toks} AS tk FROM train)),
 per AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM tt) GROUP BY id, term),
 stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM per GROUP BY term),
 vocab AS (SELECT term, df, total, ln((1 + (SELECT n FROM n_docs)) / (1 + df)) + 1 AS idf FROM stats
-  WHERE df >= {min_df} AND df <= 0.9 * (SELECT n FROM n_docs) ORDER BY total DESC, term LIMIT 5000)
+  WHERE df >= {min_df} AND df <= 0.9 * (SELECT n FROM n_docs))
 """
 
 
 @query("vocabulary", sql=TRAIN_SQL + _vocab_sql("subject", 2, True) + """
 SELECT term, df, total, round(idf, 6) AS idf FROM vocab""")
 def q_vocabulary(spark, sf):
-    """M4: the subject vocabulary (uni- and bigrams, df >= 2, df <= 0.9 n, top 5,000 by count)."""
+    """M4: the subject vocabulary (uni- and bigrams, df >= 2, df <= 0.9 n)."""
     tr = _train(spark, sf)
     n = tr.count()
     v = FE.select_vocabulary(FE.term_stats(tr, FE.subject_terms()), n, min_df=2)
@@ -107,7 +107,7 @@ SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight
 def _tfidf_query(col: str, min_df: int, bigrams: bool):
     def q(spark, sf):
         terms = FE.subject_terms(col) if bigrams else FE.snippet_terms(col)
-        v = FE.fit_vocabulary(_train(spark, sf), terms, min_df=min_df)
+        v = FE.vocabulary_table(_train(spark, sf), terms, min_df=min_df)
         return FE.tfidf_long(fx.raw_emails(spark, sf), terms, v, digits=6)
     q.__doc__ = f"M5: sublinear TF-IDF of {col}, L2-normalised, long form (id, term, weight)."
     return q

@@ -209,9 +209,10 @@ def q_triage_commit(spark, sf):
     outputs = {
         "decisions": K.decisions_from_triage(r, "web", AS_OF),
         "audit_log": K.audit_from_actions(acts, AS_OF),
-        "raw_emails": K.insert_if_absent(fx.raw_emails(spark, sf).limit(0),
+        "raw_emails": K.insert_if_absent(fx.raw_emails(spark, sf),
                                          r.join(acts.select("id"), "id", "left_semi")
-                                         .select(*fx.raw_emails(spark, sf).columns)),
+                                         .select(*fx.raw_emails(spark, sf).columns), F.col("received_at")),
+        "feedback": K.upsert_feedback_latest(fx.feedback(spark, sf), T.commit_feedback(r, acts, AS_OF)),
         "label_changes": r.join(acts.select("id"), "id", "left_semi").select(
             "id", K.apply_label_changes(F.col("labels"), *K.LABEL_ACTIONS["trash"]).alias("labels")),
         "outbox": K.action_outbox(acts.select("id")),

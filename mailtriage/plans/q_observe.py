@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import observe as OB
 from ..session import AS_OF
 from ..sources import fixtures as fx
@@ -32,8 +33,9 @@ ku_s AS (SELECT DISTINCT id FROM tw WHERE id IN (SELECT id FROM raw_emails)
 un_s AS (SELECT DISTINCT id FROM tw WHERE id NOT IN (SELECT id FROM raw_emails)),
 new_s AS (SELECT id FROM ku_s UNION SELECT id FROM un_s),
 ku_k AS (SELECT DISTINCT id FROM rw WHERE id IN (SELECT id FROM raw_emails)
-  AND id NOT IN (SELECT email_id FROM feedback WHERE user_label = 'keep')),
-un_k AS (SELECT DISTINCT id FROM rw WHERE id NOT IN (SELECT id FROM raw_emails)),
+  AND id NOT IN (SELECT email_id FROM feedback WHERE user_label = 'keep')
+  UNION SELECT id FROM rw WHERE id IN (SELECT id FROM new_s)),
+un_k AS (SELECT DISTINCT id FROM rw WHERE id NOT IN (SELECT id FROM raw_emails) AND id NOT IN (SELECT id FROM new_s)),
 new_k AS (SELECT id FROM ku_k UNION SELECT id FROM un_k),
 lab AS (SELECT id, sender_domain, subject, received_at, 'spam' AS state, 0 AS step FROM tw WHERE id IN (SELECT id FROM new_s)
   UNION ALL SELECT id, sender_domain, subject, received_at, 'keep', 1 FROM rw WHERE id IN (SELECT id FROM new_k)),
@@ -149,17 +151,17 @@ def q_daily_observe(spark, sf):
     return _b2(spark, sf)["feedback"]
 
 
-@query("bootstrap_history", sql=fx.oracle_with("raw_emails") + f"""
-SELECT source, count(*) AS scanned, count(*) AS inserted_mail, count(label) AS labeled, count(label) AS inserted_feedback
-FROM (SELECT CASE WHEN {O.has('TRASH')} THEN 'bootstrap_trash' WHEN {O.has('SPAM')} THEN 'bootstrap_spam'
+@query("bootstrap_history", sql=fx.oracle_with("raw_emails", "feedback") + f"""
+SELECT source, count(*) AS scanned, count(*) FILTER (WHERE NOT known) AS inserted_mail, count(label) AS labeled,
+ count(label) FILTER (WHERE NOT had) AS inserted_feedback
+FROM (SELECT coalesce(received_at < {A} - INTERVAL 10 DAY, false) AS known, id IN (SELECT email_id FROM feedback) AS had, CASE WHEN {O.has('TRASH')} THEN 'bootstrap_trash' WHEN {O.has('SPAM')} THEN 'bootstrap_spam'
   WHEN NOT {O.has('INBOX')} THEN 'bootstrap_archived' ELSE 'bootstrap_inbox' END AS source,
   CASE WHEN {O.has('TRASH')} OR {O.has('SPAM')} THEN 'spam' WHEN NOT {O.has('INBOX')} THEN 'keep'
   WHEN received_at IS NOT NULL AND NOT {O.has('UNREAD')} AND {O.age_days()} > 30 THEN 'keep' END AS label
   FROM raw_emails WHERE {O.newer_than(365)}) GROUP BY source""")
 def q_bootstrap_history(spark, sf):
-    """B1 on an empty database: every scanned mail is new; report per source."""
+    """B1 on tables that know the mail of ten days ago and all feedback; report per source."""
     e = fx.raw_emails(spark, sf)
-    empty_mail = e.limit(0)
-    empty_fb = fx.feedback(spark, sf).limit(0)
-    _, _, rep = OB.bootstrap_history(e, empty_mail, empty_fb, AS_OF)
+    mail = e.filter(F.col("received_at") < S.as_of_ntz(AS_OF) - F.expr("INTERVAL 10 DAY"))
+    _, _, rep = OB.bootstrap_history(e, mail, fx.feedback(spark, sf), AS_OF)
     return rep

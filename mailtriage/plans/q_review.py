@@ -1,6 +1,7 @@
 """Registered queries: review page and evaluation."""
 from __future__ import annotations
 
+from ..functions.packs import REVIEW_LIMIT
 from ..operators import review as RV
 from ..session import AS_OF
 from ..sources import fixtures as fx
@@ -12,17 +13,18 @@ QUEUE = fx.oracle_with("raw_emails", "feedback") + f""",
 q AS (SELECT f.email_id AS id, r.sender_domain, r.subject, r.snippet, r.received_at, f.user_label, f.source,
   f.created_at AS decided_at FROM feedback f JOIN raw_emails r ON r.id = f.email_id
   WHERE f.source LIKE 'auto_clean:%' AND f.created_at > {A} - INTERVAL 7 DAY
-  ORDER BY f.created_at DESC, f.email_id LIMIT 100)
+  ORDER BY f.created_at DESC, f.email_id)
 """
+PAGE = QUEUE + f", p AS (SELECT * FROM q ORDER BY decided_at DESC, id LIMIT {REVIEW_LIMIT})\n"
 
 
-def _queue(spark, sf):
-    return RV.review_queue(fx.feedback(spark, sf), fx.raw_emails(spark, sf), AS_OF)
+def _queue(spark, sf, limit=None):
+    return RV.review_queue(fx.feedback(spark, sf), fx.raw_emails(spark, sf), AS_OF, limit)
 
 
-@query("review_queue", sql=QUEUE + "SELECT * FROM q")
+@query("review_queue", sql=PAGE + "SELECT * FROM p")
 def q_review_queue(spark, sf):
-    return _queue(spark, sf)
+    return _queue(spark, sf, REVIEW_LIMIT)
 
 
 @query("review_stats_24h", sql=fx.oracle_with("feedback") + f"""
@@ -37,11 +39,11 @@ def q_flagged_count(spark, sf):
     return RV.flagged_count(_queue(spark, sf))
 
 
-@query("review_page", sql=QUEUE + """
+@query("review_page", sql=PAGE + """
 SELECT id, strftime(received_at, '%d.%m, %H:%M') AS shown_at, sender_domain, subject, substring(snippet, 1, 100) AS snippet,
- regexp_replace(source, 'auto_clean:', '') AS rule, user_label, decided_at FROM q""")
+ regexp_replace(source, 'auto_clean:', '') AS rule, user_label, decided_at FROM p""")
 def q_review_page(spark, sf):
-    return RV.review_page(_queue(spark, sf))
+    return RV.review_page(_queue(spark, sf, REVIEW_LIMIT))
 
 
 @query("pending_review", sql=fx.oracle_with("decisions", "feedback") + """

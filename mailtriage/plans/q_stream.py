@@ -26,13 +26,14 @@ def _message_feed(spark, sf, parts: int = 4) -> str:
 SELECT id, thread_id, sender, sender_domain, subject, snippet, labels, received_at FROM raw_emails""")
 def q_stream_ingest(spark, sf):
     src = _message_feed(spark, sf)
-    return ST.stream_ingest(spark, src, ST.scratch(spark, "st1-out"), ST.scratch(spark, "st1-ckpt"))
+    return ST.stream_ingest(spark, src, ST.scratch(spark, "st1-out"), ST.scratch(spark, "st1-ckpt"), files_per_trigger=1)
 
 
 @query("stream_triage", sql=O.with_routed() + "SELECT id, route, rule_id, decision, age_days FROM routed")
 def q_stream_triage(spark, sf):
     src = _message_feed(spark, sf)
-    out = ST.stream_triage(spark, src, ST.scratch(spark, "st2-out"), ST.scratch(spark, "st2-ckpt"), AS_OF)
+    out = ST.stream_triage(spark, src, ST.scratch(spark, "st2-out"), ST.scratch(spark, "st2-ckpt"), AS_OF,
+                           files_per_trigger=1)
     return out.select("id", "route", "rule_id", "decision", "age_days")
 
 
@@ -42,7 +43,7 @@ SELECT id, arg_max(labels, (changed_at, seq)) AS labels, max(changed_at) AS chan
 def q_stream_label_upsert(spark, sf):
     src = ST.scratch(spark, "feed-labels")
     fx.label_events(spark, sf).repartition(4).write.parquet(src)
-    return ST.stream_label_upsert(spark, src, ST.scratch(spark, "st3-out"), ST.scratch(spark, "st3-ckpt"))
+    return ST.stream_label_upsert(spark, src, ST.scratch(spark, "st3-out"), ST.scratch(spark, "st3-ckpt"), files_per_trigger=1)
 
 
 @query("stream_grace_expiry", sql=O.with_routed() + """
@@ -50,13 +51,17 @@ SELECT id, received_at + INTERVAL 7 DAY AS expired_at, rule_id FROM routed WHERE
 def q_stream_grace_expiry(spark, sf):
     src = ST.scratch(spark, "feed-grace")
     ev = ST.grace_events(fx.raw_emails(spark, sf), AS_OF)
-    # the clock: one control record at as_of moves the event-time watermark to as_of
+    # the feed in three stretches of event time, then the clock: one control record that moves the watermark to as_of
+    age = F.datediff(F.lit(AS_OF.date()), F.col("event_ts"))
+    for lo, hi in ((20, 10_000), (10, 20), (-1, 10)):
+        ev.filter((age >= lo) & (age < hi)).coalesce(1).write.mode("append").parquet(src)
     clock = spark.range(1).select(F.lit("").alias("id"), F.lit("clock").alias("kind"),
                                   F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp").alias("event_ts"),
                                   F.lit(False).alias("unread"), F.lit(None).cast("string").alias("rule_id"))
-    ev.unionByName(clock).write.parquet(src)
+    clock.write.mode("append").parquet(src)
     stream = spark.readStream.schema(
-        "id string, kind string, event_ts timestamp, unread boolean, rule_id string").parquet(src)
+        "id string, kind string, event_ts timestamp, unread boolean, rule_id string"
+    ).option("maxFilesPerTrigger", 1).parquet(src)
     out = ST.stream_grace_expiry(spark, stream, ST.scratch(spark, "st4-out"), ST.scratch(spark, "st4-ckpt"))
     return out.select("id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"), "rule_id")
 

@@ -38,7 +38,7 @@ def q_latest_per_key(spark, sf):
 SELECT {MAIL} FROM raw_emails UNION ALL
 SELECT DISTINCT {MAIL} FROM raw_emails_dirty d WHERE d.id NOT IN (SELECT id FROM raw_emails)""")
 def q_insert_if_absent_mail(spark, sf):
-    return K.insert_if_absent(fx.raw_emails(spark, sf), fx.raw_emails_dirty(spark, sf))
+    return K.insert_if_absent(fx.raw_emails(spark, sf), fx.raw_emails_dirty(spark, sf), F.col("received_at"))
 
 
 def _label_changes(spark, sf):
@@ -66,12 +66,12 @@ up AS (SELECT coalesce(o.id, n.id) AS id,
 
 @query("upsert_mail_labels", bench=True, sql=UPSERT_SQL + "SELECT * FROM up")
 def q_upsert_mail_labels(spark, sf):
-    return K.upsert_mail_labels(fx.raw_emails(spark, sf), _label_changes(spark, sf))
+    return K.upsert_mail_labels(fx.raw_emails(spark, sf), _label_changes(spark, sf), F.col("received_at"))
 
 
 @query("upsert_outcome_counts", sql=UPSERT_SQL + "SELECT outcome, count(*) AS n FROM up WHERE outcome <> 'unchanged' GROUP BY outcome")
 def q_upsert_outcome_counts(spark, sf):
-    return K.upsert_outcome_counts(K.upsert_mail_labels(fx.raw_emails(spark, sf), _label_changes(spark, sf)))
+    return K.upsert_outcome_counts(K.upsert_mail_labels(fx.raw_emails(spark, sf), _label_changes(spark, sf), F.col("received_at")))
 
 
 def _bootstrap_feedback(spark, sf):
@@ -98,7 +98,7 @@ SELECT email_id, user_label, source, created_at FROM boot
 WHERE user_label IS NOT NULL AND email_id NOT IN (SELECT email_id FROM feedback)""")
 def q_insert_if_absent_feedback(spark, sf):
     b = _bootstrap_feedback(spark, sf)
-    return K.insert_if_absent(fx.feedback(spark, sf), b, key="email_id", order=F.col("rank"))
+    return K.insert_if_absent(fx.feedback(spark, sf), b, F.col("rank"), key="email_id")
 
 
 def _observed(spark, sf):
@@ -137,7 +137,7 @@ def q_upsert_feedback_latest_legacy(spark, sf):
 
 QUEUE_SQL = f"""q AS (SELECT f.email_id AS id, f.user_label FROM feedback f JOIN raw_emails r ON r.id = f.email_id
  WHERE f.source LIKE 'auto_clean:%' AND f.created_at > {A} - INTERVAL 7 DAY
- ORDER BY f.created_at DESC, f.email_id LIMIT 100)"""
+)"""
 
 
 def _queue(spark, sf):

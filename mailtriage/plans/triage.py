@@ -25,6 +25,14 @@ from ..operators.rules import apply_rules
 from ..session import AS_OF
 from ..sources.scans import scan_inbox_window
 
+def commit_feedback(routed: DataFrame, acts: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    """T3's feedback: one row per trashed mail with its source tag."""
+    hit = routed.join(acts.select("id"), "id", "left_semi")
+    return hit.select(F.col("id").alias("email_id"), F.lit("spam").alias("user_label"),
+                      S.source_tag("route", F.coalesce("rule_id", F.lit(""))).alias("source"),
+                      S.as_of_ntz(as_of).alias("created_at"))
+
+
 TRASH_ROUTES = ("deletable", "grace_expired", "ml")
 
 ROUTE_ORDER = {"deletable": 0, "grace_expired": 1, "ml": 2, "ml_below": 3, "protected": 4, "unmatched": 5}

@@ -23,13 +23,12 @@ def build_session(master: str | None = None, app: str = "mailtriage",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings the jobs assume (UTC, AQE, no UI)."""
     master = master or os.environ.get("SPARK_MASTER") or "local[*]"
-    parts = shuffle_partitions or int(os.environ.get("SHUFFLE_PARTITIONS", "8"))
-    spark = (
+    parts = shuffle_partitions or os.environ.get("SHUFFLE_PARTITIONS")
+    builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -40,8 +39,10 @@ def build_session(master: str | None = None, app: str = "mailtriage",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if parts:  # else the cluster's own setting
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
     return spark

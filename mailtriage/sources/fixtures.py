@@ -52,8 +52,8 @@ def raw_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("h4") % 2 == 0, F.concat("loc", F.lit("@"), "dom"))
          .otherwise(F.concat(F.lit("Sender <"), "loc", F.lit("@"), "dom", F.lit(">"))).alias("sender"),
         F.col("dom").alias("sender_domain"),
-        F.concat("pref", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)).alias("subject"),
-        F.substring("text", 1, 200).alias("snippet"),
+        F.concat("pref", F.split_part("text", F.lit("\n"), F.lit(1))).alias("subject"),
+        F.col("text").alias("snippet"),
         F.expr("""CASE h1 % 10 WHEN 0 THEN array('TRASH') WHEN 1 THEN array('TRASH','UNREAD')
                  WHEN 2 THEN array('SPAM') WHEN 3 THEN array('CATEGORY_UPDATES')
                  WHEN 4 THEN array('INBOX','STARRED') WHEN 5 THEN array('INBOX')
@@ -156,7 +156,7 @@ ORACLE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "raw_emails": (f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, 't' || CAST(doc_id - doc_id % 3 AS VARCHAR) AS thread_id,
  CASE WHEN h4 % 2 = 0 THEN loc || '@' || dom ELSE 'Sender <' || loc || '@' || dom || '>' END AS sender,
- dom AS sender_domain, pref || substring(split_part(text, chr(10), 1), 1, 80) AS subject, substring(text, 1, 200) AS snippet,
+ dom AS sender_domain, pref || split_part(text, chr(10), 1) AS subject, text AS snippet,
  CASE h1 % 10 WHEN 0 THEN ['TRASH'] WHEN 1 THEN ['TRASH','UNREAD'] WHEN 2 THEN ['SPAM'] WHEN 3 THEN ['CATEGORY_UPDATES'] WHEN 4 THEN ['INBOX','STARRED'] WHEN 5 THEN ['INBOX'] ELSE ['INBOX','UNREAD'] END AS labels,
  {_AS_OF_DUCK} - to_seconds(CASE WHEN h3 % 4 = 0 THEN (doc_id * 48271 * 61) % (400 * 86400) ELSE (doc_id * 48271 * 61) % (30 * 86400) END) AS received_at
 FROM (SELECT doc_id, text, (doc_id * 7919 + 13) % 1009 AS h1, (doc_id * 6151 + 5) % 991 AS h3, (doc_id * 57 + 11) % 109 AS h4,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..functions.packs import SNIPPET_CHARS
 
 HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
 MESSAGE_SCHEMA = T.StructType([
@@ -52,7 +51,7 @@ def to_raw_emails(messages: DataFrame) -> DataFrame:
         full.alias("sender"),
         domain.alias("sender_domain"),
         S.header_lookup(headers, "Subject").alias("subject"),
-        S.truncate_text(S.default_missing("snippet", ""), SNIPPET_CHARS).alias("snippet"),
+        S.default_missing("snippet", "").alias("snippet"),
         S.labels_or_empty("labelIds").alias("labels"),
         S.epoch_ms_to_ts(F.col("internalDate")).alias("received_at"),
     )

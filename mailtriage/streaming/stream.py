@@ -44,32 +44,51 @@ def read_message_stream(spark: SparkSession, src_dir: str, files_per_trigger: in
     return r.json(src_dir)
 
 
+def _written(spark: SparkSession, out_dir: str, batch_id: int, columns: list[str]) -> DataFrame | None:
+    """What earlier batches wrote (folders below ``batch_id``), or None in the first batch."""
+    folders = [f"{out_dir}/batch_id={i}" for i in range(batch_id)]
+    return spark.read.parquet(*folders).select(*columns) if folders else None
+
+
 def stream_ingest(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
-                  watermark: str = "30 days") -> DataFrame:
-    """ST1: new mail as a stream: parse (P1-P5), first copy of an id wins.
+                  files_per_trigger: int | None = None) -> DataFrame:
+    """ST1: new mail as a stream: parse (P1-P5), first copy of an id wins, however old the mail is.
 
-    ``dropDuplicatesWithinWatermark`` keeps per-id state only while the
-    event time is within the watermark, so state does not grow without bound.
+    Each batch keeps one row per id (the earliest received) and drops the ids
+    that earlier batches have written (an anti join on the id column alone), so
+    no row is lost to a watermark. A retried batch overwrites its own folder.
     """
-    msgs = read_message_stream(spark, src_dir)
-    rows = (to_raw_emails(msgs).withColumn("_et", F.col("received_at").cast("timestamp"))
-            .withWatermark("_et", watermark).dropDuplicatesWithinWatermark(["id"]).drop("_et"))
-    _run(rows.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt))
-    return spark.read.parquet(out_dir)
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = first_copies(to_raw_emails(batch))
+        seen = _written(batch.sparkSession, out_dir, batch_id, ["id"])
+        if seen is not None:
+            rows = rows.join(seen, "id", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    msgs = read_message_stream(spark, src_dir, files_per_trigger)
+    _run(msgs.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
+    return spark.read.parquet(out_dir).drop("batch_id")
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    pick = F.struct(*rows.columns)
+    return rows.groupBy("id").agg(F.min_by(pick, F.struct("received_at", pick)).alias("_r")).select("_r.*")
 
 
 # ST2 -------------------------------------------------------------------------
 def stream_triage(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
-                  as_of: _dt.datetime | None = AS_OF, scorer=None, days_window: int | None = 30) -> DataFrame:
-    """ST2: T1 per micro-batch; ``as_of=None`` uses the batch's wall-clock start.
+                  as_of: _dt.datetime | None = AS_OF, scorer=None, days_window: int | None = 30,
+                  files_per_trigger: int | None = None) -> DataFrame:
+    """ST2: T1 per micro-batch; ``as_of=None`` uses the time at which the batch was first begun, which is
+    stored with it, so a retry decides alike.
 
     The writer overwrites ``out_dir/batch_id=N``, so a retried batch replaces
     its own output (idempotent).
     """
-    msgs = read_message_stream(spark, src_dir)
+    msgs = read_message_stream(spark, src_dir, files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        now = as_of or _dt.datetime.utcnow().replace(microsecond=0)
+        now = as_of or _batch_clock(batch.sparkSession, f"{out_dir}-clock/batch_id={batch_id}")
         routed = TR.triage(to_raw_emails(batch), now, scorer=scorer, days_window=days_window)
         routed.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
@@ -77,11 +96,18 @@ def stream_triage(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
     return spark.read.parquet(out_dir)
 
 
+def _batch_clock(spark: SparkSession, path: str) -> _dt.datetime:
+    now = spark.range(1).select(F.lit(_dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")).alias("now"))
+    now.write.mode("ignore").parquet(path)
+    return _dt.datetime.strptime(spark.read.parquet(path).first()["now"], "%Y-%m-%d %H:%M:%S")
+
+
 # ST3 -------------------------------------------------------------------------
 LABEL_EVENT_SCHEMA = "id string, seq bigint, changed_at timestamp_ntz, labels array<string>"
 
 
-def stream_label_upsert(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str) -> DataFrame:
+def stream_label_upsert(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
+                        files_per_trigger: int | None = None) -> DataFrame:
     """ST3: label-change feed -> last state per mail; a late change never overwrites a newer one.
 
     The streaming aggregation keeps ``max_by(labels, (changed_at, seq))`` per id
@@ -89,7 +115,8 @@ def stream_label_upsert(spark: SparkSession, src_dir: str, out_dir: str, ckpt: s
     batch's updates go to their own folder, and the table is the latest
     update per id (the same ``max_by`` over the update folders).
     """
-    ev = spark.readStream.schema(LABEL_EVENT_SCHEMA).parquet(src_dir)
+    reader = spark.readStream.schema(LABEL_EVENT_SCHEMA)
+    ev = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(src_dir)
     agg = ev.groupBy("id").agg(F.max_by(F.struct("labels", "changed_at", "seq"),
                                         F.struct("changed_at", "seq")).alias("last"))
 
@@ -111,34 +138,40 @@ def current_labels(updates: DataFrame) -> DataFrame:
 GRACE_OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("expired_at", T.TimestampType()),
                           T.StructField("rule_id", T.StringType())])
 GRACE_STATE = T.StructType([T.StructField("received_ms", T.LongType()), T.StructField("unread", T.BooleanType()),
-                            T.StructField("rule_id", T.StringType())])
+                            T.StructField("rule_id", T.StringType()), T.StructField("seen_ms", T.LongType())])
 GRACE_MS = GRACE_PERIOD_DAYS * 86_400_000
+NOT_YET = -1  # received_ms of a mail of which only changes have been seen
 
 
 def _grace_fn(key, pdfs, state):
-    """Per mail: one event-time timer at receipt + 7 days; reading the mail first cancels it."""
+    """Per mail: one event-time timer at receipt + 7 days; reading the mail first cancels it.
+
+    Events may come in any order over batches: the one with the latest event time says whether the mail is
+    unread, and a read that comes before its arrival is kept. A mail whose time is already past the
+    watermark is answered at once.
+    """
     (mail_id,) = key
-    if state.hasTimedOut:
-        received_ms, unread, rule_id = state.get
-        state.remove()
-        if unread:
-            yield pd.DataFrame({"id": [mail_id], "expired_at": [pd.Timestamp(received_ms + GRACE_MS, unit="ms")],
-                                "rule_id": [rule_id]})
-        return
-    received_ms, unread, rule_id = state.get if state.exists else (None, True, None)
-    for pdf in pdfs:
-        for rec in pdf.sort_values(["event_ms"]).itertuples(index=False):
-            if rec.kind == "arrival":
-                received_ms, rule_id = int(rec.event_ms), rec.rule_id
-            unread = bool(rec.unread)
-    if received_ms is None:
-        return
-    if not unread:
+    received_ms, unread, rule_id, seen_ms = state.get if state.exists else (NOT_YET, True, None, NOT_YET)
+    expired = state.hasTimedOut
+    if not expired:
+        for pdf in pdfs:
+            for rec in pdf.sort_values(["event_ms"]).itertuples(index=False):
+                if rec.kind == "arrival":
+                    received_ms, rule_id = int(rec.event_ms), rec.rule_id
+                if rec.event_ms >= seen_ms:
+                    unread, seen_ms = bool(rec.unread), int(rec.event_ms)
+        # without an arrival, the change is remembered for one more period
+        fires = (received_ms if received_ms != NOT_YET else seen_ms) + GRACE_MS - 1
+        expired = fires <= state.getCurrentWatermarkMs()
+        if not expired:
+            state.update((received_ms, unread, rule_id, seen_ms))
+            state.setTimeoutTimestamp(fires)
+            return
+    if state.exists:
         state.remove()
-        return
-    state.update((received_ms, unread, rule_id))
-    # fire once the watermark reaches receipt + 7 days (age >= 7 days)
-    state.setTimeoutTimestamp(received_ms + GRACE_MS - 1)
+    if unread and received_ms != NOT_YET:
+        yield pd.DataFrame({"id": [mail_id], "expired_at": [pd.Timestamp(received_ms + GRACE_MS, unit="ms")],
+                            "rule_id": [rule_id]})
 
 
 def stream_grace_expiry(spark: SparkSession, events: DataFrame, out_dir: str, ckpt: str,

@@ -18,7 +18,7 @@ from mailtriage.session import build_session  # noqa: E402
 def main(argv):
     sf = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")] or sorted(QUERIES)
-    spark = build_session()
+    spark = build_session(shuffle_partitions=8)
     con = duck_connect(sf)
     bad = 0
     for name in names:

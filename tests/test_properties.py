@@ -36,15 +36,15 @@ def _same(a, b):
 
 def test_upserts_are_idempotent(spark):
     mail, dirty = fx.raw_emails(spark, SF_SMALL), fx.raw_emails_dirty(spark, SF_SMALL)
-    once = K.insert_if_absent(mail, dirty)
-    assert _same(once, K.insert_if_absent(once, dirty))
+    once = K.insert_if_absent(mail, dirty, F.col("received_at"))
+    assert _same(once, K.insert_if_absent(once, dirty, F.col("received_at")))
     fb = fx.feedback(spark, SF_SMALL)
     ch = fb.select("email_id", F.lit("spam").alias("user_label"), F.lit("user_confirm").alias("source"),
                    F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz").alias("created_at"))
     f1 = K.upsert_feedback_latest(fb, ch)
     assert _same(f1, K.upsert_feedback_latest(f1, ch))
-    up1 = K.upsert_mail_labels(mail, dirty).drop("outcome")
-    assert _same(up1, K.upsert_mail_labels(up1, dirty).drop("outcome"))
+    up1 = K.upsert_mail_labels(mail, dirty, F.col("received_at")).drop("outcome")
+    assert _same(up1, K.upsert_mail_labels(up1, dirty, F.col("received_at")).drop("outcome"))
 
 
 def test_outbox_contract(spark):
