@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CAPACITY, END_ID = 2048, 1
-#: Words whose ids a worker remembers at most, on each of two levels; then it starts anew.
-REMEMBERED = 80_000
+#: Words whose ids a worker remembers at most, and half as many parts of words; then it starts anew.
+REMEMBERED = 240_000
 
 
 def encoder(path: str, end_id: int, remembered: int = REMEMBERED):
@@ -39,7 +39,7 @@ def encoder(path: str, end_id: int, remembered: int = REMEMBERED):
 
     class Parts(dict):
         def __missing__(self, part: bytes) -> bytes:
-            if len(self) >= remembered:
+            if len(self) >= remembered // 2:
                 self.clear()
             ids = self[part] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(part.decode())])
             return ids
