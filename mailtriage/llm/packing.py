@@ -16,55 +16,106 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CAPACITY, END_ID = 2048, 1
-#: Words whose ids a worker remembers at most, and half as many parts of words; then it starts anew.
-REMEMBERED = 240_000
+#: Runs of letters or signs whose ids a worker remembers at most, those met last; and bytes of text it encodes at once.
+REMEMBERED, AT_ONCE = 200_000, 1 << 23
+#: Letters of Latin-1: composed, lower-cased one to one, so a word of them and visible ASCII needs no normalizer.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
+class Recent(dict):
+    """Remembers ``compute(key)`` of the keys met last: a full half becomes the old one, and the one before that goes."""
+
+    def __init__(self, compute, size: int):
+        super().__init__()
+        self.compute, self.half, self.old = compute, max(1, size // 2), {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
-def encoder(path: str, end_id: int, remembered: int = REMEMBERED):
-    """text -> bytes of its ids (little-endian unsigned 32-bit) and the end id.
+def encoder(path: str, remembered: int = REMEMBERED):
+    """String array -> (buffer of little-endian unsigned 32-bit ids, byte offsets of the texts in it).
 
-    Ids are those of the tokenizer file on the whole text. White space separates pre-tokens there, so ids are
-    looked up word by word. A word of visible ASCII goes through the file's own split rule and BPE model
-    directly; any other word, and one that may hold a special token, through the whole tokenizer.
+    Ids are those of the tokenizer file on the whole text (null: none). White space separates pre-tokens there, so
+    each different word of the array is encoded once. Words of visible ASCII and Latin-1 letters go through the file's
+    own split rule and BPE model directly; others, and those that may hold a special token, through the whole tokenizer.
     """
     import re
 
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     model = tok.model
-    # the file's split rule, read for lower-case ASCII
-    split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-    plain = re.compile(rb"[\x21-\x7e]+").fullmatch
-
-    class Parts(dict):
-        def __missing__(self, part: bytes) -> bytes:
-            if len(self) >= remembered // 2:
-                self.clear()
-            ids = self[part] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(part.decode())])
-            return ids
-
-    parts = Parts()
+    coded = [i.to_bytes(4, "little") for i in range(tok.get_vocab_size())]
+    # the file's split rule, read for lower-case ASCII and Latin-1, and the end of a word
+    split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z{LATIN}0-9]+|\n").findall
+    plain = rf"^[\x21-\x7e{LATIN}]+$"
+    # byte-level BPE writes a byte without a visible character as the next free one from 256 on
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    byte_signs = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in shown)}
+
+    def run_ids(run: str) -> bytes:
+        if run == "\n":
+            return b""
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(byte_signs)
+        return b"".join([coded[t.id] for t in model.tokenize(run)])
+
+    def odd_ids(word: str) -> bytes:
+        return b"".join([coded[i] for i in tok.encode(word, add_special_tokens=False).ids])
+
+    run, odd = Recent(run_ids, remembered).__getitem__, Recent(odd_ids, remembered // 4).__getitem__
+
+    def strings(array) -> list:
+        return array.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+
+    def view(array) -> tuple:
+        """(offsets, data) of a fresh large binary array."""
+        return np.frombuffer(array.buffers()[1], np.int64)[:len(array) + 1], array.buffers()[2] or pa.py_buffer(b"")
+
+    def word_ids(words):
+        is_plain = pc.and_(pc.match_substring_regex(words, plain), pc.invert(pc.match_substring(words, "<|")))
+        others = strings(words.filter(pc.invert(is_plain)))
+        # every word ends in a run "\n" without ids
+        runs = pa.array(split("".join([w + "\n" for w in strings(words.filter(is_plain))]).lower()), pa.string()).dictionary_encode()
+        at, data = view(pa.array([run(r) for r in strings(runs.dictionary)], pa.large_binary()).take(runs.indices))
+        ends = at[np.flatnonzero(pc.equal(runs, "\n").to_numpy(zero_copy_only=False))]
+        plain_ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), data])
+        ids = pa.concat_arrays([plain_ids, pa.array([odd(w) for w in others], pa.large_binary())])
+        here = is_plain.to_numpy(zero_copy_only=False)
+        return ids.take(pa.array(np.where(here, np.cumsum(here) - 1, len(ends) + np.cumsum(~here) - 1)))
+
+    def encode(texts) -> tuple:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.values.dictionary_encode()
+        at, data = view(word_ids(words.dictionary).take(words.indices))
+        return data, at[lists.offsets.to_numpy()]
 
-    class Words(dict):
-        def __missing__(self, word: bytes) -> bytes:
-            if len(self) >= remembered:
-                self.clear()
-            if plain(word) and b"<|" not in word:
-                ids = b"".join([parts[p] for p in split(word.lower())])
-            else:
-                ids = b"".join([i.to_bytes(4, "little") for i in tok.encode(word.decode(), add_special_tokens=False).ids])
-            if len(word) <= 64:
-                self[word] = ids
-            return ids
+    return encode
 
-    words, end = Words(), end_id.to_bytes(4, "little")
-    look = words.__getitem__
 
-    def encode(text: str | None) -> bytes:
-        return b"".join(map(look, (text or "").encode().split())) + end
+def slices(texts, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of rows, each of about ``size`` bytes of text, or one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    return encode
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+    start = 0
+    while start < len(total):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + size, "right")))
+        yield start, end - start
+        start = end
 
 
 def cuts(tokens: int, capacity: int) -> Iterator[int]:
@@ -117,7 +168,8 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, bins, base = encoder(path, end_id), Bins(capacity), TaskContext.get().partitionId() << 40
+        encode, bins, base = encoder(path), Bins(capacity), TaskContext.get().partitionId() << 40
+        end = end_id.to_bytes(4, "little")
         kind = None
 
         def batch(placed: list):
@@ -130,16 +182,19 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
         placed = []
         for b in batches:
             kind = b.schema.field(0).type
-            for key, text in zip(b.column(0), b.column(1)):
-                ids = encode(text.as_py())
-                key, n, at = key.as_py(), len(ids) // 4, 0
-                for size in cuts(n, capacity):
-                    own = ids[4 * at:4 * (at + size)]
-                    placed += bins.add((key, at, size, zlib.crc32(own), n, own if with_ids else None), size)
-                    at += size
-                if len(placed) >= 2_000:
-                    yield batch(placed)
-                    placed = []
+            for start, count in slices(b.column(1), AT_ONCE):
+                data, offsets = encode(b.column(1).slice(start, count))
+                data = memoryview(data)
+                for key, i, j in zip(b.column(0).slice(start, count), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    ids = bytes(data[i:j]) + end
+                    key, n, at = key.as_py(), len(ids) // 4, 0
+                    for size in cuts(n, capacity):
+                        own = ids[4 * at:4 * (at + size)]
+                        placed += bins.add((key, at, size, zlib.crc32(own), n, own if with_ids else None), size)
+                        at += size
+                    if len(placed) >= 2_000:
+                        yield batch(placed)
+                        placed = []
         placed += bins.close()
         if placed:
             yield batch(placed)
