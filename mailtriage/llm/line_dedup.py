@@ -30,6 +30,8 @@ FILTER_LONGS = 1 << 17
 #: Letters of scripts that are written without blanks between words.
 UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 ANCHORED = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{UNSPACED}]|[^\x20{UNSPACED}]{{1,{WIDTH}}})"
+#: The same for a line without such letters, all of which lie in one range: a cheap test saves a costly pattern.
+MAY_BE_UNSPACED, BLANKED = "[\u0e00-\uffff]", rf"(?s)(?=(.{{1,{WIDTH}}}))[^\x20]{{1,{WIDTH}}}"
 
 
 def normal(line: Column) -> Column:
@@ -39,8 +41,9 @@ def normal(line: Column) -> Column:
     return F.lower(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "))).otherwise(F.btrim(line)))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(normal(line), F.lit(ANCHORED), F.lit(1))
+def shingles(normal_line: Column) -> Column:
+    return F.when(normal_line.rlike(MAY_BE_UNSPACED), F.regexp_extract_all(normal_line, F.lit(ANCHORED), F.lit(1))).otherwise(
+        F.regexp_extract_all(normal_line, F.lit(BLANKED), F.lit(1)))
 
 
 def _constant(i: int) -> int:
@@ -58,7 +61,8 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, copies, m0, m1, ..) of each distinct line."""
-    s = lines.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
+    s = lines.select("h1", "h2", normal(F.col("line")).alias("line"))
+    s = s.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
     return s.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *[
         F.min(F.col("s").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
 
@@ -75,9 +79,15 @@ def bit_filter(keys: DataFrame) -> Column:
     return F.getbit(F.get(one.scalar(), word), bit) == 1
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the Jaccard index of two sets is ``similarity`` or more."""
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return both / (F.size(a) + F.size(b) - both) >= similarity
+
+
+def near_sizes(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be as similar: their overlap is at most the smaller one."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -114,22 +124,29 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
     """
     text = relevant.select("h1", "h2", "line").join(ids, ["h1", "h2"]).groupBy("h1", "h2").agg(
         F.first("line").alias("line"), F.first("copies").alias("copies"))
+    text = text.withColumn("line", normal(F.col("line")))
     sets = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"),
                            F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "sets")
-    names = sets.select("h1", "h2", "id", "copies")
-    named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies"), "named")
+    names = sets.select("h1", "h2", "id", "copies", F.size("set").alias("n"))
+    named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies", "n"), "named")
     rank = F.struct("copies", "id")
-    heads = named.groupBy("key").agg(F.max(rank).alias("head")).select("key", F.col("head.id").alias("id2"))
-    star = named.join(heads, "key").where("id <> id2").select("id", "id2").distinct()
+    heads = named.groupBy("key").agg(F.max_by(F.struct("id", "n"), rank).alias("head")).select(
+        "key", F.col("head.id").alias("id2"), F.col("head.n").alias("n2"))
+    sized = near_sizes(F.col("n"), F.col("n2"), similarity)
     mine, other = sets.select("id", "set"), sets.select(F.col("id").alias("id2"), F.col("set").alias("set2"))
-    star = star.join(mine, "id").join(other, "id2").where(jaccard(F.col("set"), F.col("set2")) >= similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (id, id2, ..) that are similar; each is compared once, however many buckets it shares."""
+        return pairs.distinct().join(mine, "id").join(other, "id2").where(similar(F.col("set"), F.col("set2"), similarity))
+
+    star = verified(named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2"))
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    placed = named.select("key", "id").join(rooted.select("id", "root"), "id")
+    placed = named.select("key", "id", "n").join(rooted.select("id", "root"), "id")
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    split = cut(placed.join(mixed, "key").join(mine, "id").select("key", "id", "root", "set"), "mixed")
-    again = split.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("set").alias("set2"))
-    links = split.join(again, "key").where("id < id2 and root <> root2").where(jaccard(F.col("set"), F.col("set2")) >= similarity)
+    split = cut(placed.join(mixed, "key"), "mixed")
+    again = split.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    links = verified(split.join(again, "key").where("id < id2 and root <> root2").where(sized).select("id", "id2", "root", "root2"))
     top = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
     final = rooted.join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "h1", "h2", "id", F.coalesce("top", "root").alias("root"))
