@@ -245,6 +245,25 @@ def test_packing(spark, make):
     assert packing.pack(make([]).limit(0), path).count() == 0
 
 
+def test_packing_encoder():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer()
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path, remembered=40)
+    texts = [None, "", "  a \n", " ".join(chr(c) + "'S" + chr(c).upper() for c in range(33, 0x180)), "l'ÉTÉ straße×÷ªº ÀÿŸ 12", "<|endoftext|>é",
+             "e\u0301a a\x1fb", *(rng_text(random.Random(i), 90) for i in range(30))]
+    array = pa.array(texts, pa.string())
+    for size in (1, 500, 1 << 23):
+        got, at = [], 0
+        for start, count in packing.slices(array, size):
+            assert start == at and count > 0
+            at += count
+            data, ends = encode(array.slice(start, count))
+            got += [np.frombuffer(data, "<u4")[i // 4:j // 4].tolist() for i, j in zip(ends, ends[1:])]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 # op6
 
 def brute_sketch(text):
