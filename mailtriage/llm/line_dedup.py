@@ -6,9 +6,10 @@ every character in scripts without blanks, and every ``WIDTH`` characters of a l
 band share a bucket.
 
 In a bucket, every line is first compared with the bucket's most frequent line (a star, linear in the bucket).
-The exact Jaccard index of the shingle sets decides. Union-find joins the links; lines of one bucket that
-are still in different components are then compared with each other, again exactly, so a large bucket isn't
-expanded into pairs and no link inside a bucket is lost. Of each component one line stays: the first by doc_id and place.
+The exact Jaccard index of the shingle sets decides. Union-find joins the links. Where lines of one bucket are
+still in different components, those outside its largest component are compared, again exactly, with the lines
+that share one of their rarest shingles: similar lines always do (the prefix filter of set similarity joins), so no
+bucket is expanded into pairs and no link inside one is lost. Of each component one line stays: the first by doc_id and place.
 
 With similarity 0.8 two lines share one of 8 bands of 4 with probability 0.985, with 0.85 0.997,
 with 0.9 0.9999. DataFrame functions only. Copies of a line are collapsed by partial aggregation before any shuffle. Most lines have no partner; a bit filter
@@ -117,6 +118,28 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed"))
 
 
+def rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
+    """``lines(id, set, ..)`` -> (id, .., n, t, at): the rarest elements of each set, as many as a similar set can't all miss.
+
+    Two sets as similar as ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` elements in any common
+    order (n: a set's size, at: an element's place from 1). Rarest first, elements of a frequent passage come last. An
+    element that only one set has takes a place but gives no row.
+    """
+    rest = [c for c in lines.columns if c != "set"]
+    each = lines.select(*rest, F.size("set").alias("n"), F.explode("set").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(often, "t").groupBy(*rest, "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    placed = ranked.select(*rest, "n", (F.col("n") - F.size("s") + 1).alias("before"), F.posexplode(F.col("s")["t"]).alias("at", "t"))
+    placed = placed.select(*rest, "n", "t", (F.col("at") + F.col("before")).alias("at"))
+    return placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1)
+
+
+def room(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """Whether two sets can be as similar if their first common element has these places: the overlap is at most that
+    element and what follows it in either set."""
+    return 1 + F.least(n - at, n2 - at2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - F.lit(1e-9)
+
+
 def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
     """(h1, h2, g1, g2): the representative of every line of a component of two or more.
 
@@ -142,11 +165,16 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
     star = verified(named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2"))
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    placed = named.select("key", "id", "n").join(rooted.select("id", "root"), "id")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    split = cut(placed.join(mixed, "key"), "mixed")
-    again = split.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    links = verified(split.join(again, "key").where("id < id2 and root <> root2").where(sized).select("id", "id2", "root", "root2"))
+    placed = named.select("key", "id").join(rooted.select("id", "root"), "id")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1")
+    split = placed.join(mixed.select("key", "main"), "key").groupBy("id", "root").agg(
+        F.max(F.col("root") != F.col("main")).alias("probe"))
+    prefixes = cut(rare_prefixes(cut(split.join(mine, "id"), "mixed"), similarity), "prefixes")
+    again = prefixes.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")])
+    enough = room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)
+    links = verified(prefixes.where("probe").join(again, "t").where("root <> root2").where(sized).where(enough)
+                     .select("id", "id2", "root", "root2"))
     top = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
     final = rooted.join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "h1", "h2", "id", F.coalesce("top", "root").alias("root"))

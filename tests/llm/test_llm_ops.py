@@ -151,6 +151,28 @@ def test_line_dedup(spark, make):
     assert got[104] == 1 and got[100] == 0
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_rare_prefixes(spark, similarity):
+    """A cloud of near copies, subsets and strangers: every similar pair shares a place that leaves room for it."""
+    r = random.Random(int(similarity * 10))
+    base, sets = list(range(60)), {"empty": []}
+    for i in range(90):
+        kept = r.sample(base, r.randrange(40, 61))
+        sets[f"c{i}"] = sorted({*kept, *[r.randrange(60, 160) for _ in range(r.randrange(0, 14))]})
+    sets.update({f"s{i}": r.sample(range(200), r.randrange(1, 6)) for i in range(30)})
+    sets["same"] = sets["c0"]
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+            and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= similarity}
+    assert want
+    rows = spark.createDataFrame([(k, v) for k, v in sets.items()], "id string, set array<bigint>")
+    p = line_dedup.rare_prefixes(rows, similarity)
+    q = p.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at")])
+    pairs = p.join(q, "t").where("id < id2").where(line_dedup.near_sizes(F.col("n"), F.col("n2"), similarity)).where(
+        line_dedup.room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)).select("id", "id2").distinct()
+    got = {(x["id"], x["id2"]) for x in pairs.collect()}
+    assert want <= got and len(got) < len(sets) * (len(sets) - 1) / 2
+
+
 def test_line_dedup_odd(spark, make):
     out = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(out) == len(ODD)
