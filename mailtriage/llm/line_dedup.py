@@ -145,8 +145,8 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
 
     ``relevant`` holds the lines' texts, ``ids(h1, h2, copies)`` the lines in buckets, ``inside(key, h1, h2)`` the buckets.
     """
-    text = relevant.select("h1", "h2", "line").join(ids, ["h1", "h2"]).groupBy("h1", "h2").agg(
-        F.first("line").alias("line"), F.first("copies").alias("copies"))
+    # copies collapse before the shuffle: a line that is very frequent is one row per task
+    text = relevant.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(ids, ["h1", "h2"])
     text = text.withColumn("line", normal(F.col("line")))
     sets = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"),
                            F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "sets")
