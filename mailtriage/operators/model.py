@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packs import UNCERTAIN_BAND
-from ..session import AS_OF
+from ..session import AS_OF, cut
 from . import features as FE
 
 KINDS = ("logistic", "gbm")
@@ -96,14 +96,17 @@ def score(tm: TrainedModel, emails: DataFrame, as_of: _dt.datetime | None = None
 
 
 def scorer(tm: TrainedModel, as_of: _dt.datetime = AS_OF):
-    """Scoring step for ``plans.triage.triage``: (routed, scanned) -> routed + p_spam, model_version.
+    """Scoring step for ``plans.triage.triage``: routed -> routed + p_spam, model_version.
 
-    Features are computed from the scanned mail, not from the routed frame, so
-    the rule expression is evaluated once; the scores join back on the id.
+    Only mail that no rule decides is scored; the others get nulls. The routed mail is written
+    once, so neither the filter nor the join back evaluates the rules again.
     """
-    def run(routed: DataFrame, scanned: DataFrame) -> DataFrame:
-        s = score(tm, scanned, as_of)
-        return routed.join(s, "id", "left")
+    def run(routed: DataFrame) -> DataFrame:
+        routed = cut(routed, "routed")
+        open_mail = routed.where(F.col("hit").isNull())
+        decided = routed.where(F.col("hit").isNotNull()).select(
+            "*", F.lit(None).cast("double").alias("p_spam"), F.lit(None).cast("string").alias("model_version"))
+        return open_mail.join(score(tm, open_mail, as_of), "id", "left").unionByName(decided)
     return run
 
 

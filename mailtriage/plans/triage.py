@@ -54,13 +54,10 @@ def triage(emails: DataFrame, as_of: _dt.datetime = AS_OF, pack: str = DEFAULT_P
            threshold: float = ML_SPAM_THRESHOLD) -> DataFrame:
     """T1 (with ``scorer``) / T2 (``scorer=None``): one routed row per scanned mail.
 
-    ``scorer(routed, scanned) -> routed`` adds ``p_spam`` and ``model_version``
-    (see ``operators.model.scorer``); it computes features from the scanned
-    mail and joins the scores back on the id, so the rule expression runs
-    once. The score is kept only where no rule hit.
+    ``scorer(routed) -> routed`` adds ``p_spam`` and ``model_version`` to mail
+    without a rule hit (see ``operators.model.scorer``).
     """
     df = scan_inbox_window(emails, as_of, days_window) if days_window is not None else emails
-    scanned = df
     received = F.col("received_at")
     df = apply_rules(df.select(
         "id", "thread_id", "sender", "sender_domain", "subject", "snippet", "labels", "received_at",
@@ -68,7 +65,7 @@ def triage(emails: DataFrame, as_of: _dt.datetime = AS_OF, pack: str = DEFAULT_P
         S.age_days(received, as_of).alias("age_days"),
     ), pack)
     if scorer is not None:
-        df = scorer(df, scanned)
+        df = scorer(df)
         p = F.when(F.col("hit").isNull(), F.col("p_spam"))
         ver = F.when(F.col("hit").isNull(), F.col("model_version"))
     else:
