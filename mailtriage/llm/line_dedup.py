@@ -2,8 +2,8 @@
 
 A line's shingles are the ``WIDTH`` characters (lower case, white space as one blank) from each word's start on; from
 every character in scripts without blanks, and every ``WIDTH`` characters of a long word. The signature has
-``BANDS * ROWS`` values, each the smallest shingle hash after XOR with a constant of its own. Lines that agree in a
-band share a bucket.
+``BANDS * ROWS`` values, each the smallest of a hash of its own over the shingles (32 bits; two come from one 64-bit hash).
+Lines that agree in a band share a bucket.
 
 In a bucket, every line is first compared with the bucket's most frequent line (a star, linear in the bucket).
 The exact Jaccard index of the shingle sets decides. Union-find joins the links. Where lines of one bucket are
@@ -47,10 +47,20 @@ def shingles(normal_line: Column) -> Column:
         F.regexp_extract_all(normal_line, F.lit(BLANKED), F.lit(1)))
 
 
-def _constant(i: int) -> int:
-    """Fixed XOR constants: multiples of the 64-bit golden ratio."""
-    v = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    return v - (1 << 64) if v >= 1 << 63 else v
+def hashes(s: Column) -> list[Column]:
+    """Independent hashes of a shingle hash, named x0, x1, ..: half as many as the signature has values."""
+    return [F.xxhash64(F.lit(k), s).alias(f"x{k}") for k in range(BANDS * ROWS // 2)]
+
+
+def minima() -> list[Column]:
+    """The signature m0, m1, .. of a group of shingles with their ``hashes``: the minima of the halves of each."""
+    halves = [h for k in range(BANDS * ROWS // 2) for h in (F.shiftright(f"x{k}", 32), F.col(f"x{k}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return [F.min(h).alias(f"m{k}") for k, h in enumerate(halves)]
+
+
+def band_keys() -> Column:
+    """The array of a signature's buckets."""
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -64,8 +74,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, copies, m0, m1, ..) of each distinct line."""
     s = lines.select("h1", "h2", normal(F.col("line")).alias("line"))
     s = s.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
-    return s.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *[
-        F.min(F.col("s").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
+    return s.select("h1", "h2", "i", *hashes(F.col("s"))).groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *minima())
 
 
 def bit_filter(keys: DataFrame) -> Column:
@@ -97,8 +106,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     The first line of a component is that of the smallest doc_id (null last), text hash and place.
     """
     lines = occurrences(docs)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    members = cut(signatures(lines).select("h1", "h2", "copies", bands.alias("bands")), "bands")
+    members = cut(signatures(lines).select("h1", "h2", "copies", band_keys().alias("bands")), "bands")
     # a bucket's rows meet once; lines that share a bucket with another line stay
     bucket = Window.partitionBy("key")
     inside = (members.select("h1", "h2", F.explode("bands").alias("key"))

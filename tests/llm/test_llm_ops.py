@@ -151,6 +151,25 @@ def test_line_dedup(spark, make):
     assert got[104] == 1 and got[100] == 0
 
 
+def test_band_recall(spark):
+    """Small sets with a Jaccard index of 0.8 and 0.9 meet in a band as often as independent hashes make them."""
+    r, n = random.Random(11), 4000
+    cases = [(5, 4), (10, 8), (20, 16), (10, 9), (20, 18)]  # shingles of both, and of those the shared
+    rows = []
+    for c, (union, shared) in enumerate(cases):
+        for p in range(n):
+            every = [r.getrandbits(64) - 2**63 for _ in range(union)]
+            one = (union - shared + 1) // 2
+            rows += [(c, p, 0, s) for s in every[:shared + one]] + [(c, p, 1, s) for s in every[:shared] + every[shared + one:]]
+    s = spark.createDataFrame(rows, "c int, p int, side int, s bigint").select("c", "p", "side", *line_dedup.hashes(F.col("s")))
+    signed = s.groupBy("c", "p", "side").agg(*line_dedup.minima()).select("c", "p", line_dedup.band_keys().alias("b"))
+    met = signed.groupBy("c", "p").agg(F.arrays_overlap(F.min_by("b", "b"), F.max_by("b", "b")).alias("met"))
+    got = {x["c"]: x["met"] for x in met.groupBy("c").agg(F.avg(F.col("met").cast("int")).alias("met")).collect()}
+    for c, (union, shared) in enumerate(cases):
+        want = 1 - (1 - (shared / union) ** line_dedup.ROWS) ** line_dedup.BANDS
+        assert abs(got[c] - want) < 0.012, (union, shared, got[c], want)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
 def test_rare_prefixes(spark, similarity):
     """A cloud of near copies, subsets and strangers: every similar pair shares a place that leaves room for it."""
