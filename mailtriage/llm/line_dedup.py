@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
-A line's shingles are the ``WIDTH`` characters (lower case, white space as one blank) from each word's start on; from
-every character in scripts without blanks, and every ``WIDTH`` characters of a long word. The signature has
+A line's shingles are all runs of ``WIDTH`` characters (lower case, white space as one blank), in any script; a shorter
+line is its own shingle. The signature has
 ``BANDS * ROWS`` values, each the smallest of a hash of its own over the shingles (32 bits; two come from one 64-bit hash).
 Lines that agree in a band share a bucket.
 
@@ -28,11 +28,8 @@ from .union_find import components
 SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 8, 4
 #: Longs of the bit filter: 1 MB, whatever the input.
 FILTER_LONGS = 1 << 17
-#: Letters of scripts that are written without blanks between words.
-UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
-ANCHORED = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{UNSPACED}]|[^\x20{UNSPACED}]{{1,{WIDTH}}})"
-#: The same for a line without such letters, all of which lie in one range: a cheap test saves a costly pattern.
-MAY_BE_UNSPACED, BLANKED = "[\u0e00-\uffff]", rf"(?s)(?=(.{{1,{WIDTH}}}))[^\x20]{{1,{WIDTH}}}"
+#: The shingles as a pattern: every ``WIDTH`` characters in a row, of a shorter line the whole.
+ANCHORED = rf"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}(?!.)))."
 
 
 def normal(line: Column) -> Column:
@@ -42,9 +39,24 @@ def normal(line: Column) -> Column:
     return F.lower(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "))).otherwise(F.btrim(line)))
 
 
-def shingles(normal_line: Column) -> Column:
-    return F.when(normal_line.rlike(MAY_BE_UNSPACED), F.regexp_extract_all(normal_line, F.lit(ANCHORED), F.lit(1))).otherwise(
-        F.regexp_extract_all(normal_line, F.lit(BLANKED), F.lit(1)))
+def characters(normal_line: Column) -> Column:
+    """The line with four bytes a character, so that a shingle is found by its place."""
+    return F.encode(normal_line, "UTF-32")
+
+
+def places(chars: Column) -> Column:
+    """Where the shingles of ``characters`` start: everywhere, but one shingle at least."""
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(chars) / 4).cast("int") - WIDTH, F.lit(0)))
+
+
+def shingle(chars: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(chars, place * 4 + 1, F.lit(WIDTH * 4)))
+
+
+def shingle_set(normal_line: Column) -> Column:
+    """The distinct shingles of a line, as hashes."""
+    one = F.transform(F.array(characters(normal_line)), lambda c: F.array_distinct(F.transform(places(c), lambda i: shingle(c, i))))
+    return F.get(one, F.lit(0))
 
 
 def hashes(s: Column) -> list[Column]:
@@ -72,8 +84,9 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, copies, m0, m1, ..) of each distinct line."""
-    s = lines.select("h1", "h2", normal(F.col("line")).alias("line"))
-    s = s.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("h1", "h2", "i", F.xxhash64("s").alias("s"))
+    s = lines.select("h1", "h2", characters(normal(F.col("line"))).alias("line"))
+    s = s.select("h1", "h2", "line", F.explode_outer(places(F.col("line"))).alias("i"))
+    s = s.select("h1", "h2", "i", shingle(F.col("line"), F.col("i")).alias("s"))
     return s.select("h1", "h2", "i", *hashes(F.col("s"))).groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *minima())
 
 
@@ -89,10 +102,10 @@ def bit_filter(keys: DataFrame) -> Column:
     return F.getbit(F.get(one.scalar(), word), bit) == 1
 
 
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the Jaccard index of two sets is ``similarity`` or more."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both) >= similarity
+def similar(a: Column, n: Column, b: Column, n2: Column, similarity: float) -> Column:
+    """Whether the Jaccard index of two lines' shingles, of which they have n and n2, is ``similarity`` or more."""
+    both = F.size(F.array_intersect(shingle_set(a), shingle_set(b)))
+    return F.exists(F.array(both), lambda x: x / (n + n2 - x) >= similarity)
 
 
 def near_sizes(a: Column, b: Column, similarity: float) -> Column:
@@ -134,7 +147,7 @@ def rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
     element that only one set has takes a place but gives no row.
     """
     rest = [c for c in lines.columns if c != "set"]
-    each = lines.select(*rest, F.size("set").alias("n"), F.explode("set").alias("t"))
+    each = lines.select(*rest, F.size("set").alias("n"), F.explode_outer("set").alias("t"))  # no second set for a filter
     often = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     ranked = each.join(often, "t").groupBy(*rest, "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
     placed = ranked.select(*rest, "n", (F.col("n") - F.size("s") + 1).alias("before"), F.posexplode(F.col("s")["t"]).alias("at", "t"))
@@ -155,20 +168,23 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
     """
     # copies collapse before the shuffle: a line that is very frequent is one row per task
     text = relevant.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(ids, ["h1", "h2"])
+    # texts are written, not sets: these take eight bytes a character, and are made again where two lines meet
     text = text.withColumn("line", normal(F.col("line")))
-    sets = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"),
-                           F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")), "sets")
-    names = sets.select("h1", "h2", "id", "copies", F.size("set").alias("n"))
+    texts = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"), "line",
+                            F.size(shingle_set(F.col("line"))).alias("n")), "texts")
+    names = texts.select("h1", "h2", "id", "copies", "n")
     named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies", "n"), "named")
     rank = F.struct("copies", "id")
     heads = named.groupBy("key").agg(F.max_by(F.struct("id", "n"), rank).alias("head")).select(
         "key", F.col("head.id").alias("id2"), F.col("head.n").alias("n2"))
     sized = near_sizes(F.col("n"), F.col("n2"), similarity)
-    mine, other = sets.select("id", "set"), sets.select(F.col("id").alias("id2"), F.col("set").alias("set2"))
+    mine = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"))
+    other = texts.select(F.col("id").alias("id2"), F.col("line").alias("b"), F.col("n").alias("nb"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (id, id2, ..) that are similar; each is compared once, however many buckets it shares."""
-        return pairs.distinct().join(mine, "id").join(other, "id2").where(similar(F.col("set"), F.col("set2"), similarity))
+        return pairs.distinct().join(mine, "id").join(other, "id2").where(
+            similar(F.col("a"), F.col("na"), F.col("b"), F.col("nb"), similarity))
 
     star = verified(named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2"))
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
@@ -178,7 +194,9 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1")
     split = placed.join(mixed.select("key", "main"), "key").groupBy("id", "root").agg(
         F.max(F.col("root") != F.col("main")).alias("probe"))
-    prefixes = cut(rare_prefixes(cut(split.join(mine, "id"), "mixed"), similarity), "prefixes")
+    split = cut(split.join(texts.select("id", "h1", "h2", "line"), "id"), "mixed")
+    rare = rare_prefixes(split.select("h1", "h2", shingle_set(F.col("line")).alias("set")), similarity)
+    prefixes = cut(rare.join(split.drop("line"), ["h1", "h2"]), "prefixes")
     again = prefixes.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")])
     enough = room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)
     links = verified(prefixes.where("probe").join(again, "t").where("root <> root2").where(sized).where(enough)

@@ -192,6 +192,34 @@ def test_rare_prefixes(spark, similarity):
     assert want <= got and len(got) < len(sets) * (len(sets) - 1) / 2
 
 
+def plain_shingles(s, width=12):
+    return {s[i:i + width] for i in range(max(len(s) - width, 0) + 1)}
+
+
+def test_line_shingles(spark, make):
+    """Near copies by all character shingles, in long words and in scripts without blanks, and lines that aren't."""
+    r = random.Random(8)
+
+    def token(letters, n):
+        return "".join(r.choices(letters, k=n))
+    tib, ext = [chr(c) for c in range(0x0F40, 0x0F6A) if c != 0x0F48], [chr(c) for c in range(0x20000, 0x20400)]
+    bases = [token("abcdefghij0123456789", n) for n in (150, 300, 600)] + [token(tib, 200), token(ext, 200), token("漢字かな", 90)]
+    bases += [" ".join(token("abcdefghij", 6) for _ in range(30))]
+    rows = []
+    for k, b in enumerate(bases):
+        other = b[:3] + "z" + b[3:]  # all that follows is shifted
+        j = len(plain_shingles(b) & plain_shingles(other)) / len(plain_shingles(b) | plain_shingles(other))
+        assert j >= 0.8
+        far = token([*b.replace(" ", "")], len(b))
+        assert not plain_shingles(b) & plain_shingles(far)
+        rows += [(3 * k, b), (3 * k + 1, other), (3 * k + 2, far)]
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(make(rows)).collect()}
+    assert got == {i: int(i % 3 == 1) for i, _ in rows}
+    sample = make(rows + ODD).where("length(text) > 0").select(line_dedup.characters(F.col("text")).alias("c"), "text")
+    n = sample.select("text", F.array_distinct(F.transform(line_dedup.places(F.col("c")), lambda i: line_dedup.shingle(F.col("c"), i))).alias("s"))
+    assert all(len(x["s"]) == len(plain_shingles(x["text"])) for x in n.collect())
+
+
 def test_line_dedup_odd(spark, make):
     out = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(out) == len(ODD)
