@@ -25,14 +25,15 @@ MARGIN = 0.02
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary content, from rows with a text and a language.
 
-    The sample is a fixed, documented bound of the fit: per language the ``SAMPLE_DOCS`` rows of smallest
-    text hash, ``SAMPLE_CHARS`` characters of each. Equal texts count once. Only that sample reaches the driver.
+    The sample is a fixed, documented bound of the fit: per language the ``SAMPLE_DOCS`` different texts of smallest
+    hash, ``SAMPLE_CHARS`` characters of each. Equal texts count once. Only that sample reaches the driver.
     """
     h = F.xxhash64(F.col(text))
     rows = (labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
             .select(F.col(lang).alias("lang"), h.alias("h"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")))
-    w = Window.partitionBy("lang").orderBy("h", "t")
-    picked = (rows.withColumn("r", F.rank().over(w)).where(F.col("r") <= SAMPLE_DOCS).dropDuplicates(["lang", "h"])
+    w = Window.partitionBy("lang").orderBy("h")
+    distinct = rows.groupBy("lang", "h").agg(F.min("t").alias("t"))  # copies go before they can take a place
+    picked = (distinct.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS)
               .select("lang", "h", "t").limit(SAMPLE_DOCS * MAX_LANGS + 1).collect())
     langs: dict[str, list] = {}
     for r in picked:

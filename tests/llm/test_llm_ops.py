@@ -430,6 +430,19 @@ def test_language(spark, make):
     assert held == [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
 
 
+def test_language_copies(spark, make):
+    """Texts with very many copies take one place each in the sample."""
+    r = random.Random(6)
+    texts = {k: [f"{k} {i} " + rng_text(r, 12) for i in range(260)] for k in ("aa", "bb")}
+    rows = [t for k in texts for t in texts[k]]
+    first = sorted(texts["aa"], key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63)
+    rows = [(i, t, t[:2]) for i, t in enumerate(rows)] + [(1000 + i, first[0], "aa") for i in range(3000)]
+    rows += [(5000 + i, t, "aa") for t in first[1:30] for i in range(40)]
+    learned = langid.fit(make(rows))
+    assert {k: len(set(v.decode().split("\n"))) for k, v in learned.items()} == {"aa": langid.SAMPLE_DOCS, "bb": langid.SAMPLE_DOCS}
+    assert learned["aa"].decode().split("\n") == first[:langid.SAMPLE_DOCS]
+
+
 # op9
 
 def test_chat_edges(spark):
