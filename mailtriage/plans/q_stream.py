@@ -73,4 +73,5 @@ def q_stream_daily_counts(spark, sf):
     fx.decisions(spark, sf).write.parquet(src)
     schema = ("email_id string, decision string, confidence double, model_version string, executed boolean, "
               "decided_at timestamp_ntz")
-    return ST.stream_daily_counts(spark, src, schema, ST.scratch(spark, "st5-out"), ST.scratch(spark, "st5-ckpt"))
+    return ST.stream_daily_counts(spark, src, schema, ST.scratch(spark, "st5-out"), ST.scratch(spark, "st5-ckpt"),
+                                  files_per_trigger=1)

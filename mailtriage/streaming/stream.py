@@ -202,19 +202,18 @@ def grace_events(mail: DataFrame, as_of: _dt.datetime = AS_OF, days_window: int
 # ST5 -------------------------------------------------------------------------
 def stream_daily_counts(spark: SparkSession, src_dir: str, schema: str, out_dir: str, ckpt: str,
                         ts_col: str = "decided_at", keys: tuple[str, ...] = ("model_version", "decision"),
-                        watermark: str = "1 day") -> DataFrame:
-    """ST5: decisions per day and key; rows later than the watermark are dropped.
+                        files_per_trigger: int | None = None) -> DataFrame:
+    """ST5: decisions per day and key; every row counts, however late it comes.
 
-    Update mode with per-batch folders; the table is the last emitted count
-    per (day, key) (counts only grow, so the maximum is the last).
+    Each batch writes its own counts to its own folder; the table is their sum. No state is kept.
     """
-    d = spark.readStream.schema(schema).parquet(src_dir)
-    d = d.withColumn("_et", F.col(ts_col).cast("timestamp")).withWatermark("_et", watermark)
-    agg = d.groupBy(F.window("_et", "1 day").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    reader = spark.readStream.schema(schema)
+    d = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(src_dir)
+    day = F.date_trunc("day", F.col(ts_col).cast("timestamp")).cast("timestamp_ntz")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("day"), *keys, "n") \
+        batch.groupBy(day.alias("day"), *keys).agg(F.count(F.lit(1)).alias("n")) \
             .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(per_batch).option("checkpointLocation", ckpt))
-    return spark.read.parquet(out_dir).groupBy("day", *keys).agg(F.max("n").alias("n"))
+    _run(d.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
+    return spark.read.parquet(out_dir).groupBy("day", *keys).agg(F.sum("n").alias("n"))

@@ -88,3 +88,16 @@ def test_commit_feedback(spark):
     assert fb.count() == acts.select("id").distinct().count() > 0
     assert fb.where(~F.col("source").rlike("^auto_clean:(deletable|grace_expired|ml):")).count() == 0
 
+
+
+def test_daily_counts_over_batches(spark):
+    """One file a batch, days out of order by more than the former watermark: every row counts."""
+    src = ST.scratch(spark, "t-days")
+    schema = "email_id string, decision string, model_version string, decided_at timestamp_ntz"
+    t = dt.datetime(2024, 1, 20, 12)
+    for day in (0, 9, 1, 9, 0, 3):
+        rows = [(f"{day}-{i}", "ab"[i % 2], "v1", t - day * DAY) for i in range(4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    out = ST.stream_daily_counts(spark, src, schema, ST.scratch(spark, "t-do"), ST.scratch(spark, "t-dc"), files_per_trigger=1)
+    got = {(20 - r["day"].day, r["decision"]): r["n"] for r in out.collect()}
+    assert got == {(d, x): n for d, n in ((0, 4), (9, 4), (1, 2), (3, 2)) for x in "ab"}
