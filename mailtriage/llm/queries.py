@@ -1,7 +1,8 @@
 """The operators' queries and their DuckDB SQL, where SQL can express them."""
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, line_dedup, mixing, packing, quality, secrets, sharding, simhash
+from . import (alignment, chat, fingerprint, hard_negatives, langid, lattice, line_dedup, mixing, packing, quality,
+               secrets, sharding, simhash)
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -14,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_chat": chat.query,
     "op10_mixing": mixing.query,
+    "op11_alignment": alignment.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_embedding_dedup": lattice.query,
 }
 
 ORACLE = {
@@ -21,4 +25,5 @@ ORACLE = {
     "op2_secret_scan": secrets.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
