@@ -80,6 +80,26 @@ def byte_values() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(other)}}
 
 
+def byte_engine(model: dict, table: list[bytes]):
+    """A byte-level BPE model in a faster engine, if its ids follow the order of its merges; else None."""
+    import public_tokenizers
+    import tiktoken
+    vocab = model["vocab"]
+    ranks = {table[k]: k for w, k in vocab.items() if not w.startswith("<|")}
+    order = [vocab.get(m.replace(" ", "") if isinstance(m, str) else m[0] + m[1]) for m in model["merges"]]
+    if None in order or order != sorted(order) or len(ranks) < 256 + len(order):
+        return None
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def whole_engine(path: str):
+    """The same by the file's own library; special tokens' strings in a text are plain text."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
 class Pair:
     """Both tokenizers in one worker, with the bytes of every id."""
 
@@ -88,31 +108,32 @@ class Pair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         to_byte = byte_values()
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self.bytes_a = [b""] * (1 + max([*vocab.values(), self.a.get_vocab_size() - 1]))
+            model = json.load(f)
+        vocab = {**model["model"]["vocab"], **{t["content"]: t["id"] for t in model["added_tokens"]}}
+        self.bytes_a = [b""] * (1 + max(vocab.values()))
         for word, k in vocab.items():
-            self.bytes_a[k] = bytes(to_byte[c] for c in word) if all(c in to_byte for c in word) else word.encode()
+            self.bytes_a[k] = bytes(map(to_byte.__getitem__, word)) if all(c in to_byte for c in word) else word.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode()
                         for k, p in enumerate(pieces)]
+        fast = byte_engine(model["model"], self.bytes_a)
+        self.ids_a = fast.encode_ordinary if fast else whole_engine(path_a)
         # a token with a space behind other text could cross a cut: then texts are encoded whole
         self.cuts = not any(re.search(r"\S ", x.decode(errors="replace")) for x in (*self.bytes_a, *self.bytes_b))
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.blank = [self.b.piece_to_id("▁")]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        #: ids of remembered pieces, as the bytes of int arrays; pieces whose tokens' bytes differ from them are in neither
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The text cut at spaces behind other than white space; each piece stands for itself with a space before."""
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        if all(p and not p[-1].isspace() for p in parts[:-1]):
+        if text[0] != " " and not SPACED.search(text):
             return parts
         out, held = [], None
         for p in parts:
@@ -122,45 +143,57 @@ class Pair:
                 held = None
         return out if held is None else [*out, held]
 
-    def learn(self, new: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of new pieces, as the bytes of int arrays; None for one whose tokens' bytes differ from it."""
+    def learn(self, new: list[str]) -> tuple[dict, dict]:
+        """The ids of new pieces. They are encoded in one go: the cuts between them are cuts of either tokenizer."""
         import numpy as np
-        if not new:
-            return {}
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        ids_b = [y if p else self.blank for p, y in zip(new, self.b.encode(new, num_threads=1))]
-        whole = [(" " + p).encode() for p in new]
-        sizes = np.array([len(w) for w in whole])
-        parts, fits = [], np.ones(len(new), bool)
-        for ids, table, lens in ((ids_a, self.bytes_a, self.len_a), (ids_b, self.bytes_b, self.len_b)):
-            flat = np.fromiter(chain.from_iterable(ids), np.int32)
-            ends = np.cumsum([len(x) for x in ids])
-            far = np.concatenate([[0], np.cumsum(lens[flat])])
-            good = np.diff(far[np.concatenate([[0], ends])]) == sizes
-            joined = b"".join([table[k] for k in flat.tolist()])
-            if not good.all() or joined != b"".join(whole):
-                good &= [b"".join([table[k] for k in x]) == w for x, w in zip(ids, whole)]
-            fits &= good
-            raw, at = flat.tobytes(), [0, *(4 * ends).tolist()]
-            parts.append([raw[i:j] for i, j in zip(at, at[1:])])
-        return {p: pair if ok else None for p, pair, ok in zip(new, zip(*parts), fits.tolist())}
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        out_a, out_b = {}, {}
+        for some in ([p for p in new if p and not (p[0].isspace() or p[-1].isspace())] if self.cuts else [], *([p] for p in (odd if self.cuts else new))):
+            if not some:
+                continue
+            text = " ".join(some)
+            whole = [(" " + p).encode() for p in some]
+            ends = np.cumsum([len(w) for w in whole])
+            ids = self.ids_a(" " + text), self.b.encode(text) if text else [self.b.piece_to_id("▁")]
+            same = all(b"".join([t[k] for k in x]) == b"".join(whole) for t, x in zip((self.bytes_a, self.bytes_b), ids))
+            at = [np.concatenate([[0], n[np.array(x, np.int64)].cumsum()]) for n, x in zip((self.len_a, self.len_b), ids)]
+            cut_at = [np.searchsorted(x, ends) for x in at]
+            if not same or not all((x[np.minimum(k, len(x) - 1)] == ends).all() for x, k in zip(at, cut_at)):
+                if len(some) > 1:  # find the pieces whose bytes differ
+                    for half in (some[:len(some) // 2], some[len(some) // 2:]):
+                        a, b = self.learn(half)
+                        out_a.update(a)
+                        out_b.update(b)
+                continue
+            for out, x, k in zip((out_a, out_b), ids, cut_at):
+                raw, k = np.array(x, np.int32).tobytes(), [0, *(4 * k).tolist()]
+                out.update(zip(some, [raw[i:j] for i, j in zip(k, k[1:])]))
+        return out_a, out_b
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple | None]:
         """Id arrays (A, B) of each text; None without tokens (null, empty, or bytes that differ)."""
         import numpy as np
         cut_up = [self.pieces(t) if t else [] for t in texts]
-        found = self.learn([p for p in {p for parts in cut_up for p in parts} if p not in self.known])
-        if len(self.known) + len(found) > WORDS:
-            self.known.clear()
-            found.update(self.learn([p for p in {p for parts in cut_up for p in parts} if p not in found]))
-        self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-        found = self.known if len(found) == sum(len(p) <= LONGEST for p in found) else {**self.known, **found}
+        if len(self.known_a) > WORDS:
+            self.known_a.clear()
+            self.known_b.clear()
+        new = [p for p in set().union(*cut_up) if p not in self.known_a]
+        now_a, now_b = self.learn(new)
+        long = [p for p in now_a if len(p) > LONGEST]
+        self.known_a.update(now_a)
+        self.known_b.update(now_b)
         for parts in cut_up:
-            both = [found[p] for p in parts]
-            if not both or None in both:
+            try:
+                a, b = (b"".join(map(known.__getitem__, parts)) for known in (self.known_a, self.known_b))
+            except KeyError:
                 yield None
-            else:
-                yield tuple(np.frombuffer(b"".join([x[k] for x in both]), np.int32) for k in (0, 1))
+                continue
+            yield (np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) if parts else None
+        for p in long:
+            del self.known_a[p], self.known_b[p]
+
+
+SPACED = re.compile(r"\s ")
 
 
 class Text:
@@ -170,27 +203,39 @@ class Text:
         import numpy as np
         self.a, self.b = ids
         self.runs = runs(pair.len_a[self.a].cumsum().tolist(), pair.len_b[self.b].cumsum().tolist())
-        at_a, at_b = [], []
+        inner_a, inner_b = [], []
         for i, j, n, m in self.runs:
-            if m:
-                at_a.append(i + n - 1)
-                at_b.append(j + m - 1)
-            else:
-                at_a.extend(range(i, i + n))
-                at_b.extend(range(j, j + n))
-        self.at_a, self.at_b = np.array(at_a, np.int64), np.array(at_b, np.int64)
+            if n > 1 and m:
+                inner_a.extend(range(i, i + n - 1))
+            if m > 1:
+                inner_b.extend(range(j, j + m - 1))
+        #: does a token end its group
+        self.ends_a, self.ends_b = np.ones(len(self.a), bool), np.ones(len(self.b), bool)
+        self.ends_a[inner_a] = False
+        self.ends_b[inner_b] = False
         #: a pair of ids as one long
-        self.links = (self.a[self.at_a].astype(np.int64) << 32) | self.b[self.at_b]
+        self.links = (self.a[self.ends_a].astype(np.int64) << 32) | self.b[self.ends_b]
 
-    def digest(self, left: list[str], right: list[str]) -> str:
-        """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``; left and right hold the ids' text, with ``|`` behind in left."""
-        a, b, out = self.a.tolist(), self.b.tolist(), []
-        for i, j, n, m in self.runs:
-            if m:
-                out.append(",".join([right[k] for k in a[i:i + n]]) + "|" + ",".join([right[k] for k in b[j:j + m]]))
-            else:
-                out.extend([left[x] + right[y] for x, y in zip(a[i:i + n], b[j:j + n])])
-        return hashlib.sha256(";".join(out).encode()).hexdigest()
+    def sizes(self) -> tuple["np.ndarray", "np.ndarray"]:
+        """Tokens of A and of B in each group."""
+        import numpy as np
+        return tuple(np.diff(np.flatnonzero(e), prepend=-1) for e in (self.ends_a, self.ends_b))
+
+    def digest(self, texts: tuple) -> str:
+        """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``; ``texts`` holds each id's text with ``,``, with ``|``, with ``;``."""
+        import numpy as np
+        inner, left, right = texts
+        na, nb = self.sizes()
+        before_a, before_b = np.cumsum(na), np.cumsum(nb) - nb  # A's tokens up to a group, B's before it
+        out = np.empty(len(self.a) + len(self.b), object)
+        out[np.arange(len(self.a)) + np.repeat(before_b, na)] = np.where(self.ends_a, left[self.a], inner[self.a])
+        out[np.arange(len(self.b)) + np.repeat(before_a, nb)] = np.where(self.ends_b, right[self.b], inner[self.b])
+        return hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
+
+
+def id_texts(n: int) -> tuple:
+    import numpy as np
+    return tuple(np.array([f"{k}{end}" for k in range(n)], object) for end in ",|;")
 
 
 def _slices(batches: Iterator) -> Iterator:
@@ -230,8 +275,7 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None, keys: list
             cols: list[list] = [[], [], [], []]
             for ids in pair.encode(s.column(s.num_columns - 1).to_pylist()):
                 t = Text(pair, ids) if ids else None
-                size = lambda k, t=t: [x for r in t.runs for x in ([r[2 + k]] if r[3] else [1] * r[2])]
-                for c, v in zip(cols, (t.a.tolist(), t.b.tolist(), size(0), size(1)) if t else ([], [], [], [])):
+                for c, v in zip(cols, (t.a, t.b, *t.sizes()) if t else ([], [], [], [])):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*s.columns[:-1], *(pa.array(c, ints) for c in cols)],
                                              names=[*s.schema.names[:-1], "a_ids", "b_ids", "a_sizes", "b_sizes"])
@@ -256,8 +300,7 @@ def block_batches(paths: tuple[str, str], block_links: int):
         import zstandard
         from pyspark import TaskContext
         pair = Pair(*paths)
-        right = [str(k) for k in range(max(len(pair.bytes_a), len(pair.bytes_b)))]
-        left = [s + "|" for s in right]
+        texts = id_texts(max(len(pair.bytes_a), len(pair.bytes_b)))
         pack = zstandard.ZstdCompressor(level=1)
         block = TaskContext.get().partitionId() << 32
         held, stats, links, size = [], [], [], 0
@@ -290,7 +333,7 @@ def block_batches(paths: tuple[str, str], block_links: int):
             for ids in pair.encode(s.column(s.num_columns - 1).to_pylist()):
                 t = Text(pair, ids) if ids else None
                 links.append(t.links if t else np.zeros(0, np.int64))
-                stats.append((len(t.a), len(t.b), len(t.links), len(t.links), t.digest(left, right)) if t else (0, 0, 0, 0, ""))
+                stats.append((len(t.a), len(t.b), len(t.links), len(t.links), t.digest(texts)) if t else (0, 0, 0, 0, ""))
                 size += len(links[-1])
             # only the keys of the documents are kept till the block ends
             held.append(pa.RecordBatch.from_arrays([*s.columns[:-1], pa.nulls(s.num_rows)], names=s.schema.names))
