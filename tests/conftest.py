@@ -9,8 +9,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -23,4 +21,5 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     from oracle_check import duck_connect
+    from paths import SF_SMALL
     return duck_connect(SF_SMALL)

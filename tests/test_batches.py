@@ -11,7 +11,7 @@ from mailtriage.session import AS_OF
 from mailtriage.sources import fixtures as fx
 from mailtriage.streaming import stream as ST
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 DAY = dt.timedelta(days=1)
 

@@ -6,7 +6,7 @@ import pytest
 from mailtriage.catalog import ORACLE, QUERIES
 from oracle_check import compare
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

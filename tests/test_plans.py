@@ -12,7 +12,7 @@ from mailtriage.session import AS_OF, checkpoint_dir
 from mailtriage.sources import fixtures as fx
 from mailtriage.sources import scans as SC
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def plan_text(df, mode="formatted"):

@@ -10,7 +10,7 @@ from mailtriage.plans import triage as T
 from mailtriage.session import AS_OF
 from mailtriage.sources import fixtures as fx
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_every_mail_in_exactly_one_route(spark):
