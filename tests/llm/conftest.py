@@ -12,8 +12,3 @@ def make(spark):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
         return spark.createDataFrame(full, schema)
     return docs
-
-
-import os, sys  # noqa: E402
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
