@@ -1,8 +1,8 @@
 """Text and numeric features (M1-M9), with the formulas of the reference's model.
 
 Fit steps aggregate over the training rows and keep only bounded results:
-a vocabulary of at most ``max_features`` terms per text column and 16
-standard deviations. Transform steps: tokens and in-row term counts per row,
+a vocabulary of at most ``max_features`` terms per text column, 16
+standard deviations, and a written table of all domains. Transform steps: tokens and in-row term counts per row,
 a broadcast hash join with the (bounded) vocabulary, and one aggregation by
 id for the L2 norm.
 
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions.packs import KEYWORD_COLS, NUMERIC_COLS
@@ -166,20 +167,40 @@ def tfidf_arrays(df: DataFrame, terms: Column, v: Vocabulary, id_col: str = "id"
 
 
 # M6 --------------------------------------------------------------------------
-def fit_domains(docs: DataFrame, col: str = "sender_domain"):
-    """M6: the domain vocabulary (all non-empty domains seen, alphabetical) as a fitted
-    ``StringIndexerModel``; '' and unseen domains map past the end (-> all-zero block)."""
-    from pyspark.ml.feature import StringIndexer
-    d = docs.select(F.when(F.col(col) != "", F.col(col)).alias("_dom"))
-    return StringIndexer(inputCol="_dom", outputCol="_dom_idx", handleInvalid="keep",
-                         stringOrderType="alphabetAsc").fit(d)
+@dataclass
+class ValueIndex:
+    """A fitted dense index: a written table (value, idx) in the order of the values, and its size."""
+    table: DataFrame
+    size: int
+
+
+def dense_index(values: DataFrame, col: str) -> ValueIndex:
+    """Every different non-null value of ``col`` with its place (0, 1, ..) in ascending order.
+
+    The values are range-partitioned and written sorted; each row's place in its partition plus the running count of
+    the partitions before it is its index. Only the number of values comes to the driver, and the table of counts has one
+    row per partition. No values give an empty table.
+    """
+    distinct = values.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+    placed = cut(distinct.repartitionByRange("value").sortWithinPartitions("value")
+                 .select("value", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "index-places")
+    per = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    from pyspark.sql import Window
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    start = per.select("_p", "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    table = cut(placed.join(F.broadcast(start), "_p").select("value", (F.col("_m") - F.col("_first") + F.col("_start")).alias("idx")), "index")
+    return ValueIndex(table, table.count())
+
 
+def fit_domains(docs: DataFrame, col: str = "sender_domain") -> ValueIndex:
+    """M6: all non-empty domains seen, alphabetical, as a table of any size."""
+    return dense_index(docs.where(F.col(col) != ""), col)
 
-def domain_index(df: DataFrame, indexer, col: str = "sender_domain", out: str = "domain_idx") -> DataFrame:
-    """Index of the domain in the fitted vocabulary, null for '' / unseen (a one-hot block)."""
-    n = len(indexer.labels)
-    d = indexer.transform(df.withColumn("_dom", F.when(F.col(col) != "", F.col(col))))
-    return d.withColumn(out, F.when(F.col("_dom_idx") < n, F.col("_dom_idx").cast("int"))).drop("_dom", "_dom_idx")
+
+def domain_index(df: DataFrame, index: ValueIndex, col: str = "sender_domain", out: str = "domain_idx") -> DataFrame:
+    """Index of the domain in the fitted table, null for '' / null / unseen (an all-zero block): a join, no closure."""
+    t = index.table.select(F.col("value").alias("_value"), F.col("idx").cast("int").alias(out))
+    return df.join(t, F.col(col) == F.col("_value"), "left").drop("_value")
 
 
 # M7 --------------------------------------------------------------------------
@@ -200,17 +221,17 @@ def scaled(cols: list[str], stds: list[float]) -> list[Column]:
 # M8 --------------------------------------------------------------------------
 @dataclass
 class FeatureModel:
-    """Everything the transform needs: two vocabularies, the domain indexer, 16 stds."""
+    """Everything the transform needs: two vocabularies, the domain table, 16 stds."""
     subject: Vocabulary
     snippet: Vocabulary
-    domains: object
+    domains: ValueIndex
     stds: list[float]
     as_of: _dt.datetime = AS_OF
     meta: dict = field(default_factory=dict)
 
     @property
     def size(self) -> int:
-        return self.subject.size + self.snippet.size + len(self.domains.labels) + len(SCALED_COLS)
+        return self.subject.size + self.snippet.size + self.domains.size + len(SCALED_COLS)
 
 
 def fit_features(train: DataFrame, as_of: _dt.datetime = AS_OF, max_features: int = MODEL_FEATURES) -> FeatureModel:
@@ -221,26 +242,18 @@ def fit_features(train: DataFrame, as_of: _dt.datetime = AS_OF, max_features: in
     return FeatureModel(subj, snip, fit_domains(train), fit_scaler(train), as_of)
 
 
-def _sparse_vector_udf():
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    def build(size, idx, vals):
-        return SparseVector(size, idx or [], vals or [])
-    return F.udf(build, VectorUDT())
-
-
 def assemble(df: DataFrame, fm: FeatureModel, out: str = "features", id_col: str = "id") -> DataFrame:
     """M8: blocks [subject TF-IDF | snippet TF-IDF | domain one-hot | 16 scaled numbers] as
     one sparse vector per row of ``df`` (rows of ``build_features``).
 
     The two text blocks come from ``tfidf_arrays`` (one shuffle by id each)
-    and are joined back on the id; all arithmetic is JVM-side. A small Python
-    function only wraps the finished (index, value) arrays into the vector
-    type Spark ML expects.
+    and are joined back on the id; all arithmetic is JVM-side. The finished
+    (index, value) arrays are written in the storage form of Spark ML's vector
+    type and read back as vectors, so no Python touches a row.
     """
     off_n = fm.subject.size
     off_d = off_n + fm.snippet.size
-    off_x = off_d + len(fm.domains.labels)
+    off_x = off_d + fm.domains.size
     s_arr = tfidf_arrays(df, subject_terms(), fm.subject, id_col, "_s", 0)
     n_arr = tfidf_arrays(df, snippet_terms(), fm.snippet, id_col, "_n", off_n)
     d = domain_index(df, fm.domains).join(s_arr, id_col, "left").join(n_arr, id_col, "left")
@@ -252,8 +265,15 @@ def assemble(df: DataFrame, fm: FeatureModel, out: str = "features", id_col: str
     dom_v = F.when(F.col("domain_idx").isNotNull(), F.array(F.lit(1.0))).otherwise(empty_v)
     idx = F.concat(F.coalesce("_s_idx", empty_i), F.coalesce("_n_idx", empty_i), dom_i, F.transform(nz, lambda e: e["i"]))
     val = F.concat(F.coalesce("_s_w", empty_v), F.coalesce("_n_w", empty_v), dom_v, F.transform(nz, lambda e: e["v"]))
-    vec = _sparse_vector_udf()(F.lit(fm.size), idx, val)
-    return d.withColumn(out, vec).drop("_s_idx", "_s_w", "_n_idx", "_n_w")
+    vec = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(fm.size).alias("size"), idx.alias("indices"), val.alias("values"))
+    return as_vectors(d.withColumn(out, vec).drop("_s_idx", "_s_w", "_n_idx", "_n_w"), out)
+
+
+def as_vectors(df: DataFrame, col: str) -> DataFrame:
+    """``df`` written once, with the struct ``col`` (type 0, size, indices, values) read back as a sparse vector."""
+    from pyspark.ml.linalg import VectorUDT
+    schema = T.StructType([T.StructField(x.name, VectorUDT() if x.name == col else x.dataType) for x in df.schema.fields])
+    return cut(df, "vectors", schema)
 
 
 # M9 --------------------------------------------------------------------------

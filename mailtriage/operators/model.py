@@ -1,8 +1,9 @@
 """Model training, scoring and evaluation.
 
 Training reads the labeled mail (a human-sized table), so the assembled
-training matrix is persisted once and reused by both model kinds. Scoring
-is a Spark ML ``transform`` over the feature vectors of any number of mails.
+training matrix is written once and reused by both model kinds. Scoring
+is a join with the model's table (logistic) or a Spark ML ``transform`` over
+the feature vectors (trees) of any number of mails.
 
 Label order: keep = 0, spam = 1; ``p_spam`` is the probability of class 1.
 """
@@ -12,13 +13,13 @@ import datetime as _dt
 import json
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packs import UNCERTAIN_BAND
 from ..session import AS_OF, cut
 from . import features as FE
+from . import linear as LN
 
 KINDS = ("logistic", "gbm")
 LABELS = ("keep", "spam")
@@ -85,7 +86,18 @@ def predict(tm: TrainedModel, assembled: DataFrame) -> DataFrame:
 
 # M14 -------------------------------------------------------------------------
 def score(tm: TrainedModel, emails: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame:
-    """(id, p_spam, model_version) for every mail, features as at training."""
+    """(id, p_spam, model_version) for every mail, features as at training.
+
+    A logistic regression is scored as a table (``linear.score_table``): no vector, no Python. Trees need the vector.
+    """
+    fm = tm.features
+    if tm.kind == "logistic":
+        return LN.score_table(emails, LN.coefficient_table(tm), tm.version, as_of or fm.as_of)
+    return score_vectors(tm, emails, as_of)
+
+
+def score_vectors(tm: TrainedModel, emails: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame:
+    """M14 over assembled vectors, by Spark ML's own ``transform`` (any kind of model)."""
     fm = tm.features
     # one shuffle by id up front: the per-id TF-IDF aggregations and the joins of the
     # feature blocks all reuse this partitioning instead of shuffling again
@@ -206,13 +218,12 @@ def train_job(emails: DataFrame, feedback: DataFrame, version: str, as_of: _dt.d
     """S10 -> M1 -> M9 -> each kind -> report -> M13 -> R17 (K7 is ``save_model``)."""
     for k in kinds:                      # M12 before any job
         build_classifier(k, 1)
-    # the labeled feature table is read by every fit step: persist it once
-    feats = FE.build_features(training_rows(emails, feedback, legacy), as_of) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # the labeled feature table is read by every fit step: written once
+    feats = cut(FE.build_features(training_rows(emails, feedback, legacy), as_of), "training")
     train, test = FE.stratified_split(feats)
     fm = FE.fit_features(train, as_of)
-    xtr = with_label_and_weight(FE.assemble(train, fm)).persist(StorageLevel.MEMORY_AND_DISK)
-    xte = FE.assemble(test, fm).persist(StorageLevel.MEMORY_AND_DISK)
+    xtr = with_label_and_weight(FE.assemble(train, fm))
+    xte = FE.assemble(test, fm)
     n = xtr.count()
     models, results, reports = [], [], {}
     for k in kinds:
@@ -237,7 +248,7 @@ def save_model(spark: SparkSession, tm: TrainedModel, model_dir: str, registry_d
     one registry row. A version that exists is refused (no silent overwrite)."""
     path = f"{model_dir.rstrip('/')}/{tm.version}"
     tm.classifier.write().save(f"{path}/classifier")
-    tm.features.domains.write().save(f"{path}/domains")
+    tm.features.domains.table.write.parquet(f"{path}/domains")
     fm = tm.features
     vocab = ([("subject", t, i, w) for i, (t, w) in enumerate(zip(fm.subject.terms, fm.subject.idf))]
              + [("snippet", t, i, w) for i, (t, w) in enumerate(zip(fm.snippet.terms, fm.snippet.idf))])
@@ -261,11 +272,11 @@ def latest_model(spark: SparkSession, registry_dir: str) -> DataFrame:
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
     from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-    from pyspark.ml.feature import StringIndexerModel
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     clf_cls = LogisticRegressionModel if meta["kind"] == "logistic" else GBTClassificationModel
     clf = clf_cls.load(f"{path}/classifier")
-    dom = StringIndexerModel.load(f"{path}/domains")
+    table = spark.read.parquet(f"{path}/domains")
+    dom = FE.ValueIndex(table, table.count())
     v = spark.read.parquet(f"{path}/vocab").orderBy("block", "idx").collect()
     subj = FE.Vocabulary([r.term for r in v if r.block == "subject"], [r.idf for r in v if r.block == "subject"],
                          meta["n_subject"])

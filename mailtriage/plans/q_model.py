@@ -11,10 +11,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import features as FE
+from ..operators import linear as LN
 from ..operators import model as M
 from ..operators import tables as K
-from ..session import AS_OF, checkpoint_dir
+from ..session import AS_OF, checkpoint_dir, cut
 from ..sources import fixtures as fx
+from . import oracle_sql as O
 from . import triage as T
 from .registry import query
 
@@ -159,6 +162,85 @@ def q_ml_top_samples(spark, sf):
     return T.ml_top_samples(_triage_ml(spark, sf))
 
 
+def _log_odds(spark, sf):
+    """The closed-form model table, fitted on the training part of the labeled mail."""
+    from .q_features import _train
+    return cut(LN.fit_log_odds(_train(spark, sf)), "log-odds")
+
+
+def _log_odds_sql() -> str:
+    """The model table and the score of every mail, restated in SQL (CTE ``scored``: id, p_spam)."""
+    from .q_features import TOK, TRAIN_SQL
+    grams = "list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))"
+    doc_terms = " UNION ALL ".join(
+        f"SELECT id, '{b}' AS block, unnest({terms}) AS term FROM (SELECT id, regexp_extract_all(lower(coalesce({b}, '')), {TOK}) AS tk FROM src)"
+        for b, terms in (("subject", grams), ("snippet", "tk")))
+    per = lambda src: f"(SELECT id, block, term, count(*) AS tf FROM ({doc_terms.replace('src', src)}) GROUP BY ALL)"
+    num = FE.SCALED_COLS
+    std = {c: f"coalesce(nullif(stddev_pop({c}), 0), 1)" for c in num}
+    diff = {c: f"coalesce(avg({c}) FILTER (WHERE user_label = 'spam'), 0) - coalesce(avg({c}) FILTER (WHERE user_label <> 'spam'), 0)" for c in num}
+    odds = "ln((s + 1.0) / (ns + 2.0)) - ln((df - s + 1.0) / (n - ns + 2.0))"
+    return TRAIN_SQL + f""",
+cls AS (SELECT count(*) AS n, count(*) FILTER (WHERE user_label = 'spam') AS ns FROM train),
+tdf AS (SELECT p.block, p.term, count(*) AS df, count(*) FILTER (WHERE t.user_label = 'spam') AS s
+  FROM {per('train')} p JOIN train t ON t.id = p.id GROUP BY ALL),
+coef AS (SELECT block, term, ln((1 + n) / (1 + df)) + 1 AS idf, {odds} AS c FROM tdf, cls
+  WHERE df >= CASE block WHEN 'subject' THEN 2 ELSE 3 END AND df <= 0.9 * n),
+dcoef AS (SELECT sender_domain, {odds} AS c FROM (SELECT sender_domain, count(*) AS df,
+  count(*) FILTER (WHERE user_label = 'spam') AS s FROM train WHERE sender_domain <> '' GROUP BY ALL), cls),
+nc AS (SELECT {', '.join(f"({diff[c]}) / {std[c]} / {std[c]} / {len(num)} AS {c}" for c in num)} FROM train),
+allf AS (SELECT id, lower(coalesce(sender_domain, '')) AS sender_domain, length(subject) AS subject_len, length(snippet) AS snippet_len,
+  coalesce(greatest({O.age_days()}, 0), 0) AS age_days, coalesce(hour(received_at), 0) AS hour_received, {O.keyword_flags_sql('subject')}
+  FROM (SELECT id, sender_domain, coalesce(subject, '') AS subject, coalesce(snippet, '') AS snippet, received_at FROM raw_emails)),
+tw AS (SELECT p.id, p.block, (1 + ln(p.tf)) * k.idf AS w, k.c FROM {per('raw_emails')} p JOIN coef k ON k.block = p.block AND k.term = p.term),
+blk AS (SELECT id, sum(z) AS z FROM (SELECT id, block, sum(w * c) / sqrt(sum(w * w)) AS z FROM tw GROUP BY id, block) GROUP BY id),
+scored AS (SELECT a.id, 1.0 / (1.0 + exp(-(ln((ns + 1.0) / (n - ns + 1.0)) + {' + '.join(f'a.{c} * nc.{c}' for c in num)}
+  + coalesce(d.c, 0) + coalesce(b.z, 0)))) AS p_spam
+  FROM allf a CROSS JOIN nc CROSS JOIN cls LEFT JOIN dcoef d ON d.sender_domain = a.sender_domain LEFT JOIN blk b ON b.id = a.id)
+"""
+
+
+@query("score_table", sql=_log_odds_sql() + "SELECT id, round(p_spam, 6) AS p_spam, 'log-odds' AS model_version FROM scored")
+def q_score_table(spark, sf):
+    """Every mail scored from the closed-form model table."""
+    s = LN.score_table(fx.raw_emails(spark, sf), _log_odds(spark, sf), "log-odds", AS_OF)
+    return s.select("id", F.round("p_spam", 6).alias("p_spam"), "model_version")
+
+
+def _triage_table(spark, sf):
+    return T.triage(fx.raw_emails(spark, sf), AS_OF, scorer=LN.table_scorer(_log_odds(spark, sf), "log-odds", AS_OF))
+
+
+TABLE_SQL = _log_odds_sql().rstrip() + ", " + O.routed_sql().strip() + """,
+t1 AS (SELECT r.* EXCLUDE (route, rule_id), CASE WHEN r.rule_id IS NULL THEN s.p_spam END AS p_spam,
+  CASE WHEN r.rule_id IS NULL THEN 'log-odds' END AS model_version, coalesce(r.rule_id, 'ml:log-odds') AS rule_id,
+  CASE WHEN r.rule_id IS NOT NULL THEN r.route WHEN s.p_spam >= 0.85 THEN 'ml' ELSE 'ml_below' END AS route
+  FROM routed r JOIN scored s ON s.id = r.id)
+"""
+
+
+@query("triage_table", sql=TABLE_SQL + """
+SELECT id, route, rule_id, round(p_spam, 6) AS p_spam, model_version, age_days FROM t1""")
+def q_triage_table(spark, sf):
+    """Rules, then the model table on mail no rule decides."""
+    return _triage_table(spark, sf).select("id", "route", "rule_id", F.round("p_spam", 6).alias("p_spam"), "model_version", "age_days")
+
+
+@query("ml_threshold_table", sql=TABLE_SQL + """
+SELECT id, route, round(p_spam, 6) AS p_spam FROM t1 WHERE decision IS NULL""")
+def q_ml_threshold_table(spark, sf):
+    """Ml at 0.85 and above, ml_below else, among mail without a rule hit."""
+    return _triage_table(spark, sf).filter(F.col("decision").isNull()).select("id", "route", F.round("p_spam", 6).alias("p_spam"))
+
+
+@query("ml_top_samples_table", sql=TABLE_SQL + """
+SELECT id, rule_id, round(p_spam, 3) AS p_spam, substring(coalesce(subject, ''), 1, 70) AS subject FROM t1
+WHERE route = 'ml' ORDER BY round(p_spam, 3) DESC, id LIMIT 5""")
+def q_ml_top_samples_table(spark, sf):
+    """The five highest scores among mail the model table trashes."""
+    return T.ml_top_samples(_triage_table(spark, sf))
+
+
 @query("shadow_compare")
 def q_shadow_compare(spark, sf):
     """T4: live model vs. candidate on the same mail, without acting: agreement matrix."""

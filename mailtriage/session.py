@@ -72,9 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", schema=None) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back: lineage ends here, the rows
-    survive a lost executor, and the planner knows the size of what it reads."""
+    survive a lost executor, and the planner knows the size of what it reads.
+
+    ``schema`` reads it under other types of the same storage form (a struct as a Spark ML vector)."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
