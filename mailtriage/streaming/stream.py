@@ -29,11 +29,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _run(writer, timeout_s: float | None = None) -> None:
+def _run(writer, timeout_s: float | None = None):
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise q.exception()
+    return q
+
+
+CLOCK = "\x00clock"
+CLOCK_KEYS = 32
+
+
+def clocked(events: DataFrame, ts_col: str, key: str, delay: str) -> DataFrame:
+    """``events`` with an event-time clock of its own, so that no row is ever too late for a stateful step.
+
+    Spark drops rows whose watermark column lies behind the watermark before a stateful operator sees them. Here each
+    event comes twice: as data with a null ``clock_ts``, which can't be late, and as a bare tick that has the time and a
+    key of its own (spread over ``CLOCK_KEYS``). Ticks move the watermark; the state function ignores their keys
+    (``is_clock``) and decides late data itself, by ``getCurrentWatermarkMs``. Events without a time only come as data.
+    """
+    both = events.withColumn("_tick", F.explode(F.array(F.lit(False), F.lit(True))))
+    both = both.where(~F.col("_tick") | F.col(ts_col).isNotNull())
+    rest = [c for c in events.columns if c not in (key, ts_col)]
+    spread = F.pmod(F.xxhash64(key), F.lit(CLOCK_KEYS)).cast("string")
+    out = both.select(F.when(F.col("_tick"), F.concat(F.lit(CLOCK), spread)).otherwise(F.col(key)).alias(key), ts_col,
+                      *[F.when(~F.col("_tick"), F.col(c)).alias(c) for c in rest],
+                      F.when(F.col("_tick"), F.col(ts_col)).alias("clock_ts"))
+    return out.withWatermark("clock_ts", delay)
+
+
+def is_clock(key) -> bool:
+    return key is not None and str(key).startswith(CLOCK)
 
 
 # ST1 -------------------------------------------------------------------------
@@ -44,35 +71,45 @@ def read_message_stream(spark: SparkSession, src_dir: str, files_per_trigger: in
     return r.json(src_dir)
 
 
-def _written(spark: SparkSession, out_dir: str, batch_id: int, columns: list[str]) -> DataFrame | None:
-    """What earlier batches wrote (folders below ``batch_id``), or None in the first batch."""
-    folders = [f"{out_dir}/batch_id={i}" for i in range(batch_id)]
-    return spark.read.parquet(*folders).select(*columns) if folders else None
+def _first_fn(columns):
+    def first(key, pdfs, state):
+        """Per id: the first copy of the first batch that has one; the state says only that the id was seen."""
+        if state.exists:
+            return
+        rows = pd.concat(list(pdfs))
+        state.update((True,))
+        yield rows.sort_values(["received_at", "_h"], na_position="first", kind="stable")[columns].head(1)
+    return first
 
 
 def stream_ingest(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
-                  files_per_trigger: int | None = None) -> DataFrame:
+                  files_per_trigger: int | None = None, progress: list | None = None) -> DataFrame:
     """ST1: new mail as a stream: parse (P1-P5), first copy of an id wins, however old the mail is.
 
-    Each batch keeps one row per id (the earliest received) and drops the ids
-    that earlier batches have written (an anti join on the id column alone), so
-    no row is lost to a watermark. A retried batch overwrites its own folder.
+    The seen ids are keyed state (one flag each, RocksDB on the executors, changelog checkpoints): a batch looks up
+    its own ids only, so its cost doesn't grow with the mail already written. Within a batch the earliest received
+    copy wins, ties by the row's hash. There is no watermark, so no row is lost to one; rows without an id share the
+    null id. A retried batch overwrites its own folder. ``progress`` collects Spark's figures of each batch.
     """
+    mail = to_raw_emails(read_message_stream(spark, src_dir, files_per_trigger))
+    columns, schema = mail.columns, mail.schema
+    firsts = mail.withColumn("_h", F.xxhash64(*columns)).groupBy("id").applyInPandasWithState(
+        _first_fn(columns), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = first_copies(to_raw_emails(batch))
-        seen = _written(batch.sparkSession, out_dir, batch_id, ["id"])
-        if seen is not None:
-            rows = rows.join(seen, "id", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    msgs = read_message_stream(spark, src_dir, files_per_trigger)
-    _run(msgs.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
-    return spark.read.parquet(out_dir).drop("batch_id")
+    q = _run(firsts.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
+    if progress is not None:
+        progress.extend(q.recentProgress)
+    return spark.read.schema(schema).parquet(out_dir)
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
+    """One batch's copies, as ST1 picks them."""
     pick = F.struct(*rows.columns)
-    return rows.groupBy("id").agg(F.min_by(pick, F.struct("received_at", pick)).alias("_r")).select("_r.*")
+    order = F.struct("received_at", F.xxhash64(*rows.columns))
+    return rows.groupBy("id").agg(F.min_by(pick, order).alias("_r")).select("_r.*")
 
 
 # ST2 -------------------------------------------------------------------------
@@ -146,11 +183,13 @@ NOT_YET = -1  # received_ms of a mail of which only changes have been seen
 def _grace_fn(key, pdfs, state):
     """Per mail: one event-time timer at receipt + 7 days; reading the mail first cancels it.
 
-    Events may come in any order over batches: the one with the latest event time says whether the mail is
-    unread, and a read that comes before its arrival is kept. A mail whose time is already past the
-    watermark is answered at once.
+    Events may come in any order over batches, however late: the one with the latest event time says whether the mail
+    is unread, and a read that comes before its arrival is kept. A mail whose time is already past the watermark is
+    answered at once.
     """
     (mail_id,) = key
+    if is_clock(mail_id):
+        return
     received_ms, unread, rule_id, seen_ms = state.get if state.exists else (NOT_YET, True, None, NOT_YET)
     expired = state.hasTimedOut
     if not expired:
@@ -179,15 +218,18 @@ def stream_grace_expiry(spark: SparkSession, events: DataFrame, out_dir: str, ck
     """ST4: keep-mail that stays unread turns ``grace_expired`` 7 days after receipt.
 
     ``events`` is a streaming frame of (id, kind arrival|change, event_ts, unread, rule_id).
-    The state per mail is three fields; its timer is event time, so the result
-    depends on the data, not on when the job runs.
+    The state per mail is four fields; its timer is event time, so the result
+    depends on the data, not on when the job runs. The clock is ``clocked``: a late arrival is decided
+    like any other, in whatever batch it comes. Events without a time start no clock and are left out. An arrival that
+    is delivered again after its mail was answered gives the same row, which counts once.
     """
-    ev = events.withColumn("event_ms", F.unix_millis(F.col("event_ts"))).withWatermark("event_ts", watermark)
+    ev = events.where("event_ts is not null").select("id", "kind", "event_ts", "unread", "rule_id")
+    ev = clocked(ev, "event_ts", "id", watermark).withColumn("event_ms", F.unix_millis(F.col("event_ts")))
     out = ev.groupBy("id").applyInPandasWithState(
         _grace_fn, GRACE_OUT, GRACE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     _run(out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
          .outputMode("append"))
-    return spark.read.parquet(out_dir)
+    return spark.read.schema(GRACE_OUT).parquet(out_dir).distinct()
 
 
 def grace_events(mail: DataFrame, as_of: _dt.datetime = AS_OF, days_window: int = 30) -> DataFrame:
@@ -200,20 +242,63 @@ def grace_events(mail: DataFrame, as_of: _dt.datetime = AS_OF, days_window: int
 
 
 # ST5 -------------------------------------------------------------------------
+DAY_MS = 86_400_000
+DAY_SALT = 32
+NO_DAY = -(1 << 62)
+
+
+def _day_fn(key, pdfs, state):
+    """Per (group, day, salt): rows are counted until the watermark passes the day's end; later rows go out at once."""
+    group, day_ms, _ = key
+    if is_clock(group):
+        return
+    n, closed, late = (state.get[0] if state.exists else 0), state.hasTimedOut, False
+    if not closed:
+        n += sum(len(p) for p in pdfs)
+        late = day_ms == NO_DAY or day_ms + DAY_MS <= state.getCurrentWatermarkMs()
+        if not late:
+            state.update((n,))
+            state.setTimeoutTimestamp(int(day_ms) + DAY_MS)
+            return
+    if state.exists:
+        state.remove()
+    yield pd.DataFrame({"group": [group], "day_ms": [int(day_ms)], "n": [n], "late": [late]})
+
+
+DAY_ROWS = "group string, day_ms bigint, n bigint, late boolean"
+
+
 def stream_daily_counts(spark: SparkSession, src_dir: str, schema: str, out_dir: str, ckpt: str,
                         ts_col: str = "decided_at", keys: tuple[str, ...] = ("model_version", "decision"),
-                        files_per_trigger: int | None = None) -> DataFrame:
-    """ST5: decisions per day and key; every row counts, however late it comes.
-
-    Each batch writes its own counts to its own folder; the table is their sum. No state is kept.
+                        files_per_trigger: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """ST5: decisions per day and key, by event time: a tumbling day closes when the watermark passes its end.
+
+    State is one number per open (day, keys, salt) and goes when the day closes, so it is bounded by the open days; the
+    salt (``DAY_SALT``) keeps a key with very many rows from one task. A closed day's counts are written once. Rows that
+    come after that are written as rows of their own (``late``). The table sums both and the open days, which are read
+    from the state of the last finished batch, so no row is lost and no written row changes.
+    Rows without a time count under a null day. Each run goes on from the checkpoint.
     """
     reader = spark.readStream.schema(schema)
     d = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(src_dir)
-    day = F.date_trunc("day", F.col(ts_col).cast("timestamp")).cast("timestamp_ntz")
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(day.alias("day"), *keys).agg(F.count(F.lit(1)).alias("n")) \
-            .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    _run(d.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
-    return spark.read.parquet(out_dir).groupBy("day", *keys).agg(F.sum("n").alias("n"))
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    ts = F.col(ts_col).cast("timestamp")
+    d = d.select(group.alias("group"), ts.alias("ts"), F.coalesce(F.unix_millis(F.date_trunc("day", ts)), F.lit(NO_DAY)).alias("day_ms"),
+                 F.pmod(F.xxhash64(*d.columns), F.lit(DAY_SALT)).cast("int").alias("salt"))
+    out = clocked(d, "ts", "group", delay).groupBy("group", "day_ms", "salt").applyInPandasWithState(
+        _day_fn, DAY_ROWS, "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    _run(out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt).outputMode("append"))
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema.fields}
+    row = T.StructType([T.StructField(k, types[k]) for k in keys])
+    both = daily_rows(spark, out_dir, ckpt).groupBy("group", "day_ms").agg(F.sum("n").alias("n"))
+    day = F.when(F.col("day_ms") != NO_DAY, F.timestamp_millis("day_ms")).cast("timestamp_ntz")
+    return both.select(day.alias("day"), F.from_json("group", row).alias("g"), "n").select("day", "g.*", "n")
+
+
+def daily_rows(spark: SparkSession, out_dir: str, ckpt: str) -> DataFrame:
+    """What ST5 holds: written rows (``late`` false: a closed day's count, true: a row after it) and open days (``late`` null)."""
+    written = spark.read.schema(DAY_ROWS).parquet(out_dir)
+    state = spark.read.format("statestore").load(ckpt)
+    open_days = state.where(F.col("value.groupState").isNotNull()).select(
+        F.col("key.group"), F.col("key.day_ms"), F.col("value.groupState.n"), F.lit(None).cast("boolean").alias("late"))
+    return written.unionByName(open_days)
