@@ -2,7 +2,7 @@
 
 Plain Parquet tables have no MERGE/UPDATE, so every change is a pure function
 ``(current, changes) -> new snapshot`` that the caller writes once as a new
-version (``write_snapshot``). On a table format with MERGE support the same
+version (``commit.Store``). On a table format with MERGE support the same
 semantics can be expressed with ``DataFrame.mergeInto``.
 
 Shape of every upsert: one shuffle on the key (a join or a ``groupBy`` with
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.packs import DECISION_VALUES, FINAL_STATES, HUMAN_SOURCES, OUTBOX_GROUP_SIZE, USER_LABELS
-from ..session import AS_OF, checkpoint_dir
+from ..session import AS_OF
 
 
 def _dedupe_first(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -99,7 +99,7 @@ def upsert_feedback_latest(current: DataFrame, changes: DataFrame, protect_human
         passive = ch.filter(F.col("source").isin(*PASSIVE_SOURCES)).join(human, "email_id", "left_anti")
         ch = ch.filter(~F.col("source").isin(*PASSIVE_SOURCES)).unionByName(passive)
     best = (ch.groupBy("email_id")
-            .agg(F.max_by(F.struct(*cols), F.struct("created_at", "_seq")).alias("_r"))
+            .agg(F.max_by(F.struct(*cols), F.struct("created_at", "_seq", F.struct(*cols))).alias("_r"))
             .select("_r.*"))
     b = best.select(F.col("email_id").alias("_k"), F.col("user_label").alias("_nl"),
                     F.col("source").alias("_ns"), F.col("created_at").alias("_nc"), F.lit(True).alias("_hit"))
@@ -250,26 +250,14 @@ def run_log_row(summary: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
         F.col("ml_below_threshold").alias("ml_below"), F.lit(None).cast("string").alias("error"))
 
 
-def run_log_error(spark: SparkSession, error: BaseException, as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """K8: the log line of a failed run (error type and text)."""
-    return spark.createDataFrame(
-        [(as_of, "ERROR", f"{type(error).__name__}: {error}")], "run_at timestamp_ntz, status string, error string")
-
-
-def write_snapshot(df: DataFrame, table_dir: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Write a new table version; readers switch to it only after the write finished (atomic)."""
-    path = f"{table_dir.rstrip('/')}/v={version:08d}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
+RUN_LOG = ("run_at timestamp_ntz, status string, scanned bigint, trashed bigint, rules bigint, ml bigint, grace bigint, "
+           "protected bigint, ml_below bigint, error string")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def run_log_error(spark: SparkSession, error: BaseException, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    """K8: the log line of a failed run (error type and text), in the form of ``run_log_row``."""
+    row = (as_of, "ERROR", *[None] * 7, f"{type(error).__name__}: {error}")
+    return spark.createDataFrame([row], RUN_LOG)
 
 
 # V1-V5 -----------------------------------------------------------------------
@@ -280,8 +268,12 @@ def check_primary_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def check_not_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """V2: rows violating NOT NULL, with the list of offending columns (quarantine)."""
-    bad = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    return df.withColumn("null_columns", bad).filter(F.size("null_columns") > 0)
+    return df.withColumn("null_columns", null_columns(cols)).filter(F.size("null_columns") > 0)
+
+
+def null_columns(cols) -> Column:
+    """Names of the columns that are null in a row."""
+    return F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
 
 
 def check_enum(df: DataFrame, col: str, values: list[str]) -> DataFrame:

@@ -102,7 +102,7 @@ def stream_ingest(spark: SparkSession, src_dir: str, out_dir: str, ckpt: str,
     q = _run(firsts.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt))
     if progress is not None:
         progress.extend(q.recentProgress)
-    return spark.read.schema(schema).parquet(out_dir)
+    return spark.read.schema(schema).parquet(out_dir).select(*columns)
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
