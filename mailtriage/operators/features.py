@@ -34,22 +34,30 @@ TEST_FRACTION_HEX = "33333333"             # md5 prefix below this: ~20 % test r
 
 
 # M1 --------------------------------------------------------------------------
-def build_features(df: DataFrame, as_of: _dt.datetime = AS_OF, snippet_chars: int | None = None) -> DataFrame:
+def build_features(df: DataFrame, as_of: _dt.datetime = AS_OF, snippet_chars: int | None = None,
+                   clock: str | None = None) -> DataFrame:
     """M1: P5 + P7-P10 in one projection; mailbox labels are deliberately not features.
 
     Whole texts by default; ``snippet_chars`` (``packs.SNIPPET_CHARS`` is the classic value) cuts the snippet.
+    ``clock`` names a time column that the age is measured at instead of ``as_of`` (Q20: the feedback's time); where
+    that is null, ``as_of`` holds.
     """
     subject = F.coalesce(F.col("subject"), F.lit(""))
     snippet = F.coalesce(F.col("snippet"), F.lit(""))
     if snippet_chars is not None:
         snippet = S.truncate_text(snippet, snippet_chars)
     keep = [c for c in df.columns if c not in ("subject", "snippet", "sender_domain")]
+    age = S.age_days_clipped(F.col("received_at"), as_of)
+    if clock is not None:
+        micros = F.unix_micros(F.col(clock).cast("timestamp")) - F.unix_micros(F.col("received_at").cast("timestamp"))
+        at_clock = F.greatest(F.floor(micros / F.lit(float(S.MICROS_PER_DAY))).cast("bigint"), F.lit(0).cast("bigint"))
+        age = F.when(F.col(clock).isNotNull() & F.col("received_at").isNotNull(), at_clock).otherwise(age)
     return df.select(
         *keep,
         F.lower(F.coalesce(F.col("sender_domain"), F.lit(""))).alias("sender_domain"),
         subject.alias("subject"), snippet.alias("snippet"),
         F.length(subject).alias("subject_len"), F.length(snippet).alias("snippet_len"),
-        F.coalesce(S.age_days_clipped(F.col("received_at"), as_of), F.lit(0).cast("bigint")).alias("age_days"),
+        F.coalesce(age, F.lit(0).cast("bigint")).alias("age_days"),
         S.hour_received(F.col("received_at")).alias("hour_received"),
         *S.keyword_flags(subject),
     )

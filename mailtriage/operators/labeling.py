@@ -56,8 +56,11 @@ def _outcome(key: str, rule: Column | None = None) -> Column:
         reason_col = F.concat(F.lit(pre), rule, F.lit(post))
     else:
         reason_col = F.lit(reason)
+    # Q7: as coded the default keep has the class of mail to delete; cls_fixed has the class of its target
+    fixed = CLASS_TAXONOMY["keep_critical"] if target == "keep" else cls
     return F.struct(F.lit(cls).alias("cls"), F.lit(train).alias("include_in_training"),
-                    F.lit(target).cast("string").alias("train_target"), reason_col.alias("reason"))
+                    F.lit(target).cast("string").alias("train_target"), reason_col.alias("reason"),
+                    F.lit(fixed).alias("cls_fixed"))
 
 
 def derive_label(df: DataFrame, pack: str = DEFAULT_PACK, user_label: str | None = "user_label",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packs import DEFAULT_PACK, LAYERS, PACKS, READ_LATER_PATTERN, pack_rows
 from ..functions.regex import spark_alternation, spark_regex
-from ..functions.scalars import normalize_inputs
+from ..functions.scalars import normalize_inputs, sender_address
 
 CHUNK = 8
 RULE_TABLE_BROADCAST_MAX = 100_000   # rows; beyond this, split the rule table and union
@@ -123,9 +123,12 @@ def hit_of(rule_no: Column, pack: str = DEFAULT_PACK) -> Column:
 
 def apply_rules(df: DataFrame, pack: str = DEFAULT_PACK, sender: str = "sender",
                 domain: str = "sender_domain", subject: str = "subject", out: str = "hit",
-                normalize: bool = True, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+                normalize: bool = True, layers: tuple[str, ...] = LAYERS, match_on: str = "text") -> DataFrame:
     """R5 on a DataFrame: adds ``out`` = first hit struct (null = no hit).
 
+    ``match_on``: sender rules see the whole From text (``text``, the default: a rule that ends in ``$`` doesn't match
+    ``Name <a@b>``) or only its address (``address``, Q2).
+
     First rule in order combo > keep domain > keep subject > deletable, list
     order within. Two projections: the normalised inputs (P6: strip sender,
     strip+lower domain, null -> ''), computed once per row and read by every
@@ -141,6 +144,10 @@ def apply_rules(df: DataFrame, pack: str = DEFAULT_PACK, sender: str = "sender",
         s, d, t = normalize_inputs(F.col(sender), F.col(domain), F.col(subject))
     else:
         s, d, t = (F.coalesce(F.col(c), F.lit("")) for c in (sender, domain, subject))
+    if match_on not in ("text", "address"):
+        raise ValueError(f"match_on is text or address, not {match_on}")
+    if match_on == "address":
+        s = sender_address(s)
     cur = df.withColumns({"_rs": s, "_rd": d, "_rt": t})
     no = F.expr(first_hit_sql("_rs", "_rd", "_rt", pack, tuple(layers)))
     cur = cur.select("*", F.explode(F.array(no)).alias("_rno"))

@@ -208,3 +208,38 @@ def q_recent_filter(spark, sf):
     f = fx.feedback(spark, sf)
     return f.filter(recent(F.col("created_at"), "7 days", AS_OF)).select(
         "email_id", "created_at", recent(F.col("created_at"), "24 hours", AS_OF).alias("in_24h"))
+
+
+# --- options of SURVEY 2.11 -----------------------------------------------------
+@query("apply_rules_address", sql=fx.oracle_with("raw_emails") + f"""
+, f AS (SELECT id, {O.norm_sender()} AS f, {O.norm_domain()} AS d, {O.norm_subject()} AS t FROM raw_emails),
+n AS (SELECT id, CASE WHEN contains(f, '<') AND contains(f, '>') THEN regexp_extract(f, '<([^>]*)', 1) ELSE f END AS s, d, t FROM f)
+SELECT id, {O.first_hit_case('decision')} AS decision, {O.first_hit_case('rule_id')} AS rule_id FROM n""")
+def q_apply_rules_address(spark, sf):
+    """Q2: sender rules on the address instead of the From text."""
+    return R.apply_rules(emails(spark, sf), match_on="address").select("id", "hit.decision", "hit.rule_id")
+
+
+@query("derive_label_fixed", sql=_derive_label_sql() + """
+SELECT id, cls, CASE WHEN train_target = 'keep' THEN 'transactional_keep' ELSE cls END AS cls_fixed FROM lab""")
+def q_derive_label_fixed(spark, sf):
+    """Q7: the coded class and the class that fits the target."""
+    return _labeled(spark, sf).select("id", "label.cls", "label.cls_fixed")
+
+
+@query("scan_recent_places", sql=fx.oracle_with("raw_emails") + f"""
+SELECT id, received_at FROM raw_emails WHERE {O.newer_than(30)} AND NOT {O.has('TRASH')} AND NOT {O.has('SPAM')}""")
+def q_scan_recent_places(spark, sf):
+    """Q27: recent mail without trash and spam."""
+    from ..sources.scans import scan_recent
+    return scan_recent(emails(spark, sf), AS_OF, 30, exclude_trash_spam=True).select("id", "received_at")
+
+
+@query("build_features_feedback_clock", sql=fx.oracle_with("raw_emails", "feedback") + f"""
+SELECT r.id, coalesce(greatest(CAST(floor((epoch_us(coalesce(f.created_at, {O.AS_OF})) - epoch_us(r.received_at)) / 86400000000.0) AS BIGINT), 0), 0) AS age_days
+FROM raw_emails r JOIN feedback f ON f.email_id = r.id""")
+def q_build_features_feedback_clock(spark, sf):
+    """Q20: a training mail's age at the time of its feedback."""
+    from ..operators.features import build_features
+    f = fx.feedback(spark, sf).select(F.col("email_id").alias("id"), F.col("created_at").alias("labeled_at"))
+    return build_features(emails(spark, sf).join(f, "id"), AS_OF, clock="labeled_at").select("id", "age_days")

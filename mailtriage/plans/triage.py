@@ -51,7 +51,7 @@ def route_column(hit: Column, p_spam: Column, received_at: Column, age: Column,
 
 def triage(emails: DataFrame, as_of: _dt.datetime = AS_OF, pack: str = DEFAULT_PACK,
            scorer=None, days_window: int | None = TRIAGE_WINDOW_DAYS,
-           threshold: float = ML_SPAM_THRESHOLD) -> DataFrame:
+           threshold: float = ML_SPAM_THRESHOLD, match_on: str = "text") -> DataFrame:
     """T1 (with ``scorer``) / T2 (``scorer=None``): one routed row per scanned mail.
 
     ``scorer(routed) -> routed`` adds ``p_spam`` and ``model_version`` to mail
@@ -63,7 +63,7 @@ def triage(emails: DataFrame, as_of: _dt.datetime = AS_OF, pack: str = DEFAULT_P
         "id", "thread_id", "sender", "sender_domain", "subject", "snippet", "labels", "received_at",
         S.is_unread("labels").alias("is_unread"),
         S.age_days(received, as_of).alias("age_days"),
-    ), pack)
+    ), pack, match_on=match_on)
     if scorer is not None:
         df = scorer(df)
         p = F.when(F.col("hit").isNull(), F.col("p_spam"))

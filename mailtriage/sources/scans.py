@@ -66,9 +66,11 @@ def scan_inbox_window(emails: DataFrame, as_of: _dt.datetime = AS_OF,
 
 
 def scan_recent(emails: DataFrame, as_of: _dt.datetime = AS_OF,
-                days: int = OBSERVE_WINDOW_DAYS) -> DataFrame:
-    """All mail younger than ``days`` days, every place included."""
-    return emails.filter(window_filter(emails, as_of, days))
+                days: int = OBSERVE_WINDOW_DAYS, exclude_trash_spam: bool = False) -> DataFrame:
+    """All mail younger than ``days`` days, every place included; ``exclude_trash_spam`` leaves out
+    TRASH and SPAM, as a provider's list call does that doesn't ask for them (Q27)."""
+    recent = emails.filter(window_filter(emails, as_of, days))
+    return recent.filter(mail_filter(not_in=["TRASH", "SPAM"])) if exclude_trash_spam else recent
 
 
 def scan_trash_window(emails: DataFrame, as_of: _dt.datetime = AS_OF, days: int = 30) -> DataFrame:
