@@ -1,22 +1,27 @@
 """Fuzzy line deduplication by MinHash.
 
 A line's shingles are all runs of ``WIDTH`` characters (lower case, white space as one blank), in any script; a shorter
-line is its own shingle. The signature has
-``BANDS * ROWS`` values, each the smallest of a hash of its own over the shingles (32 bits; two come from one 64-bit hash).
-Lines that agree in a band share a bucket.
+line is its own shingle. The signature has ``BANDS * ROWS`` values, each the smallest of a hash of its own over the
+shingles (32 bits). Lines that agree in a band share a bucket.
 
 In a bucket, every line is first compared with the bucket's most frequent line (a star, linear in the bucket).
 The exact Jaccard index of the shingle sets decides. Union-find joins the links. Where lines of one bucket are
-still in different components, those outside its largest component are compared, again exactly, with the lines
-that share one of their rarest shingles: similar lines always do (the prefix filter of set similarity joins), so no
-bucket is expanded into pairs and no link inside one is lost. Of each component one line stays: the first by doc_id and place.
+still in different components, those outside its largest component are compared, again exactly, with all others of the
+bucket: a task multiplies the incidence matrices of bounded chunks of lines and returns which components touch, so no
+pair leaves a task and no link inside a bucket is lost. Of each component one line stays: the first by doc_id and place.
 
 With similarity 0.8 two lines share one of 8 bands of 4 with probability 0.985, with 0.85 0.997,
-with 0.9 0.9999. DataFrame functions only. Copies of a line are collapsed by partial aggregation before any shuffle. Most lines have no partner; a bit filter
-of fixed size lets the later passes skip nearly all of them (it only ever lets too much through).
+with 0.9 0.9999. Spark deals, joins and groups; signatures and set comparisons are numpy over Arrow batches (the form in
+DataFrame functions alone took over 1,000 CPU seconds a GB, see README). Copies of a line are collapsed within
+each batch and by partial aggregation. Most lines have no partner; a bit filter of fixed size lets the later passes
+skip nearly all of them (it only ever lets too much through).
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -28,51 +33,84 @@ from .union_find import components
 SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 8, 4
 #: Longs of the bit filter: 1 MB, whatever the input.
 FILTER_LONGS = 1 << 17
-#: The shingles as a pattern: every ``WIDTH`` characters in a row, of a shorter line the whole.
-ANCHORED = rf"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}(?!.)))."
-
-
-def normal(line: Column) -> Column:
-    odd = F.contains(line, F.lit("  "))
-    for c in SPACE_CHARS[1:]:
-        odd = odd | F.contains(line, F.lit(c))
-    return F.lower(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "))).otherwise(F.btrim(line)))
-
-
-def characters(normal_line: Column) -> Column:
-    """The line with four bytes a character, so that a shingle is found by its place."""
-    return F.encode(normal_line, "UTF-32")
-
-
-def places(chars: Column) -> Column:
-    """Where the shingles of ``characters`` start: everywhere, but one shingle at least."""
-    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(chars) / 4).cast("int") - WIDTH, F.lit(0)))
-
-
-def shingle(chars: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(chars, place * 4 + 1, F.lit(WIDTH * 4)))
-
-
-def shingle_set(normal_line: Column) -> Column:
-    """The distinct shingles of a line, as hashes."""
-    one = F.transform(F.array(characters(normal_line)), lambda c: F.array_distinct(F.transform(places(c), lambda i: shingle(c, i))))
-    return F.get(one, F.lit(0))
-
-
-def hashes(s: Column) -> list[Column]:
-    """Independent hashes of a shingle hash, named x0, x1, ..: half as many as the signature has values."""
-    return [F.xxhash64(F.lit(k), s).alias(f"x{k}") for k in range(BANDS * ROWS // 2)]
-
-
-def minima() -> list[Column]:
-    """The signature m0, m1, .. of a group of shingles with their ``hashes``: the minima of the halves of each."""
-    halves = [h for k in range(BANDS * ROWS // 2) for h in (F.shiftright(f"x{k}", 32), F.col(f"x{k}").bitwiseAND(F.lit(0xFFFFFFFF)))]
-    return [F.min(h).alias(f"m{k}") for k, h in enumerate(halves)]
-
-
-def band_keys() -> Column:
-    """The array of a signature's buckets."""
-    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+#: Lines of a chunk where lines of one bucket meet, characters of a block of signatures, columns of an incidence block.
+CHUNK, BLOCK, COLUMNS = 512, 200_000, 4096
+
+
+def normal(line: str) -> str:
+    """Lower case, runs of white space as one blank, none at the ends."""
+    return RUNS.sub(" ", line).strip(" ").lower()
+
+
+RUNS = re.compile(f"[{SPACE_CHARS}]{{2,}}|[{SPACE_CHARS[1:]}]")
+
+
+def shingle_hashes(lines: list[str]) -> tuple["np.ndarray", "np.ndarray"]:
+    """64-bit hashes of all shingles of normal lines, and where each line's begin."""
+    import numpy as np
+    lines = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines]
+    sizes = np.array([len(x) for x in lines])
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    base = 0x9E3779B97F4A7C15
+    power = lambda n: np.uint64(pow(base, n, 1 << 64))
+    two = c[:-1] * power(1) + c[1:]
+    four = two[:-2] * power(2) + two[2:]
+    eight = four[:-4] * power(4) + four[4:]
+    h = eight[:-4] * power(4) + four[8:]
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h), bool)
+    gaps = ends[:-1, None] - np.arange(WIDTH - 1, 0, -1)  # windows that reach into the next line
+    inside[gaps.ravel()] = False
+    h = h[inside]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h, np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)[:-1]])
+
+
+def band_keys(h: "np.ndarray", starts: "np.ndarray") -> "np.ndarray":
+    """The buckets of each line (a row each): hashes of ``ROWS`` minima of independent hashes of its shingle hashes."""
+    import numpy as np
+    r = np.random.default_rng(1)
+    words = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(starts), b + 1, np.uint64)
+        for k in range(ROWS):
+            mul, add, mul2 = (np.uint32(x) for x in r.integers(1, 1 << 32, 3, dtype=np.uint64))
+            v = words[k % 2] * (mul | np.uint32(1)) + add
+            v ^= v >> np.uint32(15)
+            v *= mul2 | np.uint32(1)
+            least = np.minimum.reduceat(v, starts).astype(np.uint64)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def shingle_set(normal_line: str) -> "np.ndarray":
+    """The distinct shingles of a line, as sorted hashes."""
+    import numpy as np
+    return np.unique(shingle_hashes([normal_line])[0])
+
+
+def blocks(lines: list[str]) -> Iterator[list[str]]:
+    """Lines in stretches of about ``BLOCK`` characters."""
+    out, n = [], 0
+    for x in lines:
+        out.append(x)
+        n += len(x)
+        if n >= BLOCK:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
+def has_word(line: str) -> bool:
+    return bool(line.strip(SPACE_CHARS))
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,12 +120,29 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("doc_id", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h1, h2, copies, m0, m1, ..) of each distinct line."""
-    s = lines.select("h1", "h2", characters(normal(F.col("line"))).alias("line"))
-    s = s.select("h1", "h2", "line", F.explode_outer(places(F.col("line"))).alias("i"))
-    s = s.select("h1", "h2", "i", shingle(F.col("line"), F.col("i")).alias("s"))
-    return s.select("h1", "h2", "i", *hashes(F.col("s"))).groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("copies"), *minima())
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, copies, bands) of each distinct line with a word; h1 and h2 as in ``occurrences``."""
+    seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1))).first()[0] & (1 << 64) - 1
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                count = Counter(x for t in batch.column(0).slice(at, 500).to_pylist() if t for x in t.split("\n") if has_word(x))
+                for lines in blocks(list(count)):
+                    raw = [x.encode() for x in lines]
+                    bands = band_keys(*shingle_hashes([normal(x) for x in lines]))
+                    ids = [pa.array(np.array([digest(x, k) for x in raw], np.uint64).view(np.int64)) for k in (42, seed)]
+                    ends = pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [*ids, pa.array([count[x] for x in lines], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
+                        names=["h1", "h2", "copies", "bands"])
+
+    each = docs.select(text).mapInArrow(run, "h1 bigint, h2 bigint, copies bigint, bands array<bigint>")
+    return each.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.first("bands").alias("bands"))
 
 
 def bit_filter(keys: DataFrame) -> Column:
@@ -102,10 +157,25 @@ def bit_filter(keys: DataFrame) -> Column:
     return F.getbit(F.get(one.scalar(), word), bit) == 1
 
 
-def similar(a: Column, n: Column, b: Column, n2: Column, similarity: float) -> Column:
-    """Whether the Jaccard index of two lines' shingles, of which they have n and n2, is ``similarity`` or more."""
-    both = F.size(F.array_intersect(shingle_set(a), shingle_set(b)))
-    return F.exists(F.array(both), lambda x: x / (n + n2 - x) >= similarity)
+def jaccard_batches(similarity: float):
+    """Arrow batches (id, id2, .., a, b) -> the rows whose lines a and b are similar, without the lines."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def pieces(x: str) -> set:
+            return {x[i:i + WIDTH] for i in range(max(1, len(x) - WIDTH + 1))}
+
+        for batch in batches:
+            last, mine, keep = None, None, []
+            for a, b in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if b != last:
+                    last, mine = b, pieces(b)
+                other = pieces(a)
+                both = len(mine & other)
+                keep.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
+            yield batch.select(list(range(batch.num_columns - 2))).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def near_sizes(a: Column, b: Column, similarity: float) -> Column:
@@ -119,7 +189,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     The first line of a component is that of the smallest doc_id (null last), text hash and place.
     """
     lines = occurrences(docs)
-    members = cut(signatures(lines).select("h1", "h2", "copies", band_keys().alias("bands")), "bands")
+    members = cut(signatures(docs), "bands")
     # a bucket's rows meet once; lines that share a bucket with another line stay
     bucket = Window.partitionBy("key")
     inside = (members.select("h1", "h2", F.explode("bands").alias("key"))
@@ -139,26 +209,77 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed"))
 
 
-def rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
-    """``lines(id, set, ..)`` -> (id, .., n, t, at): the rarest elements of each set, as many as a similar set can't all miss.
+def touching(rows: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """``rows(key, id, root, line, probe)`` -> (a, b): roots that have similar lines in one bucket (key).
 
-    Two sets as similar as ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` elements in any common
-    order (n: a set's size, at: an element's place from 1). Rarest first, elements of a frequent passage come last. An
-    element that only one set has takes a place but gives no row.
+    Lines marked ``probe`` are compared with all lines of their bucket that have another root. Small buckets share a
+    task; the lines of a larger one are dealt into chunks, and every chunk of probes meets every chunk of lines in a task
+    of its own. A task returns each pair of roots once.
     """
-    rest = [c for c in lines.columns if c != "set"]
-    each = lines.select(*rest, F.size("set").alias("n"), F.explode_outer("set").alias("t"))  # no second set for a filter
-    often = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = each.join(often, "t").groupBy(*rest, "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
-    placed = ranked.select(*rest, "n", (F.col("n") - F.size("s") + 1).alias("before"), F.posexplode(F.col("s")["t"]).alias("at", "t"))
-    placed = placed.select(*rest, "n", "t", (F.col("at") + F.col("before")).alias("at"))
-    return placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1)
-
-
-def room(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
-    """Whether two sets can be as similar if their first common element has these places: the overlap is at most that
-    element and what follows it in either set."""
-    return 1 + F.least(n - at, n2 - at2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - F.lit(1e-9)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if("probe").alias("p"))
+    sizes = cut(sizes.where("p > 0").withColumn("cm", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
+                .withColumn("cp", F.ceil(F.col("p") / F.lit(chunk)).cast("int")), "sizes")
+    total = sizes.where("cm = 1").agg(F.sum("m")).first()[0] or 0
+    t = rows.join(sizes.drop("m", "p"), "key")
+    cols = ["key", "id", "root", "line"]
+    small = t.where("cm = 1").select(F.pmod(F.xxhash64("key"), F.lit(max(1, total // (2 * chunk)))).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
+                                     *cols, F.col("probe").alias("left"), F.lit(True).alias("right"))
+    large = t.where("cm > 1")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    probes = large.where("probe").select(F.col("key").alias("g"), mine("cp").alias("i"), every("cm").alias("j"), *cols, F.lit(True).alias("left"), F.lit(False).alias("right"))
+    others = large.select(F.col("key").alias("g"), every("cp").alias("i"), mine("cm").alias("j"), *cols, F.lit(False).alias("left"), F.lit(True).alias("right"))
+
+    def compare(t):
+        import numpy as np
+        import pyarrow as pa
+        key, left, right = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "left", "right"))
+        names, root = np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)
+        lines, known, found = t["line"].to_pylist(), {}, set()
+        order = np.argsort(key, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            rows_l, rows_r = at[left[at]], at[right[at]]
+            if len(rows_l) == 0 or len(np.unique(root[at])) < 2:
+                continue
+            for k in at:
+                if lines[k] not in known:
+                    known[lines[k]] = shingle_set(lines[k])
+            sets = [known[lines[k]] for k in at]
+            _, col = np.unique(np.concatenate(sets), return_inverse=True)
+            n = np.array([len(x) for x in sets])
+            row = np.repeat(np.arange(len(at)), n)
+            place = {k: p for p, k in enumerate(at.tolist())}
+            pl, pr = ([place[k] for k in x.tolist()] for x in (rows_l, rows_r))
+            both = np.zeros((len(pl), len(pr)), np.float32)
+            by_col = np.argsort(col, kind="stable")
+            row, col = row[by_col], col[by_col]
+            cuts = np.searchsorted(col, np.arange(0, col[-1] + 1 + COLUMNS, COLUMNS))
+            for c, (s, e) in enumerate(zip(cuts, cuts[1:])):
+                m = np.zeros((len(at), COLUMNS), np.float32)
+                m[row[s:e], col[s:e] - c * COLUMNS] = 1
+                both += m[pl] @ m[pr].T
+            near = both >= similarity * (n[pl][:, None] + n[pr][None, :] - both) - 1e-4
+            x, y = np.nonzero(near & (root[rows_l][:, None] != root[rows_r][None, :]))
+            x, y = root[rows_l][x], root[rows_r][y]
+            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([names[x] for x, _ in pairs], pa.string()), "b": pa.array([names[y] for _, y in pairs], pa.string())})
+
+    met = small.unionByName(probes).unionByName(others).groupBy("g", "i", "j").applyInArrow(compare, "a string, b string")
+    return met.distinct()
+
+
+def normal_lines(texts: DataFrame) -> DataFrame:
+    """``texts(.., line)`` with normal lines, and ``n``: the number of different shingles."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            lines = [normal(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            n = [len({x[i:i + WIDTH] for i in range(max(1, len(x) - WIDTH + 1))}) for x in lines]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lines, pa.string()), pa.array(n, pa.int32())], names=[*b.schema.names, "n"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInArrow(run, f"{head}, n int")
 
 
 def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
@@ -168,40 +289,27 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
     """
     # copies collapse before the shuffle: a line that is very frequent is one row per task
     text = relevant.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(ids, ["h1", "h2"])
-    # texts are written, not sets: these take eight bytes a character, and are made again where two lines meet
-    text = text.withColumn("line", normal(F.col("line")))
-    texts = cut(text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"), "line",
-                            F.size(shingle_set(F.col("line"))).alias("n")), "texts")
+    texts = text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"), "line")
+    texts = cut(normal_lines(texts), "texts")
     names = texts.select("h1", "h2", "id", "copies", "n")
     named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies", "n"), "named")
     rank = F.struct("copies", "id")
     heads = named.groupBy("key").agg(F.max_by(F.struct("id", "n"), rank).alias("head")).select(
         "key", F.col("head.id").alias("id2"), F.col("head.n").alias("n2"))
     sized = near_sizes(F.col("n"), F.col("n2"), similarity)
-    mine = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"))
-    other = texts.select(F.col("id").alias("id2"), F.col("line").alias("b"), F.col("n").alias("nb"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (id, id2, ..) that are similar; each is compared once, however many buckets it shares."""
-        return pairs.distinct().join(mine, "id").join(other, "id2").where(
-            similar(F.col("a"), F.col("na"), F.col("b"), F.col("nb"), similarity))
+    mine = texts.select("id", F.col("line").alias("a"))
+    other = texts.select(F.col("id").alias("id2"), F.col("line").alias("b"))
 
-    star = verified(named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2"))
+    pairs = named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2").distinct()
+    both = pairs.join(mine, "id").join(other, "id2").select("id", "id2", "a", "b")
+    star = both.mapInArrow(jaccard_batches(similarity), "id string, id2 string")
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     placed = named.select("key", "id").join(rooted.select("id", "root"), "id")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1")
-    split = placed.join(mixed.select("key", "main"), "key").groupBy("id", "root").agg(
-        F.max(F.col("root") != F.col("main")).alias("probe"))
-    split = cut(split.join(texts.select("id", "h1", "h2", "line"), "id"), "mixed")
-    rare = rare_prefixes(split.select("h1", "h2", shingle_set(F.col("line")).alias("set")), similarity)
-    prefixes = cut(rare.join(split.drop("line"), ["h1", "h2"]), "prefixes")
-    again = prefixes.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")])
-    enough = room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)
-    links = verified(prefixes.where("probe").join(again, "t").where("root <> root2").where(sized).where(enough)
-                     .select("id", "id2", "root", "root2"))
-    top = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
+    split = placed.join(mixed.select("key", "main"), "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("probe"))
+    top = components(touching(split.join(texts.select("id", "line"), "id"), similarity))
     final = rooted.join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "h1", "h2", "id", F.coalesce("top", "root").alias("root"))
     shared = final.where("id <> root").select("root").distinct()

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from conftest_llm import ODD
@@ -120,9 +121,8 @@ def test_secret_ledger(spark, make):
 # op3
 
 def brute_lines(rows):
-    pat = re.compile(line_dedup.ANCHORED.replace(r"\x20", " "))
     occ = [(i, k, re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ").lower()) for i, t in rows for k, s in enumerate((t or "").split("\n")) if WORD.search(s)]
-    sets = {s: set(pat.findall(s)) for _, _, s in occ}
+    sets = {s: plain_shingles(s) for _, _, s in occ}
     names = sorted(sets)
     up = roots_of([(a, b) for i, a in enumerate(names) for b in names[i + 1:]
                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], names)
@@ -151,45 +151,38 @@ def test_line_dedup(spark, make):
     assert got[104] == 1 and got[100] == 0
 
 
-def test_band_recall(spark):
+def test_band_recall():
     """Small sets with a Jaccard index of 0.8 and 0.9 meet in a band as often as independent hashes make them."""
-    r, n = random.Random(11), 4000
-    cases = [(5, 4), (10, 8), (20, 16), (10, 9), (20, 18)]  # shingles of both, and of those the shared
-    rows = []
-    for c, (union, shared) in enumerate(cases):
-        for p in range(n):
-            every = [r.getrandbits(64) - 2**63 for _ in range(union)]
-            one = (union - shared + 1) // 2
-            rows += [(c, p, 0, s) for s in every[:shared + one]] + [(c, p, 1, s) for s in every[:shared] + every[shared + one:]]
-    s = spark.createDataFrame(rows, "c int, p int, side int, s bigint").select("c", "p", "side", *line_dedup.hashes(F.col("s")))
-    signed = s.groupBy("c", "p", "side").agg(*line_dedup.minima()).select("c", "p", line_dedup.band_keys().alias("b"))
-    met = signed.groupBy("c", "p").agg(F.arrays_overlap(F.min_by("b", "b"), F.max_by("b", "b")).alias("met"))
-    got = {x["c"]: x["met"] for x in met.groupBy("c").agg(F.avg(F.col("met").cast("int")).alias("met")).collect()}
-    for c, (union, shared) in enumerate(cases):
+    r, n = np.random.default_rng(11), 4000
+    for union, shared in [(5, 4), (10, 8), (20, 16), (10, 9), (20, 18), (100, 80), (400, 320)]:  # shingles of both, and the shared
+        one = (union - shared + 1) // 2
+        every = r.integers(0, 2 ** 64 - 1, (n, union), dtype=np.uint64)
+        sides = every[:, :shared + one], np.concatenate([every[:, :shared], every[:, shared + one:]], axis=1)
+        a, b = (line_dedup.band_keys(x.ravel(), np.arange(0, x.size, x.shape[1])) for x in sides)
         want = 1 - (1 - (shared / union) ** line_dedup.ROWS) ** line_dedup.BANDS
-        assert abs(got[c] - want) < 0.012, (union, shared, got[c], want)
-
-
-@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
-def test_rare_prefixes(spark, similarity):
-    """A cloud of near copies, subsets and strangers: every similar pair shares a place that leaves room for it."""
-    r = random.Random(int(similarity * 10))
-    base, sets = list(range(60)), {"empty": []}
-    for i in range(90):
-        kept = r.sample(base, r.randrange(40, 61))
-        sets[f"c{i}"] = sorted({*kept, *[r.randrange(60, 160) for _ in range(r.randrange(0, 14))]})
-    sets.update({f"s{i}": r.sample(range(200), r.randrange(1, 6)) for i in range(30)})
-    sets["same"] = sets["c0"]
-    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
-            and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= similarity}
-    assert want
-    rows = spark.createDataFrame([(k, v) for k, v in sets.items()], "id string, set array<bigint>")
-    p = line_dedup.rare_prefixes(rows, similarity)
-    q = p.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at")])
-    pairs = p.join(q, "t").where("id < id2").where(line_dedup.near_sizes(F.col("n"), F.col("n2"), similarity)).where(
-        line_dedup.room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)).select("id", "id2").distinct()
-    got = {(x["id"], x["id2"]) for x in pairs.collect()}
-    assert want <= got and len(got) < len(sets) * (len(sets) - 1) / 2
+        assert abs((a == b).any(1).mean() - want) < 0.012, (union, shared, (a == b).any(1).mean(), want)
+
+
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_touching(spark, chunk):
+    """A cloud of near copies, strangers and repeated roots in buckets: the roots that similar lines connect, exactly."""
+    r = random.Random(chunk)
+    base, rows = [rng_text(r, 12) for _ in range(3)], []
+    for i in range(120):
+        w = r.choice(base).split()
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = f"z{r.randrange(9)}"
+        key, root = r.randrange(4), r.randrange(30)
+        rows.append((key, f"i{i}", f"r{root:02}", " ".join(w), r.random() < 0.5))
+    df = spark.createDataFrame(rows, "key bigint, id string, root string, line string, probe boolean")
+    got = {tuple(x) for x in line_dedup.touching(df, 0.8, chunk).collect()}
+    want = set()
+    for k, _, ra, a, probe in rows:
+        for k2, _, rb, b, _ in rows:
+            x, y = plain_shingles(a), plain_shingles(b)
+            if probe and k == k2 and ra != rb and len(x & y) >= 0.8 * len(x | y):
+                want.add((min(ra, rb), max(ra, rb)))
+    assert got == want and want
 
 
 def plain_shingles(s, width=12):
@@ -215,9 +208,13 @@ def test_line_shingles(spark, make):
         rows += [(3 * k, b), (3 * k + 1, other), (3 * k + 2, far)]
     got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(make(rows)).collect()}
     assert got == {i: int(i % 3 == 1) for i, _ in rows}
-    sample = make(rows + ODD).where("length(text) > 0").select(line_dedup.characters(F.col("text")).alias("c"), "text")
-    n = sample.select("text", F.array_distinct(F.transform(line_dedup.places(F.col("c")), lambda i: line_dedup.shingle(F.col("c"), i))).alias("s"))
-    assert all(len(x["s"]) == len(plain_shingles(x["text"])) for x in n.collect())
+    for _, text in rows + ODD:
+        if text:
+            assert len(line_dedup.shingle_set(text)) == len(plain_shingles(text))
+    h, starts = line_dedup.shingle_hashes([t for _, t in rows])
+    for k, (_, text) in enumerate(rows):
+        end = starts[k + 1] if k + 1 < len(rows) else len(h)
+        assert (h[starts[k]:end] == line_dedup.shingle_hashes([text])[0]).all()
 
 
 def test_line_dedup_odd(spark, make):
