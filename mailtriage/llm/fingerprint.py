@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from mailtriage.session import cut
 
-from .text import hex16, read, words
+from .text import free_name, hex16, read, refuse, words
 
 SHINGLE, SCALE, LEAST = 5, 8, 16
 TOP = (1 << 63) - 1
@@ -61,8 +61,11 @@ def as_text(sketch: Column) -> Column:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``sketch``. Whole texts; null as empty. Equal texts have equal sketches; rows are judged one by one."""
-    return with_sketch(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), "__t", "sketch").drop("__t")
+    """``docs`` plus ``sketch``. Whole texts; null as empty. Equal texts have equal sketches; rows are judged one by one.
+    A column named sketch is refused."""
+    refuse(docs.columns, ["sketch"])
+    t = free_name(docs.columns, "__t")
+    return with_sketch(docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))), t, "sketch").drop(t)
 
 
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:

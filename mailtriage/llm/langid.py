@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .text import refuse
+
 #: The fit's bound: documents per language, and characters taken of each for the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1200
 #: Languages a fit may hold (a fit with more is refused, not cut).
@@ -89,8 +91,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keys: list[str], t
 
     A null text or one without a letter is ``und`` with score 0 and rejected, and so is every text if nothing
     was learned. Ties go to the first language by code point, with margin 0 (rejected). With one learned
-    language the score is 1. Repeated rows are judged alike; other columns are not read.
+    language the score is 1. Repeated rows are judged alike; other columns are not read. Keys named like a result
+    column are refused.
     """
+    refuse(keys, ["lang_pred", "score", "margin", "rejected"])
     part = docs.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1]]
                        + ["lang_pred string", "score double", "margin double", "rejected boolean"])

@@ -328,10 +328,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
         raise ValueError("a column n_removed is in the way")
     cols = docs.columns
     gone = removed_lines(docs.select("doc_id", F.col(text).alias("text")), similarity)
-    gone = cut(gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "removed"), "removed")
-    h, r = free_name(cols, "th"), free_name(cols, "removed")
-    gone = gone.withColumnRenamed("removed", r)
-    out = docs.withColumn(h, F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(h) == F.col("__t")), "left")
+    h, r, d, t = (free_name(cols, c) for c in ("th", "removed", "__d", "__t"))
+    gone = cut(gone.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("removed").alias(r)), "removed")
+    out = docs.withColumn(h, F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
     lines = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(r))
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")

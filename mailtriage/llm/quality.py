@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .text import SPACE, free_name, read, words
+from .text import SPACE, free_name, read, refuse, words
 
 # Patterns read alike by Java and RE2.
 #: A line ends in a sentence mark, optionally followed by closing quotes or brackets.
@@ -42,6 +42,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated rows are judged alike.
     """
     n = free_name(docs.columns, "__judged")
+    refuse(docs.columns, ["clean_text", "n_lines", "n_removed", "lost", "passes"])
     judged = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
                          lambda s: F.struct(s.alias("s"), has_word(s).alias("w"), line_passes(s).alias("ok")))
     out = docs.withColumn(n, judged)
@@ -57,11 +58,12 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Null texts count as empty.
+    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Null texts count as empty. Columns of these names are refused.
 
     Windows are compared by a 64-bit hash within one document; repeats are found by sorting the hashes with their
     places, so a long text costs n log n.
     """
+    refuse(docs.columns, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
     p = free_name(docs.columns, "__base")
     t = F.coalesce(F.col(text), F.lit(""))
     w, h, o, q, lines = (f"{p}{x}" for x in "whoql")

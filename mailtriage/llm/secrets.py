@@ -40,7 +40,16 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
 )
-RULES, RULE_VERSION = BASE + ADDED, "1"
+RULES = BASE + ADDED
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The rules' version: a digest of all they consist of, so that changed rules never find old entries."""
+    import hashlib
+    return hashlib.sha256(repr((rules, sorted(HINTS.items()))).encode()).hexdigest()[:16]
+
+
+
 #: Tests that a text can hold a finding at all, so that the others are not cut up.
 HINTS = {"hex": r"[0-9a-f]{24}", "access": "AKIA[A-Z0-9]{16}"}
 
@@ -77,15 +86,16 @@ def blob_id(text: Column) -> Column:
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
-                  rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+                  rule_version: str | None = None, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(findings, ledger)``: findings ``(path, blob, found)`` for every row of ``versions``, and the new ledger
     ``(blob, rule_version, found)``, both over written tables.
 
     Only pairs of blob and rule version that the old ledger lacks are scanned, one time each, whatever number of paths
-    holds the blob. A null text is the empty blob. Repeated rows and null paths are answered row by row. An empty table
+    holds the blob. The version is a digest of the rules, unless one is given. A null text is the empty blob. Repeated rows and null paths are answered row by row. An empty table
     gives empty tables; other columns are not read. Findings are joined on the blob; a blob with very many paths is
     one row on its side, and AQE splits the other.
     """
+    rule_version = rule_version or version_of(rules)
     rows = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     unseen = rows
     if ledger is not None:

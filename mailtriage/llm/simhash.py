@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailtriage.session import cut
 
-from .text import free_name, hex16
+from .text import free_name, hex16, refuse
 from .union_find import components
 
 PAIRS = 0x5555555555555555
@@ -129,8 +129,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     ``component_id`` is the smallest id reachable over links of at most ``max_bits`` differing bits (null ids
     are passed over; it is null if a component has only null ids). Null, empty and wordless texts have
     fingerprint 0 and are linked like any other. Repeated rows are kept; rows with one id but different texts
-    are separate rows, each in the component of its own text. An empty table gives an empty result.
+    are separate rows, each in the component of its own text. An empty table gives an empty result. An id or
+    ``keep`` column named fp or component_id is refused.
     """
+    refuse([id_col, *(keep or [])], ["fp", "component_id"])
     fps = cut(fingerprints(docs, [id_col, *(keep or [])], shingle, text), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.count("*").alias("copies"), F.min(id_col).alias("first"))
     nodes = cut(nodes, "distinct")
@@ -149,7 +151,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     A component whose ids are all null keeps its rows with the smallest text hash. Where several rows share
     the kept id, the smallest text hash decides; rows equal in id and text are one document and stay together.
     """
-    h = free_name(docs.columns, "text_hash")
+    h, lost_id, lost_hash = (free_name(docs.columns, c) for c in ("text_hash", "lost_id", "lost_hash"))
     marked = cut(near_duplicates(docs.withColumn(h, F.xxhash64("text")), shingle, max_bits, keep=[h]), "marked")
     lost = marked.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -158,8 +160,8 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     tied = (kept.withColumn("f", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("k")
             .join(least.alias("l"), F.col("k.component_id").eqNullSafe(F.col("l.component_id")) & F.col("k.f").eqNullSafe(F.col("l.f")))
             .where(F.col(f"k.{h}") != F.col("l.m")).select("k.doc_id", f"k.{h}"))
-    drop = cut(lost.select("doc_id", h).unionAll(tied).distinct().toDF("lost_id", "lost_hash"), "dropped")
-    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_hash")), "left_anti")
+    drop = cut(lost.select("doc_id", h).unionAll(tied).distinct().toDF(lost_id, lost_hash), "dropped")
+    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.xxhash64("text") == F.col(lost_hash)), "left_anti")
     return out
 
 

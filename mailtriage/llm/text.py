@@ -24,6 +24,13 @@ def hex16(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def refuse(columns: list[str], own: list[str]) -> None:
+    """ValueError if a column that is carried along has the name of a result column (case is ignored, as Spark does)."""
+    low = {c.lower() for c in columns}
+    if clash := [c for c in own if c.lower() in low]:
+        raise ValueError(f"columns {clash} are result columns: rename the input's own first")
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores until no column of ``taken`` has it (case is ignored, as Spark does)."""
     low = {c.lower() for c in taken}

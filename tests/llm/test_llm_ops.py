@@ -524,3 +524,38 @@ def test_pipeline(spark):
     want = collections.Counter(x["doc_id"] for x in before.select("doc_id").collect())
     starts = collections.Counter(x["doc_id"] for x in pieces if x["start"] == 0)
     assert starts == want and corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == len(pieces)
+
+
+# columns with clashing names
+
+@pytest.mark.parametrize("name", ["clean_text", "N_Lines", "lost", "passes", "n_words", "sketch", "lang_pred", "fp", "component_id"])
+def test_clashing_columns_are_refused(spark, make, name):
+    """A result column's name on a carried column raises ValueError; other operators don't mind the column."""
+    docs = make([(1, "some words of a text that is here."), (2, None)]).withColumn(name, F.lit("own"))
+    calls = {"clean_text": quality.clean_lines, "n_lines": quality.clean_lines, "lost": quality.clean_lines, "passes": quality.clean_lines,
+             "n_words": quality.base_counts, "sketch": fingerprint.sketches, "lang_pred": lambda d: langid.identify(d, {}, ["doc_id", "lang_pred"]),
+             "fp": lambda d: simhash.near_duplicates(d, keep=["fp"]), "component_id": lambda d: simhash.near_duplicates(d, keep=["component_id"])}
+    with pytest.raises(ValueError):
+        calls[name.lower()](docs)
+
+
+def test_own_helper_names_are_free(spark, make):
+    """Columns that have the names of helper columns come through unchanged."""
+    docs = make([(1, "one line\nanother line here"), (2, "one line")])
+    for name in ("__d", "__t", "th", "removed", "lost_id", "lost_hash", "text_hash"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for out in (line_dedup.dedup_lines(docs), simhash.keep_first(docs), fingerprint.sketches(docs)):
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in ("__d", "__t", "th", "removed", "lost_id", "lost_hash", "text_hash"))
+
+
+def test_changed_rules_scan_again(spark, make):
+    """The ledger's version follows the rules: findings of a removed rule don't come back."""
+    docs = make([(1, "AKIA" + "A1" * 8)])
+    first, ledger = secrets.scan_versions(docs)
+    assert first.first()["found"]
+    other = tuple(r for r in secrets.RULES if r.kind != "access")
+    again, _ = secrets.scan_versions(docs, ledger, other)
+    assert not again.first()["found"]
+    same, grown = secrets.scan_versions(docs, ledger)
+    assert same.first()["found"] and grown.count() == ledger.count()
