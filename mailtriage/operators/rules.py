@@ -12,8 +12,10 @@ guard hits. Alternation matches iff some part matches, so the result is the
 same, but a row that no rule touches (the common case) costs one regex per
 chunk instead of one per rule, and a row stops paying once a rule has hit.
 
-For rule tables too large to compile (thousands of rules) ``first_hit_table``
-evaluates the rules as a broadcast nested-loop join instead.
+For rule tables too large to compile (thousands of rules) ``first_hit_index``
+finds each mail's candidate rules by an equi join on four-character pieces that
+the patterns require, and runs the regex on candidates only; ``first_hit_table``
+evaluates all rules as a broadcast nested-loop join.
 """
 from __future__ import annotations
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.packs import DEFAULT_PACK, LAYERS, PACKS, READ_LATER_PATTERN, pack_rows
 from ..functions.regex import spark_alternation, spark_regex
 from ..functions.scalars import normalize_inputs, sender_address
+from ..session import cut
 
 CHUNK = 8
 RULE_TABLE_BROADCAST_MAX = 100_000   # rows; beyond this, split the rule table and union
@@ -203,6 +206,97 @@ def rule_table(spark, pack: str = DEFAULT_PACK) -> DataFrame:
                                  "rule_id string, reason string, pattern string, pattern2 string")
 
 
+GRAM = 4
+_CUT = "\u0002"
+
+
+def folded(c: Column) -> Column:
+    """One form for texts that a case-insensitive regex takes as equal (letters whose other case has another length too)."""
+    return F.lower(F.upper(F.translate(c, "\u0130", "i")))
+
+
+def required_grams(pattern: Column) -> Column:
+    """For each alternative of a regex, ``GRAM`` characters that a matching text must hold; null where there are none.
+
+    Groups, classes, escapes other than of punctuation, and repeated or optional characters say nothing here: they
+    split the alternative, and its longest run of plain characters gives the piece. Nested groups deeper than two,
+    look-arounds and runs shorter than ``GRAM`` give null (the rule then has to be tried on every mail).
+    """
+    p = F.regexp_replace(pattern, r"\\([.@_-])", "\u0001$1")                       # escaped punctuation: a plain character
+    p = F.regexp_replace(p, r"\\.(?:[?*+]|\{[^}]*\})?", _CUT)
+    p = F.regexp_replace(p, r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?", _CUT)
+    for _ in range(2):
+        p = F.regexp_replace(p, r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", _CUT)
+    odd = p.rlike(r"[()\[\]]")
+    runs = F.transform(F.split(p, r"\|"), lambda a: F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        a, "\u0001?.(?:[?*]|\\{[^}]*\\})", _CUT), "(?<!\u0001)[.^$+]", _CUT), "\u0001", ""), _CUT))
+    longest = F.transform(runs, lambda r: F.reduce(r, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x)))
+    plain = F.transform(longest, lambda x: F.when((F.length(x) >= GRAM) & x.rlike(r"^[\x20-\x7E]+$"), F.substring(folded(x), 1, GRAM)))
+    return F.when(~odd & F.forall(plain, lambda x: x.isNotNull()), F.array_distinct(plain))
+
+
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """``rules`` plus (field, gram), one row for each text and piece that leads to the rule; nulls where a rule has no piece.
+
+    Fields: s (From text), d (domain), t (subject). A combo rule needs its sender pattern's piece, or else its subject's.
+    """
+    g, g2 = required_grams(F.col("pattern")), required_grams(F.coalesce("pattern2", F.lit("")))
+    layer = F.col("layer")
+    fields = (F.when(layer == "combo", F.when(F.col("_g").isNotNull(), F.array(F.lit("s"))).otherwise(F.array(F.lit("t"))))
+              .when(layer == "keep_domain", F.array(F.lit("d"), F.lit("s"))).when(layer == "keep_subject", F.array(F.lit("t")))
+              .otherwise(F.array(F.lit("d"))))
+    own = F.when((layer == "combo") & F.col("_g").isNull(), F.col("_g2")).otherwise(F.col("_g"))
+    t = rules.withColumns({"_g": g, "_g2": g2}).withColumns({"_fields": fields, "_own": own}).drop("_g", "_g2")
+    return t.withColumn("field", F.explode("_fields")).withColumn("gram", F.explode_outer("_own")).drop("_fields", "_own")
+
+
+def _matches() -> Column:
+    """Whether a mail's texts (_s, _d, _t) match the rule beside them."""
+    rl = lambda c, p: F.regexp_like(F.col(c), F.concat(F.lit("(?iUd)"), F.col(p)))
+    return (F.when(F.col("layer") == "combo", rl("_s", "pattern") & rl("_t", "pattern2"))
+            .when(F.col("layer") == "keep_domain", rl("_d", "pattern") | rl("_s", "pattern"))
+            .when(F.col("layer") == "keep_subject", rl("_t", "pattern")).otherwise(rl("_d", "pattern")))
+
+
+def rule_candidates(emails: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame:
+    """Each mail beside the rules whose piece one of its texts holds: the only pairs on which a regex runs."""
+    s, d, t = normalize_inputs(F.col("sender"), F.col("sender_domain"), F.col("subject"))
+    m = emails.select(F.col(id_col).alias("_id"), s.alias("_s"), d.alias("_d"), t.alias("_t"))
+    # four bytes a character, so that a piece is found by its place; made once, behind a one-row generator
+    wide = F.struct(*[F.encode(folded(F.col(f"_{f}")), "UTF-32").alias(f) for f in "sdt"])
+    m = m.select("*", F.explode(F.array(wide)).alias("_w"))
+
+    def pieces(f: str) -> Column:
+        w = F.col(f"_w.{f}")
+        places = F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(w) / 4).cast("int") - GRAM, F.lit(0)))
+        found = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(GRAM * 4)))))
+        return F.transform(found, lambda x: F.struct(F.lit(f).alias("field"), x.alias("_gram")))
+
+    held = m.select("_id", "_s", "_d", "_t", F.inline(F.concat(*[pieces(f) for f in "sdt"])))
+    led = keys.where("gram is not null").withColumn("_gram", F.xxhash64(F.encode("gram", "UTF-32"))).drop("gram")
+    return held.join(led, ["field", "_gram"]).drop("field", "_gram")
+
+
+def first_hit_index(emails: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
+    """R5 for rule tables of any size, without trying every rule on every mail; the result of ``apply_rules``.
+
+    Rules without a required piece (``required_grams``) are tried on all mail by ``first_hit_table``; there should be few.
+    """
+    keys = cut(rule_keys(rules), "rule-keys")
+    pick = lambda h: h.groupBy("_id").agg(F.min_by(F.struct("decision", "rule_id", "reason"), F.struct("layer_no", "ord")).alias("h"),
+                                          F.min(F.struct("layer_no", "ord")).alias("o"))
+    found = pick(rule_candidates(emails, keys, id_col).where(_matches()))
+    rest = keys.where("gram is null").drop("field", "gram").distinct()
+    if rest.head(1):
+        s, d, t = normalize_inputs(F.col("sender"), F.col("sender_domain"), F.col("subject"))
+        m = emails.select(F.col(id_col).alias("_id"), s.alias("_s"), d.alias("_d"), t.alias("_t"))
+        small = rest.limit(RULE_TABLE_BROADCAST_MAX + 1).count() <= RULE_TABLE_BROADCAST_MAX
+        found = found.unionByName(pick(m.join(F.broadcast(rest) if small else rest, _matches())))
+        found = found.groupBy("_id").agg(F.min_by("h", "o").alias("h"))
+    hits = found.select("_id", F.col("h").alias("hit"))
+    return emails.join(hits, emails[id_col] == hits["_id"], "left").drop("_id")
+
+
 def first_hit_table(emails: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
     """R5 for large rule tables: broadcast nested-loop join of mails x rules.
 
