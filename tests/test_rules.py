@@ -116,3 +116,14 @@ def test_label_state_null_and_empty(spark):
     from mailtriage.operators.labeling import label_state
     df = spark.createDataFrame([(None,), ([],)], "labels array<string>")
     assert [r[0] for r in df.select(label_state("labels")).collect()] == ["keep", "keep"]
+
+
+def test_match_on_address(spark):
+    """Q2: a sender rule that ends in $ sees the bare address, not the closing bracket of the From text."""
+    rows = [("a", "Vercel <notify@vercel.com>", "", ""), ("b", "notify@vercel.com", "", ""), ("c", "no address", "", ""), ("d", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, sender string, sender_domain string, subject string")
+    text, address = ({r["id"]: r["rule_id"] for r in apply_rules(df, match_on=m).select("id", F.col("hit.rule_id").alias("rule_id")).collect()}
+                     for m in ("text", "address"))
+    assert address["a"] == address["b"] == text["b"] and text["c"] == address["c"] and text["d"] == address["d"]
+    with pytest.raises(ValueError):
+        apply_rules(df, match_on="name")
