@@ -1,17 +1,22 @@
 """Harmonic packing of tokenized documents into fixed-length sequences.
 
-A length class k holds pieces of ``capacity / k`` tokens, and a bin of the class holds exactly k of them. With a
-power of two as capacity, every document's length is cut into pieces of classes 1, 2, 4, ...: whole
-sequences first, then the binary digits of the rest, longest first. Every bin of k pieces is exactly full.
-Each worker fills its own bins and never waits for another. What a worker has left over in a class at its end
-(fewer than k pieces) goes into shorter bins of 2^i pieces, whose lengths are powers of two: no token of padding
-is needed anywhere.
+A document's whole sequences go out first; the rest of n tokens belongs to class ``capacity // n``. A bin of class k
+takes exactly k whole documents of its class, which always fit. What is then free in the bin (less than a
+``k+1``-th of it) is filled by cutting: from the rests of documents that are cut anyway, else from the next document that comes,
+whose remainder fills the next gaps. Every bin so ends exactly full, and one document a bin at most is cut for it.
+
+Each worker fills its own bins and never waits for another; it holds one open bin a class (about
+``2 * sqrt(capacity)`` classes) and less than two sequences beside them. What is left at its end (bins with fewer than k documents)
+is laid end to end into full sequences, and the last tokens into sequences whose lengths are powers of two: no token
+of padding anywhere.
 
 No shuffle: a worker is the task of one input partition. Sequence ids are partition << 40 | counter.
 """
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +25,15 @@ CAPACITY, END_ID = 2048, 1
 REMEMBERED, AT_ONCE = 200_000, 1 << 23
 #: Letters of Latin-1: composed, lower-cased one to one, so a word of them and visible ASCII needs no normalizer.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: The settings of a tokenizer file whose words can be encoded one by one, as ``encoder`` does it.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class Recent(dict):
@@ -41,13 +55,26 @@ class Recent(dict):
         return value
 
 
+def whole_texts(tok):
+    """Like ``encoder``, for any tokenizer: text by text."""
+    import numpy as np
+
+    def encode(texts) -> tuple:
+        ids = [np.asarray(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts.to_pylist()]
+        return b"".join(ids), np.cumsum([0, *map(len, ids)])
+
+    return encode
+
+
 def encoder(path: str, remembered: int = REMEMBERED):
     """String array -> (buffer of little-endian unsigned 32-bit ids, byte offsets of the texts in it).
 
-    Ids are those of the tokenizer file on the whole text (null: none). White space separates pre-tokens there, so
+    Ids are those of the tokenizer file on the whole text (null: none). A file with other settings than ``BY_WORD``, or
+    special tokens that don't start with ``<|``, encodes each text whole. With these settings white space separates pre-tokens, so
     each different word of the array is encoded once. Words of visible ASCII and Latin-1 letters go through the file's
     own split rule and BPE model directly; others, and those that may hold a special token, through the whole tokenizer.
     """
+    import json
     import re
 
     import numpy as np
@@ -56,6 +83,10 @@ def encoder(path: str, remembered: int = REMEMBERED):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    settings = json.loads(tok.to_str())
+    if any(settings[k] != v for k, v in BY_WORD.items()) or settings["model"]["type"] != "BPE" or not all(
+            t["content"].startswith("<|") for t in settings["added_tokens"]):
+        return whole_texts(tok)
     model = tok.model
     coded = [i.to_bytes(4, "little") for i in range(tok.get_vocab_size())]
     # the file's split rule, read for lower-case ASCII and Latin-1, and the end of a word
@@ -118,15 +149,19 @@ def slices(texts, size: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def cuts(tokens: int, capacity: int) -> Iterator[int]:
-    """Lengths of a document's pieces: whole sequences, then the binary digits of the rest."""
-    for _ in range(tokens // capacity):
-        yield capacity
-    rest, size = tokens % capacity, capacity // 2
-    while size:
-        if rest & size:
-            yield size
-        size //= 2
+class Piece(NamedTuple):
+    """A stretch of a document's ids: the document's id and length, where the stretch starts, its ids as bytes."""
+    key: object
+    doc_tokens: int
+    start: int
+    ids: bytes
+
+    @property
+    def size(self) -> int:
+        return len(self.ids) // 4
+
+    def cut(self, tokens: int) -> tuple[Piece, Piece]:
+        return self._replace(ids=self.ids[:4 * tokens]), self._replace(start=self.start + tokens, ids=self.ids[4 * tokens:])
 
 
 class Bins:
@@ -134,26 +169,77 @@ class Bins:
     (piece, sequence number, offset)."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.open, self.next = capacity, {}, 0
-
-    def _place(self, pieces: list, size: int) -> list:
-        out = [(p, self.next, i * size) for i, p in enumerate(pieces)]
+        self.capacity, self.next = capacity, 0
+        self.open: dict[int, list[Piece]] = {}  # class -> fewer documents than its number
+        self.gap: list[Piece] = []  # a bin with all its documents that still has room, or none
+        self.room = 0  # tokens free in it
+        self.loose: deque[Piece] = deque()  # remainders of cut documents, for the next gaps; empty while a bin has room
+        self.loose_tokens = 0
+
+    def _place(self, pieces: list[Piece]) -> list:
+        out, at = [], 0
+        for p in pieces:
+            out.append((p, self.next, at))
+            at += p.size
         self.next += 1
         return out
 
-    def add(self, piece, size: int) -> list:
-        held = self.open.setdefault(size, [])
-        held.append(piece)
-        return self._place(self.open.pop(size), size) if len(held) * size == self.capacity else []
+    def _loosen(self, piece: Piece) -> None:
+        self.loose.append(piece)
+        self.loose_tokens += piece.size
+
+    def _fill(self) -> list:
+        """Loose tokens go into the bin that has room; it is placed once it is full."""
+        while self.room and self.loose:
+            piece = self.loose.popleft()
+            self.loose_tokens -= piece.size
+            if piece.size > self.room:
+                piece, more = piece.cut(self.room)
+                self.loose.appendleft(more)
+                self.loose_tokens += more.size
+            self.gap.append(piece)
+            self.room -= piece.size
+        if self.room or not self.gap:
+            return []
+        full, self.gap = self.gap, []
+        return self._place(full)
+
+    def add(self, doc: Piece) -> list:
+        out, whole = [], True
+        while doc.size >= self.capacity:
+            piece, doc = doc.cut(self.capacity)
+            out += self._place([piece])
+            whole = False
+        if not doc.size:
+            return out
+        if self.room or not whole and self.loose_tokens < self.capacity:
+            self._loosen(doc)
+            return out + self._fill()
+        k = self.capacity // doc.size
+        held = self.open.setdefault(k, [])
+        held.append(doc)
+        if len(held) == k:
+            self.gap = self.open.pop(k)
+            self.room = self.capacity - sum(p.size for p in self.gap)
+            out += self._fill()
+        return out
 
     def close(self) -> list:
-        out = []
-        for size, held in sorted(self.open.items()):
-            while held:
-                n = 1 << (len(held).bit_length() - 1)
-                out += self._place(held[:n], size)
-                held = held[n:]
-        self.open = {}
+        left = deque([*self.gap, *self.loose, *(p for _, held in sorted(self.open.items()) for p in held)])
+        tokens, out = sum(p.size for p in left), []
+        self.open, self.gap, self.room, self.loose, self.loose_tokens = {}, [], 0, deque(), 0
+        while tokens:
+            length = min(self.capacity, 1 << (tokens.bit_length() - 1))
+            tokens -= length
+            pieces = []
+            while length:
+                piece = left.popleft()
+                if piece.size > length:
+                    piece, more = piece.cut(length)
+                    left.appendleft(more)
+                pieces.append(piece)
+                length -= piece.size
+            out += self._place(pieces)
         return out
 
 
@@ -173,10 +259,12 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
         kind = None
 
         def batch(placed: list):
-            cols = list(zip(*((*p[:5], base + seq, off, p[5]) for p, seq, off in placed)))
-            arrays = [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:7])]
+            pieces = [p for p, _, _ in placed]
+            longs = ([p.start for p in pieces], [p.size for p in pieces], [zlib.crc32(p.ids) for p in pieces],
+                     [p.doc_tokens for p in pieces], [base + seq for _, seq, _ in placed], [off for _, _, off in placed])
+            arrays = [pa.array([p.key for p in pieces], kind), *(pa.array(c, pa.int64()) for c in longs)]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+                arrays.append(pa.array([np.frombuffer(p.ids, "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][:len(arrays)])
 
         placed = []
@@ -185,13 +273,9 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
             for start, count in slices(b.column(1), AT_ONCE):
                 data, offsets = encode(b.column(1).slice(start, count))
                 data = memoryview(data)
-                for key, i, j in zip(b.column(0).slice(start, count), offsets[:-1].tolist(), offsets[1:].tolist()):
+                for key, i, j in zip(b.column(0).slice(start, count).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     ids = bytes(data[i:j]) + end
-                    key, n, at = key.as_py(), len(ids) // 4, 0
-                    for size in cuts(n, capacity):
-                        own = ids[4 * at:4 * (at + size)]
-                        placed += bins.add((key, at, size, zlib.crc32(own), n, own if with_ids else None), size)
-                        at += size
+                    placed += bins.add(Piece(key, len(ids) // 4, 0, ids))
                     if len(placed) >= 2_000:
                         yield batch(placed)
                         placed = []
@@ -206,7 +290,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
          text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids``).
 
-    Offsets in a sequence run from 0 without a gap. Null, empty and blank texts have the end id alone. Rows
+    Offsets in a sequence run from 0 without a gap; every sequence has ``capacity`` tokens, or a power of two at a
+    partition's end. Null, empty and blank texts have the end id alone. Rows
     are packed one by one, so repeated rows and null ids give pieces of their own; very long texts become
     many full sequences. An empty table gives an empty result. Other columns are not read. ``capacity`` must
     be a power of two. The tokenizer file must be readable at ``tokenizer_path`` on every worker.

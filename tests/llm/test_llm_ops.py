@@ -311,6 +311,48 @@ def test_packing(spark, make):
     assert packing.pack(make([]).limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[1] * 5000, [700] * 400, [1025, 300, 5, 2048, 4096, 9000, 1] * 90, [2047] * 50,
+                                   [int(random.Random(i).lognormvariate(5.8, 1.1)) + 1 for i in range(4000)]])
+def test_harmonic_bins(sizes):
+    capacity = 2048
+    bins, seqs, held = packing.Bins(capacity), collections.defaultdict(list), 0
+    for i, n in enumerate(sizes):
+        for p, seq, at in bins.add(packing.Piece(i, n, 0, np.arange(n, dtype="<u4").tobytes())):
+            seqs[seq].append((at, p))
+        held = max(held, sum(p.size for ps in bins.open.values() for p in ps) + bins.loose_tokens + sum(p.size for p in bins.gap))
+    before_close = set(seqs)
+    for p, seq, at in bins.close():
+        seqs[seq].append((at, p))
+    assert held < capacity * 94  # one bin for each value of capacity // n, a bin with room, and loose tokens
+    docs = collections.defaultdict(list)
+    for seq, ps in seqs.items():
+        at = 0
+        for off, p in ps:
+            assert off == at
+            at += p.size
+            docs[p.key].append(p)
+        assert at == capacity or seq not in before_close and at & (at - 1) == 0
+        if seq in before_close:  # k documents (or last rests of longer ones) of one class lead the bin
+            k = capacity // ps[0][1].size
+            assert [capacity // p.size for _, p in ps[:k]] == [k] * k
+    for i, n in enumerate(sizes):
+        ids = [x for p in sorted(docs[i], key=lambda p: p.start) for x in np.frombuffer(p.ids, "<u4")]
+        assert ids == list(range(n))
+    cut = sum(len(docs[i]) > 1 for i, n in enumerate(sizes) if n < capacity)
+    assert cut <= 2 * len(seqs) and (cut < 0.5 * len(sizes) or min(sizes) > 600)
+
+
+def test_other_tokenizers(tmp_path):
+    """A tokenizer file with other rules gives its own ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    tok = Tokenizer(models.WordLevel({"A": 1, "a": 2, "b": 3, "?": 0}, unk_token="?"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(f"{tmp_path}/t.json")
+    data, at = packing.encoder(f"{tmp_path}/t.json")(pa.array(["A b a", None, "", "b"]))
+    assert np.frombuffer(data, "<u4").tolist() == [1, 3, 2, 3] and (at // 4).tolist() == [0, 3, 3, 3, 4]
+
+
 def test_packing_encoder():
     import numpy as np
     import pyarrow as pa
