@@ -2,22 +2,25 @@
 
 Pass 1 scatters: a row's shard is the winner among the shards' seeded hashes with its id (highest random
 weight), so the id and the number of shards decide, and one more shard takes rows only into itself. Inside a
-shard, rows go to a number of memory-sized buckets by a seeded hash of the whole row. Pass 2 reads one
+shard, rows go to memory-sized buckets by a seeded hash of the whole row; a shard has as many as its own size asks for, and
+copies of one row that would make a bucket too large by themselves are numbered and spread. Pass 2 reads one
 bucket at a time, puts it into a fixed order, shuffles it by Fisher-Yates with the bucket's seed, and writes
-it. Bucket after bucket, a shard is then in random order, and a rerun or a retried task gives the same.
+it to the shard's folder. Bucket after bucket, a shard is then in random order, and a rerun or a retried task gives the same.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from mailtriage.session import cut
+from mailtriage.session import checkpoint_dir, cut
 
 SHARDS, SEED = 40, 20240201
 #: Bytes of a bucket, by which their number is chosen from the table's size.
 BUCKET_BYTES = 16 << 20
+#: Rows with more copies than this part of the table's bytes are spread; so there are fewer of them than this.
+HOT = 200_000
 
 
 def row_bytes(text: Column) -> Column:
@@ -31,47 +34,64 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
 
 
 def _fisher_yates(seed: int):
-    def run(key, table):
+    def run(key, rows, start):
         import numpy as np
         import pyarrow as pa
 
         shard, bucket = key[0].as_py(), key[1].as_py()
-        order = sorted(range(table.num_rows), key=list(zip(table.column("h1").to_pylist(), table.column("h2").to_pylist())).__getitem__)
-        drawn = np.random.default_rng([seed, shard, bucket]).permutation(table.num_rows)  # a Fisher-Yates shuffle
-        at = np.empty(table.num_rows, np.int64)
-        at[np.asarray(order, np.int64)[drawn]] = np.arange(table.num_rows)
-        table = table.append_column("at", pa.array(at))
-        return table.take(pa.array(np.argsort(at)))
+        order = np.lexsort((rows.column("h2").to_numpy(), rows.column("h1").to_numpy()))  # equal rows are interchangeable
+        draws = np.random.default_rng([seed, shard, bucket]).integers(0, np.arange(1, rows.num_rows + 1)).tolist()
+        order = order.tolist()
+        for i in range(rows.num_rows - 1, 0, -1):  # Fisher-Yates: place i gets any of the first i + 1
+            order[i], order[draws[i]] = order[draws[i]], order[i]
+        out = rows.take(pa.array(order, pa.int64())).drop_columns(["bucket", "h1", "h2"])
+        return out.append_column("slot", pa.array(start.column("first")[0].as_py() + np.arange(rows.num_rows)))
 
     return run
 
 
 def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text: str = "text",
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The columns of ``docs`` plus ``shard`` and ``slot`` (0, 1, ... in the shard), written shard by shard.
+                   bucket_bytes: int = BUCKET_BYTES, folder: str | None = None) -> DataFrame:
+    """The columns of ``docs`` plus ``shard`` and ``slot`` (0, 1, ... in the shard), read from the written shards.
 
-    The result is a written table partitioned by shard; its files hold each bucket in shuffled order. Null texts
+    The shards are folders ``shard=N`` below ``folder`` (default: a new one in the shared work folder). A file holds whole
+    buckets, in the order of the slots, which isn't broken by a later sort or join. Null texts
     count 16 bytes. All rows of one id, null ids included, share a shard, as the law demands; they still spread
-    over the shard's buckets by the hash of the whole row. Rows equal in every column are interchangeable and get neighbouring
-    places in the fixed order. Columns of ``docs`` named shard, slot or the like are refused. An empty table gives an empty result.
+    over the shard's buckets by the hash of the whole row. Rows equal in every column are interchangeable; copies with more bytes
+    than a quarter of a bucket (or the ``HOT``-th part of the table) spread by their number. Columns of ``docs`` named shard, slot
+    or the like are refused. An empty table gives an empty result, and so no folder of a shard.
     """
-    clash = {c.lower() for c in docs.columns} & {"shard", "slot", "bucket", "h1", "h2", "at"}
+    clash = {c.lower() for c in docs.columns} & {"shard", "slot", "bucket", "h1", "h2", "n", "copy", "hot"}
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
     cols = docs.columns
-    placed = docs.withColumn("shard", shard_of(F.col(id_col), shards, seed))
-    whole = [F.lit(seed), *[F.col(c) for c in cols]]
-    total = docs.agg(F.sum(row_bytes(F.col(text)))).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
-    placed = placed.withColumn("h1", F.xxhash64(*whole)).withColumn("h2", F.xxhash64(F.lit(1), *whole))
-    placed = placed.withColumn("bucket", F.pmod(F.col("h1"), F.lit(buckets)).cast("int"))
-    sizes = cut(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "buckets")
+    whole = [F.col(c) for c in cols]
+    placed = docs.select(*cols, shard_of(F.col(id_col), shards, seed).alias("shard"), F.xxhash64(F.lit(seed), *whole).alias("h1"),
+                         F.xxhash64(F.lit(1), F.lit(seed), *whole).alias("h2"))
+    # 32 bytes a different row: how often it is there, and how large it is
+    rows = cut(placed.groupBy("shard", "h1", "h2").agg(F.count("*").alias("n"), F.max(row_bytes(F.col(text))).alias("size")), "rows")
+    sizes = {r["shard"]: r["b"] for r in rows.groupBy("shard").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect()}  # one a shard
+    count = F.array(*[F.lit(max(1, -(-sizes.get(s, 0) // bucket_bytes))) for s in range(shards)])
+    bucket = F.pmod(F.xxhash64("h1", "copy"), F.get(count, F.col("shard"))).cast("int").alias("bucket")
+    most = max(bucket_bytes // 4, sum(sizes.values()) // HOT)
+    is_hot = (F.col("n") > 1) & (F.col("n") * F.col("size") > most)
+    numbers = F.explode(F.when(is_hot, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("copy")
+    counts = (rows.select("shard", "h1", "n", is_hot.alias("hot"), numbers).select("shard", bucket, F.when(F.col("hot"), 1).otherwise(F.col("n")).alias("n"))
+              .groupBy("shard", "bucket").agg(F.sum("n").alias("n")))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields) + ", at bigint"
-    mixed = placed.groupBy("shard", "bucket").applyInArrow(_fisher_yates(seed), kind)
-    out = mixed.join(starts, ["shard", "bucket"]).select(*cols, "shard", (F.col("first") + F.col("at")).alias("slot"))
-    return cut(out, "shards")
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # fewer than HOT rows: each stands for more than a HOT-th of the table
+    hot = F.broadcast(rows.where(is_hot).select("shard", "h1", "h2"))
+    key = ["shard", "h1", "h2"]
+    single = placed.join(hot, key, "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+    copied = (placed.join(hot, key, "left_semi").groupBy(*placed.columns).agg(F.count("*").alias("n"))
+              .select(*placed.columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")))
+    dealt = single.select(*placed.columns, "copy").unionByName(copied).select(*cols, "shard", bucket, "h1", "h2")
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    mixed = dealt.groupBy("shard", "bucket").cogroup(starts.groupBy("shard", "bucket")).applyInArrow(_fisher_yates(seed), schema)
+    folder = folder or f"{checkpoint_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    mixed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    return docs.sparkSession.read.schema(schema).parquet(folder).select(*cols, "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
