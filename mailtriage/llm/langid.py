@@ -17,6 +17,8 @@ from .text import refuse
 
 #: The fit's bound: documents per language, and characters taken of each for the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1200
+#: Parts of a language that are ranked apart, so that the last rank sees SAMPLE_DOCS of each part at most.
+SALTS = 32
 #: Languages a fit may hold (a fit with more is refused, not cut).
 MAX_LANGS = 500
 PIECE, LEVEL, MIN_MATCH = 2048, 6, 4
@@ -33,10 +35,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     h = F.xxhash64(F.col(text))
     rows = (labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
             .select(F.col(lang).alias("lang"), h.alias("h"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")))
-    w = Window.partitionBy("lang").orderBy("h")
     distinct = rows.groupBy("lang", "h").agg(F.min("t").alias("t"))  # copies go before they can take a place
-    picked = (distinct.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS)
-              .select("lang", "h", "t").limit(SAMPLE_DOCS * MAX_LANGS + 1).collect())
+    distinct = distinct.withColumn("salt", F.pmod("h", F.lit(SALTS)))  # the smallest of the smallest of each part
+    for keys in (["lang", "salt"], ["lang"]):
+        distinct = distinct.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    picked = distinct.select("lang", "h", "t").limit(SAMPLE_DOCS * MAX_LANGS + 1).collect()
     langs: dict[str, list] = {}
     for r in picked:
         langs.setdefault(r["lang"], []).append((r["h"], r["t"]))
