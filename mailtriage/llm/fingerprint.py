@@ -17,8 +17,8 @@ from .text import free_name, hex16, read, refuse, words
 
 SHINGLE, SCALE, LEAST = 5, 8, 16
 TOP = (1 << 63) - 1
-#: Documents of a stretch of the id order at least, and stretches at most (their heads are broadcast: 40 bytes each).
-STRETCH_ROWS, STRETCHES = 1000, 100_000
+#: Documents of a range of the id order, and ranges at most (their heads are broadcast: 40 bytes each).
+RANGE_ROWS, RANGES = 100_000, 100_000
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -57,7 +57,15 @@ def merged(a: Column, b: Column) -> Column:
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch["hashes"], hex16), "")
+    """The whole sketch: ``cover``, then the hashes in order, 16 hex digits each; ``from_text`` reads it back."""
+    return F.concat(hex16(sketch["cover"]), F.array_join(F.transform(sketch["hashes"], hex16), ""))
+
+
+def from_text(fingerprint: Column) -> Column:
+    """The sketch written by ``as_text``, to compare or merge fingerprints that were stored."""
+    numbers = F.transform(F.sequence(F.lit(0), F.floor(F.length(fingerprint) / 16).cast("int") - 1),
+                          lambda i: F.conv(F.substring(fingerprint, i * 16 + 1, F.lit(16)), 16, 10).cast("bigint"))
+    return F.struct(F.slice(numbers, 2, F.size(numbers)).alias("hashes"), F.get(numbers, F.lit(0)).alias("cover"))
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,42 +77,43 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``docs(doc_id, ..)`` plus ``next_<c>`` for each column of ``carry``: that of the next row by descending
-    doc_id, the first row's after the last. Null ids come last, equal ids in order of the text's hash.
+    """``docs(doc_id, text, ..)`` plus ``next_<c>`` for each column of ``carry``: that of the next row by descending
+    doc_id, the first row's after the last. Null ids come last, equal ids in order of the text's hashes. Rows
+    equal in id and text follow each other, so all but one of them have their own values as next. Their other columns are
+    taken from one of them.
 
-    The id order is cut into stretches of equal id width (null ids: of hash ranges), each a window partition. The
-    first row of the following stretch is added to each stretch, so no window spans the table.
+    Order is found on ids and hashes alone: sorted by range, each range ranked apart, and a ring of one row a range leads
+    from the last of one to the first of the next. Ranges have equal numbers of rows, whatever the ids are. The values come by a join.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    rows = max(STRETCH_ROWS, -(-n // STRETCHES))
-    count = max(1, -(-n // rows))
-    width = max(1, -(-(high - low + 1) // count))
-    h = F.xxhash64("text")
-    by_id = F.floor((F.lit(high).cast("decimal(38,0)") - F.col("doc_id")) / F.lit(width)).cast("bigint")
-    by_hash = F.lit(count) + F.pmod(F.shiftrightunsigned(h, 1), F.lit(count))
-    docs = docs.withColumn("__h", h).withColumn("__b", F.when(F.col("doc_id").isNotNull(), by_id).otherwise(by_hash))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("__h")]
-    heads = docs.groupBy("__b").agg(F.max("doc_id").alias("d"))
-    first = docs.select("__b", "doc_id", "__h").join(F.broadcast(heads.withColumnRenamed("__b", "b")), (F.col("__b") == F.col("b"))
-                                                       & F.col("doc_id").eqNullSafe(F.col("d")))
-    first = cut(first.groupBy("__b").agg(F.first("d").alias("d"), F.min("__h").alias("h")), "heads")
-    ring = Window.partitionBy().orderBy("__b")  # one row per stretch
-    start = first.agg(F.max("__b")).first()[0]
-    first = cut(first.select("d", "h", F.coalesce(F.lag("__b").over(ring), F.lit(start)).alias("to")), "ring")
-    ahead = (docs.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")))
-             .dropDuplicates(["to"]).withColumn("__b", F.col("to")).drop("d", "h", "to"))
-    both = docs.withColumn("__x", F.lit(0)).unionByName(ahead.withColumn("__x", F.lit(1)))
-    w = Window.partitionBy("__b").orderBy(F.col("__x"), *order)
-    for c in carry:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.where("__x = 0").drop("__x", "__b", "__h")
+    key = ["__null", "__k", "__h", "__g"]
+    own = docs.columns
+    docs = (docs.withColumn("__null", F.col("doc_id").isNull()).withColumn("__k", F.coalesce("doc_id", F.lit(0)).cast("bigint"))
+            .withColumn("__h", F.xxhash64("text")).withColumn("__g", F.xxhash64(F.lit(1), "text")))
+    keys = cut(docs.groupBy(*key).agg(F.count("*").alias("__n")), "keys")
+    ranges = max(1, min(RANGES, -(-keys.count() // RANGE_ROWS)))
+    order = [F.col("__null"), F.col("__k").desc(), F.col("__h"), F.col("__g")]
+    dealt = cut(keys.repartitionByRange(ranges, *order).withColumn("__b", F.spark_partition_id()), "ranges")
+    following = F.lead(F.struct(*key)).over(Window.partitionBy("__b").orderBy(*order))
+    # at most RANGES rows: each range's first row, and that of the next range (of the first, after the last)
+    rank = F.struct("__null", -F.col("__k").cast("decimal(38,0)"), "__h", "__g")
+    heads = dealt.groupBy("__b").agg(F.min_by(F.struct(*key), rank).alias("__head"))
+    ring = Window.orderBy("__b")
+    everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = cut(heads.select("__b", F.coalesce(F.lead("__head").over(ring), F.first("__head").over(everything)).alias("__after")), "ring")
+    links = dealt.withColumn("__next", following).join(F.broadcast(heads), "__b")
+    links = links.select(*key, "__n", F.coalesce("__next", "__after").alias("__next"))
+    rows = docs.groupBy(*key).agg(*[F.first(c).alias(c) for c in own])  # one of each, combined before the shuffle
+    after = rows.select(*[F.col(k).alias(f"{k}2") for k in key], *[F.col(c).alias(f"next_{c}") for c in carry])
+    both = rows.join(links, key)
+    both = both.join(after, [F.col(f"__next.{k}") == F.col(f"{k}2") for k in key])
+    both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    return both.select(*own, *[F.when(F.col("__copy") == 1, F.col(f"next_{c}")).otherwise(F.col(c)).alias(f"next_{c}") for c in carry])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: fingerprints of every text and of its edited form, and their likeness."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = with_next(sketches(docs), ["text", "sketch"])
+    d = with_next(cut(sketches(docs), "sketches"), ["text", "sketch"])
     half = F.floor(F.length("text") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half),
                                         F.substring(F.col("next_text"), F.lit(1), half)))

@@ -380,7 +380,7 @@ def brute_sketch(text):
 
 
 def test_fingerprints(spark, make, monkeypatch, tmp_path):
-    monkeypatch.setattr(fingerprint, "STRETCH_ROWS", 7)
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     r = random.Random(11)
     rows = [(i * 3, rng_text(r, r.randrange(0, 400), 5000)) for i in range(60)] + [(500, None), (501, "a b"), (503, "a b")]
     make(rows).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
@@ -409,6 +409,36 @@ def test_fingerprint_odd(spark, make, tmp_path):
     assert fingerprint.query(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_next_by_uneven_ids(spark, make, monkeypatch):
+    """Ids far apart, one id on a third of all rows, equal rows: everyone's next, over many ranges."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    rows = [(i, f"t{i}") for i in range(40)] + [(2**62 + i, f"u{i}") for i in range(5)] + [(-2**62, "v")] + [
+        (17, f"w{i}") for i in range(40)] + [(9, "same")] * 20 + [(None, "n"), (None, None), (None, "n")]
+    docs = make(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = fingerprint.with_next(docs, ["doc_id", "text"]).collect()
+    have = collections.Counter((r[0], r[1] or "") for r in rows)
+    assert collections.Counter((x["doc_id"], x["text"]) for x in got) == have
+    assert collections.Counter((x["next_doc_id"], x["next_text"]) for x in got) == have  # a ring
+    ahead = collections.defaultdict(list)
+    for x in got:
+        ahead[x["doc_id"], x["text"]].append((x["next_doc_id"], x["next_text"]))
+    for key, nxt in ahead.items():
+        assert nxt.count(key) == have[key] - 1
+    up = {k: next(v for v in nxt if v != k) for k, nxt in ahead.items()}
+    rank = lambda k: -k[0] if k[0] is not None else 2**64
+    steps = [(rank(k), rank(v)) for k, v in up.items()]
+    assert sum(b < a for a, b in steps) == 1  # one step back, from the last to the first
+    assert max(a for a, b in steps) == next(a for a, b in steps if b < a)
+
+
+def test_fingerprint_text(spark, make):
+    """A stored fingerprint holds the whole sketch."""
+    r = random.Random(5)
+    s = fingerprint.sketches(make([(1, rng_text(r, 500)), (2, "a b"), (3, ""), (4, None)]))
+    back = fingerprint.from_text(fingerprint.as_text(F.col("sketch")))
+    assert s.where(F.col("sketch") != back).count() == 0 and s.where(back.isNull()).count() == 0
+
+
 def test_sketch_merge(spark, make):
     r = random.Random(2)
     a, b = rng_text(r, 900, 9000), rng_text(r, 30, 9000)
@@ -442,6 +472,46 @@ def test_sharding(spark, make, tmp_path):
     assert sharding.shuffle_shards(make([]).limit(0)).count() == 0
 
 
+def test_shard_files(spark, make, tmp_path):
+    """One id, and in it one row, on a third of all rows: buckets stay small, files hold the slots in order, and the
+    order in a bucket is an independent Fisher-Yates."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+    rows = ODD[:8] + [(7, "the same row " * 20)] * 600 + [(7, f"other {i} " * 20) for i in range(300)] + [(1000 + i, f"text {i} " * 20) for i in range(900)]
+    folder = f"{tmp_path}/shards"
+    out = sharding.shuffle_shards(make(rows).repartition(5), shards=3, bucket_bytes=8000, folder=folder)
+    got = collections.Counter((x["doc_id"], x["text"]) for x in out.collect())
+    assert got == collections.Counter((r[0], r[1]) for r in rows)
+    slots, names = collections.defaultdict(list), sorted(pathlib.Path(folder).glob("shard=*/*.parquet"))
+    assert {p.parent.name for p in names} == {"shard=0", "shard=1", "shard=2"}
+    for p in names:
+        own = pq.ParquetFile(p).read().column("slot").to_pylist()
+        assert own == sorted(own)
+        slots[p.parent.name] += own
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    same = sorted(x["slot"] for x in out.where("text like 'the same row%'").collect())
+    assert sum(b - a > 1 for a, b in zip(same, same[1:])) > 100  # copies lie all over their shard
+    again = sharding.shuffle_shards(make(rows).repartition(2), shards=3, bucket_bytes=8000)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_bucket_order():
+    """A bucket's order against a Fisher-Yates on a list, over the same draws."""
+    import pyarrow as pa
+    h1, h2 = [5, -3, 9, 0, 5, 7], [1, 2, 3, 4, 0, 6]
+    table = pa.table({"v": list("abcdef"), "shard": [2] * 6, "bucket": [4] * 6, "h1": h1, "h2": h2})
+    out = sharding._fisher_yates(11)((pa.scalar(2), pa.scalar(4)), table, pa.table({"first": [100]}))
+    want = [v for _, _, v in sorted(zip(h1, h2, "abcdef"))]
+    draws, left, drawn = np.random.default_rng([11, 2, 4]).integers(0, np.arange(1, 7)), list(want), []
+    for i in reversed(range(6)):
+        drawn.insert(0, left[draws[i]])
+        left[draws[i]] = left[i]
+        left.pop()
+    assert out.column("v").to_pylist() == drawn and out.column("slot").to_pylist() == list(range(100, 106))
+    assert out.column_names == ["v", "shard", "slot"]
+
+
 # op8
 
 def test_language(spark, make):
