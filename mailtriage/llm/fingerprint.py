@@ -76,47 +76,51 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_sketch(docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))), t, "sketch").drop(t)
 
 
-def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``docs(doc_id, text, ..)`` plus ``next_<c>`` for each column of ``carry``: that of the next row by descending
-    doc_id, the first row's after the last. Null ids come last, equal ids in order of the text's hashes. Rows
-    equal in id and text follow each other, so all but one of them have their own values as next. Their other columns are
-    taken from one of them.
+def with_next(docs: DataFrame, carry: dict[str, Column], ask: Column | None = None, derive=lambda rows: rows) -> DataFrame:
+    """``derive(docs)`` plus ``next_<c>`` for each item of ``carry``, an expression over the next row by descending
+    doc_id, the first row's after the last. It may use ``asked``, which is ``ask`` of the row that it goes to, so that no more
+    than is wanted of a long text is sent. Null ids come last, equal ids in order of the text's hashes. Rows
+    equal in id and text follow each other, so all but one of them have themselves as next; their other columns are
+    taken from one of them. No column may be named asked or start with two underscores.
 
     Order is found on ids and hashes alone: sorted by range, each range ranked apart, and a ring of one row a range leads
     from the last of one to the first of the next. Ranges have equal numbers of rows, whatever the ids are. The values come by a join.
     """
     key = ["__null", "__k", "__h", "__g"]
-    own = docs.columns
+    own, kind = [c for c in docs.columns if c != "doc_id"], docs.schema["doc_id"].dataType
+    ask = F.lit(None) if ask is None else ask
     docs = (docs.withColumn("__null", F.col("doc_id").isNull()).withColumn("__k", F.coalesce("doc_id", F.lit(0)).cast("bigint"))
             .withColumn("__h", F.xxhash64("text")).withColumn("__g", F.xxhash64(F.lit(1), "text")))
-    keys = cut(docs.groupBy(*key).agg(F.count("*").alias("__n")), "keys")
+    keys = cut(docs.groupBy(*key).agg(F.count("*").alias("__n"), F.max(ask.cast("bigint")).alias("__ask")), "keys")
     ranges = max(1, min(RANGES, -(-keys.count() // RANGE_ROWS)))
     order = [F.col("__null"), F.col("__k").desc(), F.col("__h"), F.col("__g")]
     dealt = cut(keys.repartitionByRange(ranges, *order).withColumn("__b", F.spark_partition_id()), "ranges")
-    following = F.lead(F.struct(*key)).over(Window.partitionBy("__b").orderBy(*order))
-    # at most RANGES rows: each range's first row, and that of the next range (of the first, after the last)
+    to = F.struct(*key, "__ask")
+    # at most RANGES rows: the last row of the range before each (before the first: of the last)
     rank = F.struct("__null", -F.col("__k").cast("decimal(38,0)"), "__h", "__g")
-    heads = dealt.groupBy("__b").agg(F.min_by(F.struct(*key), rank).alias("__head"))
+    tails = dealt.groupBy("__b").agg(F.max_by(to, rank).alias("__tail"))
     ring = Window.orderBy("__b")
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = cut(heads.select("__b", F.coalesce(F.lead("__head").over(ring), F.first("__head").over(everything)).alias("__after")), "ring")
-    links = dealt.withColumn("__next", following).join(F.broadcast(heads), "__b")
-    links = links.select(*key, "__n", F.coalesce("__next", "__after").alias("__next"))
+    tails = cut(tails.select("__b", F.coalesce(F.lag("__tail").over(ring), F.last("__tail").over(everything)).alias("__tail")), "ring")
+    links = dealt.withColumn("__to", F.lag(to).over(Window.partitionBy("__b").orderBy(*order))).join(F.broadcast(tails), "__b")
+    links = links.select(*key, "__n", "__ask", F.coalesce("__to", "__tail").alias("__to"))
     rows = docs.groupBy(*key).agg(*[F.first(c).alias(c) for c in own])  # one of each, combined before the shuffle
-    after = rows.select(*[F.col(k).alias(f"{k}2") for k in key], *[F.col(c).alias(f"next_{c}") for c in carry])
-    both = rows.join(links, key)
-    both = both.join(after, [F.col(f"__next.{k}") == F.col(f"{k}2") for k in key])
-    both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-    return both.select(*own, *[F.when(F.col("__copy") == 1, F.col(f"next_{c}")).otherwise(F.col(c)).alias(f"next_{c}") for c in carry])
+    rows = derive(rows.withColumn("doc_id", F.when(~F.col("__null"), F.col("__k")).cast(kind)))
+    sent = rows.join(links, key).withColumn("asked", F.col("__to.__ask"))
+    sent = sent.select(*[F.col(f"__to.{k}").alias(f"{k}2") for k in key], *[v.alias(f"next_{c}") for c, v in carry.items()])
+    both = rows.join(links, key).join(sent, [F.col(k) == F.col(f"{k}2") for k in key])
+    both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).withColumn("asked", F.col("__ask"))
+    return both.select(*[c for c in rows.columns if c not in key], *[
+        F.when(F.col("__copy") == 1, F.col(f"next_{c}")).otherwise(v).alias(f"next_{c}") for c, v in carry.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: fingerprints of every text and of its edited form, and their likeness."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = with_next(cut(sketches(docs), "sketches"), ["text", "sketch"])
     half = F.floor(F.length("text") / 2).cast("int")
-    d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half),
-                                        F.substring(F.col("next_text"), F.lit(1), half)))
+    head = F.substring(F.col("text"), F.lit(1), F.col("asked").cast("int"))
+    d = with_next(docs, {"head": head, "sketch": F.col("sketch")}, half, lambda rows: with_sketch(rows, "text", "sketch"))
+    d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.col("next_head")))
     d = with_sketch(d, "edited", "edited_sketch")
     return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),

@@ -415,7 +415,7 @@ def test_next_by_uneven_ids(spark, make, monkeypatch):
     rows = [(i, f"t{i}") for i in range(40)] + [(2**62 + i, f"u{i}") for i in range(5)] + [(-2**62, "v")] + [
         (17, f"w{i}") for i in range(40)] + [(9, "same")] * 20 + [(None, "n"), (None, None), (None, "n")]
     docs = make(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = fingerprint.with_next(docs, ["doc_id", "text"]).collect()
+    got = fingerprint.with_next(docs, {"doc_id": F.col("doc_id"), "text": F.col("text")}).collect()
     have = collections.Counter((r[0], r[1] or "") for r in rows)
     assert collections.Counter((x["doc_id"], x["text"]) for x in got) == have
     assert collections.Counter((x["next_doc_id"], x["next_text"]) for x in got) == have  # a ring
