@@ -4,7 +4,8 @@ Fit steps aggregate over the training rows and keep only bounded results:
 a vocabulary of at most ``max_features`` terms per text column, 16
 standard deviations, and a written table of all domains. Transform steps: tokens and in-row term counts per row,
 a broadcast hash join with the (bounded) vocabulary, and one aggregation by
-id for the L2 norm.
+id for the L2 norm. A mail's terms are counted in its own row, so that no row per term is shuffled; only mails whose
+id repeats are counted together by (id, term).
 
 TF-IDF (scikit-learn's ``TfidfVectorizer`` with ``sublinear_tf=True``):
     tf  = 1 + ln(count in the row)
@@ -88,8 +89,7 @@ def snippet_terms(col: str = "snippet") -> Column:
 def term_stats(docs: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
     """Per term: document frequency and total count over ``docs``.
 
-    Terms are exploded once and counted by (id, term), then by term; both
-    counts combine map-side, so a very common term is one row per task.
+    Terms are counted in the row, then by term, which combines map-side, so a very common term is one row per task.
     """
     return (term_counts(docs, terms, id_col).groupBy("term")
             .agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").cast("bigint").alias("total")))
@@ -139,23 +139,77 @@ def vocabulary_frame(spark, v: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "term string, idx int, idf double")
 
 
-def term_counts(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
-    """(id, term, cnt): each mail's distinct terms with their count (linear in the text; counts combine map-side)."""
-    t = df.select(id_col, F.explode(terms).alias("term"))
-    return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
+def split_repeated(df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id is there once, and the other rows (None: there are none). Nulls count as one id.
 
+    Only ids are shuffled to tell them apart; the repeated ones are written, so Spark knows the size of what it joins.
+    """
+    n = df.groupBy(F.col(id_col).alias("_rid")).agg(F.count(F.lit(1)).alias("_n"))
+    ids = cut(n.where("_n > 1").select("_rid"), "repeated-ids")
+    if ids.isEmpty():
+        return df, None
+    same = F.col(id_col).eqNullSafe(F.col("_rid"))
+    return df.join(ids, same, "left_anti"), df.join(ids, same, "left_semi")
 
-def tfidf_weights(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id") -> DataFrame:
-    """M5: (id, term, idx, w) with L2-normalised sublinear TF-IDF weights.
 
-    Plan: counts by (id, term) -> hash join with the vocabulary, which Spark
-    broadcasts only if its size allows -> one window aggregation per id for the norm.
-    """
-    j = term_counts(df, terms, id_col).join(vocab, "term", "inner")
+def row_counts(df: DataFrame, blocks: dict[str, Column], *keep: str) -> DataFrame:
+    """(keep, block, term, cnt): the different terms of each row with their count, by the runs of the sorted terms."""
+    t = df.select(*keep, *[F.sort_array(c).alias(f"_t{k}") for k, c in enumerate(blocks.values())])
+    none = F.array().cast("array<int>")
+
+    def starts(k: int) -> Column:
+        arr = F.col(f"_t{k}")
+        places = F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(none)
+        return F.filter(places, lambda i: ~F.get(arr, i).eqNullSafe(F.get(arr, i - 1))).alias(f"_s{k}")
+
+    def runs(k: int, block: str) -> Column:
+        arr, first = F.col(f"_t{k}"), F.col(f"_s{k}")
+        return F.transform(first, lambda x, i: F.struct(
+            F.lit(block).alias("block"), F.get(arr, x).alias("term"),
+            (F.coalesce(F.get(first, i + 1), F.size(arr)) - x).cast("bigint").alias("cnt")))
+
+    t = t.select("*", *[starts(k) for k in range(len(blocks))])
+    return t.select(*keep, F.inline(F.concat(*[runs(k, b) for k, b in enumerate(blocks)])))
+
+
+def grouped_counts(df: DataFrame, blocks: dict[str, Column], *keep: str) -> DataFrame:
+    """As ``row_counts``, over all rows with the same ``keep`` (counts combine map-side)."""
+    tag = lambda b, c: F.transform(c, lambda t: F.struct(F.lit(b).alias("block"), t.alias("term")))
+    t = df.select(*keep, F.inline(F.concat(*[tag(b, c) for b, c in blocks.items()])))
+    return t.groupBy(*keep, "block", "term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def block_term_counts(df: DataFrame, blocks: dict[str, Column], id_col: str = "id", *keep: str) -> DataFrame:
+    """(id, keep, block, term, cnt): each mail's distinct terms with their count, rows of a repeated id taken together."""
+    single, repeated = split_repeated(df, id_col)
+    counts = row_counts(single, blocks, id_col, *keep)
+    return counts if repeated is None else counts.unionByName(grouped_counts(repeated, blocks, id_col, *keep))
+
+
+def term_counts(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
+    """(id, term, cnt): each mail's distinct terms with their count (linear in the text, no shuffle of terms)."""
+    return block_term_counts(df, {"": terms}, id_col).drop("block")
+
+
+def _normed(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    j = counts.join(vocab, "term", "inner")
     j = j.withColumn("_w", (F.lit(1.0) + F.log(F.col("cnt").cast("double"))) * F.col("idf"))
     from pyspark.sql import Window
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return j.select(id_col, "term", *[c for c in vocab.columns if c == "idx"], (F.col("_w") / norm).alias("w"))
+    return j.select(id_col, "term", (F.col("_w") / norm).alias("w"))
+
+
+def tfidf_weights(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id") -> DataFrame:
+    """M5: (id, term, w) with L2-normalised sublinear TF-IDF weights.
+
+    Plan: the texts are dealt by id once -> counts in the row -> hash join with the vocabulary, which Spark
+    broadcasts only if its size allows -> one window aggregation per id for the norm, on the partitioning by id.
+    """
+    single, repeated = split_repeated(df, id_col)
+    out = _normed(row_counts(single.repartition(id_col), {"": terms}, id_col), vocab, id_col)
+    if repeated is not None:
+        out = out.unionByName(_normed(grouped_counts(repeated, {"": terms}, id_col), vocab, id_col))
+    return out
 
 
 def tfidf_long(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id", digits: int = 9) -> DataFrame:
@@ -164,14 +218,34 @@ def tfidf_long(df: DataFrame, terms: Column, vocab: DataFrame, id_col: str = "id
     return tfidf_weights(df, terms, vocab, id_col).select(id_col, "term", F.round("w", digits).alias("weight"))
 
 
-def tfidf_arrays(df: DataFrame, terms: Column, v: Vocabulary, id_col: str = "id", prefix: str = "_s",
-                 offset: int = 0) -> DataFrame:
-    """Per id: (``{prefix}_idx``, ``{prefix}_w``) arrays sorted by index, shifted by ``offset``.
-    Ids without a known term are absent (join back with ``left``)."""
-    vocab = vocabulary_frame(df.sparkSession, v)
-    w = tfidf_weights(df, terms, vocab, id_col)
-    g = w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((F.col("idx") + offset).alias("i"), "w"))).alias("_e"))
-    return g.select(id_col, F.col("_e.i").alias(f"{prefix}_idx"), F.col("_e.w").alias(f"{prefix}_w"))
+def tfidf_arrays(df: DataFrame, blocks: dict[str, tuple[Column, Vocabulary, int]], id_col: str = "id") -> DataFrame:
+    """Per id and block (terms, vocabulary, offset): ``{block}_idx``, ``{block}_w`` arrays sorted by index, shifted by the
+    offset. Ids without a known term are absent (join back with ``left``).
+
+    The texts of ids that are there once are dealt by id, and nothing after that is shuffled.
+    """
+    spark = df.sparkSession
+    terms = {b: t for b, (t, _, _) in blocks.items()}
+    vocab = None
+    for b, (_, v, off) in blocks.items():
+        t = vocabulary_frame(spark, v).select(F.lit(b).alias("block"), "term", (F.col("idx") + off).alias("i"), "idf")
+        vocab = t if vocab is None else vocab.unionByName(t)
+
+    def collected(counts: DataFrame) -> DataFrame:
+        j = counts.join(F.broadcast(vocab), ["block", "term"])      # at most max_features rows a block
+        w = ((F.lit(1.0) + F.log(F.col("cnt").cast("double"))) * F.col("idf")).alias("w")
+        g = j.select(id_col, "block", "i", w).groupBy(id_col).agg(
+            *[F.sort_array(F.collect_list(F.when(F.col("block") == b, F.struct("i", "w")))).alias(f"_e_{b}") for b in blocks])
+        g = g.select("*", *[F.sqrt(F.aggregate(F.col(f"_e_{b}.w"), F.lit(0.0), lambda a, x: a + x * x)).alias(f"_n_{b}") for b in blocks])
+
+        def divided(b: str) -> Column:
+            return F.transform(F.col(f"_e_{b}.w"), lambda x: x / F.col(f"_n_{b}")).alias(f"{b}_w")
+
+        return g.select(id_col, *[c for b in blocks for c in (F.col(f"_e_{b}.i").alias(f"{b}_idx"), divided(b))])
+
+    single, repeated = split_repeated(df, id_col)
+    out = collected(row_counts(single.repartition(id_col), terms, id_col))
+    return out if repeated is None else out.unionByName(collected(grouped_counts(repeated, terms, id_col)))
 
 
 # M6 --------------------------------------------------------------------------
@@ -250,11 +324,11 @@ def fit_features(train: DataFrame, as_of: _dt.datetime = AS_OF, max_features: in
     return FeatureModel(subj, snip, fit_domains(train), fit_scaler(train), as_of)
 
 
-def assemble(df: DataFrame, fm: FeatureModel, out: str = "features", id_col: str = "id") -> DataFrame:
+def assemble(df: DataFrame, fm: FeatureModel, out: str = "features", id_col: str = "id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """M8: blocks [subject TF-IDF | snippet TF-IDF | domain one-hot | 16 scaled numbers] as
-    one sparse vector per row of ``df`` (rows of ``build_features``).
+    one sparse vector per row of ``df`` (rows of ``build_features``), beside its columns (``keep``: only these).
 
-    The two text blocks come from ``tfidf_arrays`` (one shuffle by id each)
+    The two text blocks come from ``tfidf_arrays`` (the texts are shuffled by id once, their terms not)
     and are joined back on the id; all arithmetic is JVM-side. The finished
     (index, value) arrays are written in the storage form of Spark ML's vector
     type and read back as vectors, so no Python touches a row.
@@ -262,19 +336,19 @@ def assemble(df: DataFrame, fm: FeatureModel, out: str = "features", id_col: str
     off_n = fm.subject.size
     off_d = off_n + fm.snippet.size
     off_x = off_d + fm.domains.size
-    s_arr = tfidf_arrays(df, subject_terms(), fm.subject, id_col, "_s", 0)
-    n_arr = tfidf_arrays(df, snippet_terms(), fm.snippet, id_col, "_n", off_n)
-    d = domain_index(df, fm.domains).join(s_arr, id_col, "left").join(n_arr, id_col, "left")
-    x = F.array(*scaled(SCALED_COLS, fm.stds))
+    arrays = tfidf_arrays(df, {"_s": (subject_terms(), fm.subject, 0), "_n": (snippet_terms(), fm.snippet, off_n)}, id_col)
+    keep = list(df.columns if keep is None else keep)
+    d = domain_index(df, fm.domains).select(*keep, *[c for c in ("domain_idx",) if c not in keep],
+                                            F.array(*scaled(SCALED_COLS, fm.stds)).alias("_x")).join(arrays, id_col, "left")
     x_idx = F.array(*[F.lit(i) for i in range(off_x, off_x + len(SCALED_COLS))])
-    nz = F.filter(F.arrays_zip(x_idx.alias("i"), x.alias("v")), lambda e: e["v"] != 0)
+    nz = F.filter(F.arrays_zip(x_idx.alias("i"), F.col("_x").alias("v")), lambda e: e["v"] != 0)
     empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
     dom_i = F.when(F.col("domain_idx").isNotNull(), F.array(F.col("domain_idx") + off_d)).otherwise(empty_i)
     dom_v = F.when(F.col("domain_idx").isNotNull(), F.array(F.lit(1.0))).otherwise(empty_v)
     idx = F.concat(F.coalesce("_s_idx", empty_i), F.coalesce("_n_idx", empty_i), dom_i, F.transform(nz, lambda e: e["i"]))
     val = F.concat(F.coalesce("_s_w", empty_v), F.coalesce("_n_w", empty_v), dom_v, F.transform(nz, lambda e: e["v"]))
     vec = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(fm.size).alias("size"), idx.alias("indices"), val.alias("values"))
-    return as_vectors(d.withColumn(out, vec).drop("_s_idx", "_s_w", "_n_idx", "_n_w"), out)
+    return as_vectors(d.select(*keep, *[c for c in ("domain_idx",) if c not in keep], vec.alias(out)), out)
 
 
 def as_vectors(df: DataFrame, col: str) -> DataFrame:
