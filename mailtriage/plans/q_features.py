@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packs import KEYWORD_COLS
 from ..operators import features as FE
-from ..session import AS_OF
+from ..session import AS_OF, cut
 from ..sources import fixtures as fx
 from ..sources import ingest as I
 from . import oracle_sql as O
@@ -140,7 +140,6 @@ def q_scale_numeric(spark, sf):
 @query("assemble")
 def q_assemble(spark, sf):
     """M8: the full sparse feature vector per mail (rows-only: vectors have no SQL twin)."""
-    tr = _train(spark, sf)
-    fm = FE.fit_features(tr)
+    fm = FE.fit_features(cut(_train(spark, sf), "training"))
     feats = FE.build_features(fx.raw_emails(spark, sf), AS_OF)
-    return FE.assemble(feats, fm).select("id", "features")
+    return FE.assemble(feats, fm, keep=("id",)).select("id", "features")
