@@ -139,17 +139,18 @@ def vocabulary_frame(spark, v: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "term string, idx int, idf double")
 
 
-def split_repeated(df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose id is there once, and the other rows (None: there are none). Nulls count as one id.
+def split_repeated(df: DataFrame, id_col: str = "id", always: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id is there once, and the other rows (None: there are none; ``always``: a frame all the same, which
+    costs nothing once Spark finds the ids empty). Nulls count as one id.
 
     Only ids are shuffled to tell them apart; the repeated ones are written, so Spark knows the size of what it joins.
     """
     n = df.groupBy(F.col(id_col).alias("_rid")).agg(F.count(F.lit(1)).alias("_n"))
     ids = cut(n.where("_n > 1").select("_rid"), "repeated-ids")
-    if ids.isEmpty():
-        return df, None
     same = F.col(id_col).eqNullSafe(F.col("_rid"))
-    return df.join(ids, same, "left_anti"), df.join(ids, same, "left_semi")
+    none = ids.isEmpty()
+    single = df if none else df.join(ids, same, "left_anti")
+    return single, None if none and not always else df.join(ids, same, "left_semi")
 
 
 def row_counts(df: DataFrame, blocks: dict[str, Column], *keep: str) -> DataFrame:
@@ -181,9 +182,8 @@ def grouped_counts(df: DataFrame, blocks: dict[str, Column], *keep: str) -> Data
 
 def block_term_counts(df: DataFrame, blocks: dict[str, Column], id_col: str = "id", *keep: str) -> DataFrame:
     """(id, keep, block, term, cnt): each mail's distinct terms with their count, rows of a repeated id taken together."""
-    single, repeated = split_repeated(df, id_col)
-    counts = row_counts(single, blocks, id_col, *keep)
-    return counts if repeated is None else counts.unionByName(grouped_counts(repeated, blocks, id_col, *keep))
+    single, repeated = split_repeated(df, id_col, always=True)
+    return row_counts(single, blocks, id_col, *keep).unionByName(grouped_counts(repeated, blocks, id_col, *keep))
 
 
 def term_counts(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
