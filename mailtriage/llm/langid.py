@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .text import refuse
+from .text import refuse, tidy
 
 #: The fit's bound: documents per language, and characters taken of each for the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1200
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keys: list[str], t
     part = docs.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1]]
                        + ["lang_pred string", "score double", "margin double", "rejected boolean"])
-    return part.mapInArrow(predictions(dictionaries, margin), schema)
+    return part.mapInArrow(tidy(predictions(dictionaries, margin)), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,16 +122,18 @@ def accepted(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def _verdict(dictionaries: dict[str, bytes], margin: float, kind):
-    import pandas as pd
+    """The texts that are not rejected. The texts stay Arrow arrays, and a task makes its compressors once."""
+    import pyarrow as pa
 
-    def ok(texts: pd.Series) -> pd.Series:
+    def ok(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["t"])
-        out = next(iter(predictions(dictionaries, margin)([batch])))
-        return ~pd.Series(out.column("rejected").to_pylist(), dtype=bool)
+        import pyarrow.compute as pc
+        batches = (pa.RecordBatch.from_arrays([t], names=["t"]) for t in texts)
+        for out in tidy(predictions(dictionaries, margin))(batches):
+            yield pc.invert(out.column("rejected"))
 
-    ok.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(ok, kind)
+    ok.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(ok, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from mailtriage.session import cut
 
-from .text import SPACE, SPACE_CHARS, free_name, hex16, read
+from .text import SPACE, SPACE_CHARS, free_name, hex16, read, tidy
 from .union_find import components
 
 SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 8, 4
@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                         [*ids, pa.array([count[x] for x in lines], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
                         names=["h1", "h2", "copies", "bands"])
 
-    each = docs.select(text).mapInArrow(run, "h1 bigint, h2 bigint, copies bigint, bands array<bigint>")
+    each = docs.select(text).mapInArrow(tidy(run), "h1 bigint, h2 bigint, copies bigint, bands array<bigint>")
     return each.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.first("bands").alias("bands"))
 
 
@@ -279,7 +279,7 @@ def normal_lines(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lines, pa.string()), pa.array(n, pa.int32())], names=[*b.schema.names, "n"])
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
-    return texts.mapInArrow(run, f"{head}, n int")
+    return texts.mapInArrow(tidy(run), f"{head}, n int")
 
 
 def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
@@ -302,7 +302,7 @@ def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, simi
 
     pairs = named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2").distinct()
     both = pairs.join(mine, "id").join(other, "id2").select("id", "id2", "a", "b")
-    star = both.mapInArrow(jaccard_batches(similarity), "id string, id2 string")
+    star = both.mapInArrow(tidy(jaccard_batches(similarity)), "id string, id2 string")
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     placed = named.select("key", "id").join(rooted.select("id", "root"), "id")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailtriage.session import cut
 
-from .text import free_name, hex16, refuse
+from .text import free_name, hex16, refuse, tidy
 from .union_find import components
 
 PAIRS = 0x5555555555555555
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, keys: list[str], shingle: int = 3, text: str =
     """``keys`` and ``fp`` (signed long) of every row; whole texts. Null or wordless texts have fingerprint 0."""
     part = docs.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1]] + ["fp bigint"])
-    return part.mapInArrow(fingerprint_batches(shingle), schema)
+    return part.mapInArrow(tidy(fingerprint_batches(shingle)), schema)
 
 
 def _bits(value: Column) -> Column:

@@ -31,6 +31,22 @@ def refuse(columns: list[str], own: list[str]) -> None:
         raise ValueError(f"columns {clash} are result columns: rename the input's own first")
 
 
+def tidy(run):
+    """``run`` (an iterator function of Arrow batches), which at its end gives freed memory back: Python workers are kept
+    between tasks and stages, and what one of them holds on to counts against its executor's memory."""
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores until no column of ``taken`` has it (case is ignored, as Spark does)."""
     low = {c.lower() for c in taken}

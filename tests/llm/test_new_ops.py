@@ -290,3 +290,22 @@ def test_lattice_edges(spark):
     assert sorted(map(tuple, none.collect()), key=str) == sorted([(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True)], key=str)
     with pytest.raises(ValueError):
         lattice.near_duplicates(spark.createDataFrame([(1, [1.0])], "kept bigint, embedding array<float>"), id_col="kept")
+
+
+def test_language_stage_makes_its_compressors_once_a_task(monkeypatch):
+    """The pipeline's filter gets Arrow arrays, and its dictionaries are prepared once for all batches of a task."""
+    import pyarrow as pa
+    from pyspark.sql.types import BooleanType
+
+    from mailtriage.llm import langid
+    made, real = [], langid.predictions
+    monkeypatch.setattr(langid, "predictions", lambda *a: made.append(1) or real(*a))
+    known = {"a": b"the cat sat on the mat and the dog ran off " * 9, "b": b"der hund lief weg und die katze sass still " * 9}
+    ok = langid._verdict(known, 0.02, BooleanType()).func
+    out = list(ok(iter([pa.array(["the cat sat on the mat and the dog ran off", None]), pa.array([], pa.string()), pa.array(["1 2 3"])])))
+    assert [x.to_pylist() for x in out] == [[True, False], [], [False]] and len(made) == 1
+
+
+def test_tidy_passes_every_batch():
+    from mailtriage.llm.text import tidy
+    assert list(tidy(lambda it: (x * 2 for x in it))(iter([1, 2, 3]))) == [2, 4, 6]
