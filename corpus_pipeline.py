@@ -6,21 +6,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from mailtriage.llm import langid, line_dedup, mixing, packing, simhash
-from mailtriage.session import checkpoint_dir
+from mailtriage.session import bound_batches, checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    bound_batches(spark)
     return langid.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line repeats."""
+    bound_batches(spark)
     return line_dedup.stage(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, by the operator's contract: 3-word shingles, 3 bits."""
+    bound_batches(spark)
     return simhash.keep_first(docs, shingle=3, max_bits=3)
 
 
@@ -31,6 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: one row per piece."""
+    bound_batches(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
 

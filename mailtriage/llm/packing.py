@@ -279,6 +279,9 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
                     if len(placed) >= 2_000:
                         yield batch(placed)
                         placed = []
+                del data
+                pa.default_memory_pool().release_unused()
+            del b
         placed += bins.close()
         if placed:
             yield batch(placed)

@@ -309,3 +309,38 @@ def test_language_stage_makes_its_compressors_once_a_task(monkeypatch):
 def test_tidy_passes_every_batch():
     from mailtriage.llm.text import tidy
     assert list(tidy(lambda it: (x * 2 for x in it))(iter([1, 2, 3]))) == [2, 4, 6]
+
+
+def batch_sizes(spark, stage):
+    """The sizes in bytes of the Arrow batches that the pipeline's packing stage reads from one partition of 20 MB."""
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    return [x["length"] for x in stage(spark, docs, "").select("length").collect()]
+
+
+def test_packing_stage_reads_bounded_batches(spark, monkeypatch):
+    """A task's batch is bounded in bytes, whatever its rows hold, unless the session has a bound of its own."""
+    import corpus_pipeline
+
+    from mailtriage.llm import packing
+    from mailtriage.session import BATCH_BYTES, BATCH_SETTING
+
+    def sizes(*_):
+        def run(batches):
+            import pyarrow as pa
+            for b in batches:
+                names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes if n == "length" else 0], pa.int64()) for n in names], names=names)
+        return run
+
+    monkeypatch.setattr(packing, "_pack", sizes)
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        got = batch_sizes(spark, corpus_pipeline.pack)
+        assert sum(got) > 4000 * 5000 and max(got) < BATCH_BYTES + 20_000
+        spark.conf.set(BATCH_SETTING, str(8 << 20))
+        assert BATCH_BYTES + 20_000 < max(batch_sizes(spark, corpus_pipeline.pack)) < (8 << 20) + 20_000
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(BATCH_SETTING, before)
