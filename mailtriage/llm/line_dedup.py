@@ -1,50 +1,84 @@
 """Fuzzy line deduplication by MinHash.
 
 A line's shingles are all runs of ``WIDTH`` characters (lower case, white space as one blank), in any script; a shorter
-line is its own shingle. The signature has ``BANDS * ROWS`` values, each the smallest of a hash of its own over the
-shingles (32 bits). Lines that agree in a band share a bucket.
+line is its own shingle. Each shingle has one 64-bit hash. The hashes' range is cut into ``BANDS`` equal parts; a band's
+key is made of the ``ROWS`` smallest hashes of its part (fewer, if the line has no more there; no key, if it has none).
+Lines that agree in a band share a bucket.
 
 In a bucket, every line is first compared with the bucket's most frequent line (a star, linear in the bucket).
 The exact Jaccard index of the shingle sets decides. Union-find joins the links. Where lines of one bucket are
 still in different components, those outside its largest component are compared, again exactly, with all others of the
-bucket: a task multiplies the incidence matrices of bounded chunks of lines and returns which components touch, so no
-pair leaves a task and no link inside a bucket is lost. Of each component one line stays: the first by doc_id and place.
-
-With similarity 0.8 two lines share one of 8 bands of 4 with probability 0.985, with 0.85 0.997,
-with 0.9 0.9999. Spark deals, joins and groups; signatures and set comparisons are numpy over Arrow batches (the form in
-DataFrame functions alone took over 1,000 CPU seconds a GB, see README). Copies of a line are collapsed within
-each batch and by partial aggregation. Most lines have no partner; a bit filter of fixed size lets the later passes
-skip nearly all of them (it only ever lets too much through).
+bucket: pair by pair in small buckets, by the lines' rarest shingles in larger ones, so no link inside a bucket is lost.
+Of each component one line stays: the first by doc_id and place.
+
+The smallest hashes of the union of two sets lie in both of them as often as the minima of that many independent hashes
+agree, or oftener where a part holds fewer: with similarity 0.8 two lines share one of 8 bands of 4 with probability
+0.985 at least, with 0.9 0.9999 (README). All of it is DataFrame functions. Copies of a line are collapsed by partial
+aggregation. Most lines have no partner; a bit filter of fixed size lets the later passes skip nearly all of them (it
+only ever lets too much through).
 """
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from mailtriage.session import cut
 
-from .text import SPACE, SPACE_CHARS, free_name, hex16, read, tidy
+from .text import SPACE, SPACE_CHARS, free_name, hex16, read
 from .union_find import components
 
 SIMILARITY, WIDTH, BANDS, ROWS = 0.8, 12, 8, 4
 #: Longs of the bit filter: 1 MB, whatever the input.
 FILTER_LONGS = 1 << 17
-#: Lines of a chunk where lines of one bucket meet, characters of a block of signatures, columns of an incidence block.
-CHUNK, BLOCK, COLUMNS = 512, 200_000, 4096
+#: Lines of the largest bucket whose lines meet pair by pair; larger ones meet by their rarest shingles.
+CHUNK = 32
 
 
-def normal(line: str) -> str:
+def normal(line: Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends."""
-    return RUNS.sub(" ", line).strip(" ").lower()
+    other = [F.contains(line, F.lit(x)) for x in ("  ", *SPACE_CHARS[1:])]  # few lines have any; searching is cheaper than replacing
+    return F.lower(F.btrim(F.when(reduce(or_, other), F.regexp_replace(line, SPACE, " ")).otherwise(line), F.lit(" ")))
 
 
-RUNS = re.compile(f"[{SPACE_CHARS}]{{2,}}|[{SPACE_CHARS[1:]}]")
+def shingles(line: Column) -> Column:
+    """Array of the 64-bit hashes of all shingles of a normal line, repeats included."""
+    # four bytes a character: every shingle is cut out by its place
+    each = lambda u: F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - 4 * WIDTH + 1, F.lit(1)), F.lit(4)),
+                                 lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * WIDTH))))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), each), F.lit(0))
 
 
+#: The first hashes of the bands' parts, but for the first band's.
+STARTS = [(b << 64) // BANDS - (1 << 63) for b in range(1, BANDS)]
+
+
+def parts(s: str) -> Column:
+    """The first ``2 * ROWS`` hashes of each band's part, from column ``s`` of sorted hashes with a mark at each part's start."""
+    marks = [F.lit(0), *[F.array_position(s, F.lit(x)).cast("int") for x in STARTS], F.size(s) + 1]
+    return F.array(*[F.slice(s, before + 1, F.least(after - before - 1, F.lit(2 * ROWS))) for before, after in zip(marks, marks[1:])])
+
+
+def with_bands(lines: DataFrame) -> DataFrame:
+    """``lines(.., line)`` of normal lines with the keys of its bands, b0, b1, .., instead; null where a part has no hash."""
+    rest = [c for c in lines.columns if c != "line"]
+    marked = F.concat(shingles(F.col("line")), F.array(*[F.lit(x) for x in STARTS]))
+    cut_up = lines.select(*rest, F.sort_array(marked).alias("s")).select(*rest, "s", parts("s").alias("parts"))
+    rising = lambda p: reduce(and_, [F.get(p, F.lit(k)) < F.get(p, F.lit(k + 1)) for k in range(ROWS - 1)])
+    different = F.transform("parts", lambda p: F.when(rising(p), p).otherwise(F.array_distinct(p)))
+    each = cut_up.select(*rest, "s", "parts", different.alias("few"))
+    # a line that repeats itself may have too few different hashes among a part's first: all its repeats go
+    same = F.exists(F.zip_with("parts", "few", lambda p, d: (F.size(p) == 2 * ROWS) & (F.size(d) < ROWS)), lambda x: x)
+    once = each.select(*rest, "few", F.when(same, F.array_distinct("s")).alias("d"))
+    full = F.when(F.col("d").isNull(), F.col("few")).otherwise(parts("d"))
+    keys = F.transform(full, lambda p, b: F.when(F.size(p) > 0, F.xxhash64(b, F.slice(p, 1, ROWS))))
+    return once.select(*rest, keys.alias("keys")).select(*rest, *[F.get("keys", F.lit(b)).alias(f"b{b}") for b in range(BANDS)])
+
+
+# The same for a few lines in numpy, with independent hashes instead of parts of one hash's range.
+
 def shingle_hashes(lines: list[str]) -> tuple["np.ndarray", "np.ndarray"]:
     """64-bit hashes of all shingles of normal lines, and where each line's begin."""
     import numpy as np
@@ -96,23 +130,6 @@ def shingle_set(normal_line: str) -> "np.ndarray":
     return np.unique(shingle_hashes([normal_line])[0])
 
 
-def blocks(lines: list[str]) -> Iterator[list[str]]:
-    """Lines in stretches of about ``BLOCK`` characters."""
-    out, n = [], 0
-    for x in lines:
-        out.append(x)
-        n += len(x)
-        if n >= BLOCK:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
-
-
-def has_word(line: str) -> bool:
-    return bool(line.strip(SPACE_CHARS))
-
-
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, th, pos, line, h1, h2) of every line with a word; th is the text's hash, h1 and h2 the line's identity."""
     lines = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
@@ -121,28 +138,9 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, copies, bands) of each distinct line with a word; h1 and h2 as in ``occurrences``."""
-    seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1))).first()[0] & (1 << 64) - 1
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                count = Counter(x for t in batch.column(0).slice(at, 500).to_pylist() if t for x in t.split("\n") if has_word(x))
-                for lines in blocks(list(count)):
-                    raw = [x.encode() for x in lines]
-                    bands = band_keys(*shingle_hashes([normal(x) for x in lines]))
-                    ids = [pa.array(np.array([digest(x, k) for x in raw], np.uint64).view(np.int64)) for k in (42, seed)]
-                    ends = pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [*ids, pa.array([count[x] for x in lines], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
-                        names=["h1", "h2", "copies", "bands"])
-
-    each = docs.select(text).mapInArrow(tidy(run), "h1 bigint, h2 bigint, copies bigint, bands array<bigint>")
-    return each.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.first("bands").alias("bands"))
+    """(h1, h2, copies, b0, b1, ..) of each distinct line with a word; h1 and h2 as in ``occurrences``."""
+    lines = with_bands(occurrences(docs, text).select("h1", "h2", normal(F.col("line")).alias("line")))
+    return lines.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *[F.first(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
 
 
 def bit_filter(keys: DataFrame) -> Column:
@@ -157,25 +155,18 @@ def bit_filter(keys: DataFrame) -> Column:
     return F.getbit(F.get(one.scalar(), word), bit) == 1
 
 
-def jaccard_batches(similarity: float):
-    """Arrow batches (id, id2, .., a, b) -> the rows whose lines a and b are similar, without the lines."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def pieces(x: str) -> set:
-            return {x[i:i + WIDTH] for i in range(max(1, len(x) - WIDTH + 1))}
+def similar(a: Column, n: Column, b: Column, n2: Column, similarity: float) -> Column:
+    """Whether the Jaccard index of two normal lines, which have n and n2 different shingles, is ``similarity`` or more."""
+    both = F.size(F.array_intersect(shingles(a), shingles(b)))
+    return both * F.lit(1 + similarity) >= F.lit(similarity) * (n + n2) - F.lit(1e-9)
 
-        for batch in batches:
-            last, mine, keep = None, None, []
-            for a, b in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if b != last:
-                    last, mine = b, pieces(b)
-                other = pieces(a)
-                both = len(mine & other)
-                keep.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
-            yield batch.select(list(range(batch.num_columns - 2))).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(id, id2)`` whose lines in ``texts(id, line, n)`` are similar; each is compared once."""
+    mine = texts.select("id", F.col("line").alias("a"), "n")
+    other = texts.select(F.col("id").alias("id2"), F.col("line").alias("b"), F.col("n").alias("n2"))
+    both = pairs.distinct().join(mine, "id").join(other, "id2")
+    return both.where(similar(F.col("a"), F.col("n"), F.col("b"), F.col("n2"), similarity)).select("id", "id2")
 
 
 def near_sizes(a: Column, b: Column, similarity: float) -> Column:
@@ -192,14 +183,16 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = cut(signatures(docs), "bands")
     # a bucket's rows meet once; lines that share a bucket with another line stay
     bucket = Window.partitionBy("key")
-    inside = (members.select("h1", "h2", F.explode("bands").alias("key"))
-              .select("key", "h1", "h2", F.count("*").over(bucket).alias("n")).where("n > 1").drop("n"))
-    inside = cut(inside, "buckets")
-    ids = inside.select("h1", "h2").distinct()
-    ids = cut(ids.join(members.select("h1", "h2", "copies"), ["h1", "h2"]), "ids")
+    keys = F.array_compact(F.array(*[F.col(f"b{b}") for b in range(BANDS)]))
+    inside = (members.select("h1", F.explode(keys).alias("key"))
+              .select("key", "h1", F.count("*").over(bucket).alias("n")).where("n > 1").drop("n"))
+    inside = cut(inside, "buckets")  # by h1 alone: lines that share it come along, and are compared as the others are
+    ids = inside.select("h1").distinct()
+    ids = cut(ids.join(members.select("h1", "h2", "copies"), "h1"), "ids")
     repeated = members.where("copies > 1").select("h1", "h2")
     passes = bit_filter(ids.select("h1").unionAll(repeated.select("h1")))
-    relevant = cut(lines.where(passes), "relevant")
+    compared = bit_filter(ids.select("h1"))  # of the others, only the places are asked for
+    relevant = cut(lines.where(passes).withColumn("line", F.when(compared, F.col("line"))), "relevant")
     same = line_components(relevant, ids, inside, similarity)
     groups = repeated.join(same, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     occ = relevant.drop("line").join(cut(groups.unionByName(same), "groups"), ["h1", "h2"]).select("doc_id", "th", "pos", "g1", "g2")
@@ -209,100 +202,78 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed"))
 
 
+def rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
+    """``lines(id, n, set)`` -> (id, n, t, at): the rarest elements of each set, as many as a similar set can't all miss.
+
+    Two sets as similar as ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` elements in any common
+    order (n: a set's size, at: an element's place from 1). Rarest first, elements of a frequent passage come last. An
+    element that only one set has takes a place but gives no row.
+    """
+    each = lines.select("id", "n", F.explode("set").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(often, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    placed = ranked.select("id", "n", (F.col("n") - F.size("s") + 1).alias("before"), F.posexplode(F.col("s")["t"]).alias("at", "t"))
+    placed = placed.select("id", "n", "t", (F.col("at") + F.col("before")).alias("at"))
+    return placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1)
+
+
+def room(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """Whether two sets can be as similar if their first common element has these places: the overlap is at most that
+    element and what follows it in either set."""
+    return 1 + F.least(n - at, n2 - at2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - F.lit(1e-9)
+
+
 def touching(rows: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
     """``rows(key, id, root, line, probe)`` -> (a, b): roots that have similar lines in one bucket (key).
 
-    Lines marked ``probe`` are compared with all lines of their bucket that have another root. Small buckets share a
-    task; the lines of a larger one are dealt into chunks, and every chunk of probes meets every chunk of lines in a task
-    of its own. A task returns each pair of roots once.
+    Lines marked ``probe`` are compared with all lines of their bucket that have another root. In buckets of ``chunk``
+    lines at most, all of them meet. In a larger one, lines meet that share one of their rarest shingles, which similar
+    lines do. Each pair of roots is returned once.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if("probe").alias("p"))
-    sizes = cut(sizes.where("p > 0").withColumn("cm", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
-                .withColumn("cp", F.ceil(F.col("p") / F.lit(chunk)).cast("int")), "sizes")
-    total = sizes.where("cm = 1").agg(F.sum("m")).first()[0] or 0
-    t = rows.join(sizes.drop("m", "p"), "key")
-    cols = ["key", "id", "root", "line"]
-    small = t.where("cm = 1").select(F.pmod(F.xxhash64("key"), F.lit(max(1, total // (2 * chunk)))).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
-                                     *cols, F.col("probe").alias("left"), F.lit(True).alias("right"))
-    large = t.where("cm > 1")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    probes = large.where("probe").select(F.col("key").alias("g"), mine("cp").alias("i"), every("cm").alias("j"), *cols, F.lit(True).alias("left"), F.lit(False).alias("right"))
-    others = large.select(F.col("key").alias("g"), every("cp").alias("i"), mine("cm").alias("j"), *cols, F.lit(False).alias("left"), F.lit(True).alias("right"))
-
-    def compare(t):
-        import numpy as np
-        import pyarrow as pa
-        key, left, right = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "left", "right"))
-        names, root = np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)
-        lines, known, found = t["line"].to_pylist(), {}, set()
-        order = np.argsort(key, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            rows_l, rows_r = at[left[at]], at[right[at]]
-            if len(rows_l) == 0 or len(np.unique(root[at])) < 2:
-                continue
-            for k in at:
-                if lines[k] not in known:
-                    known[lines[k]] = shingle_set(lines[k])
-            sets = [known[lines[k]] for k in at]
-            _, col = np.unique(np.concatenate(sets), return_inverse=True)
-            n = np.array([len(x) for x in sets])
-            row = np.repeat(np.arange(len(at)), n)
-            place = {k: p for p, k in enumerate(at.tolist())}
-            pl, pr = ([place[k] for k in x.tolist()] for x in (rows_l, rows_r))
-            both = np.zeros((len(pl), len(pr)), np.float32)
-            by_col = np.argsort(col, kind="stable")
-            row, col = row[by_col], col[by_col]
-            cuts = np.searchsorted(col, np.arange(0, col[-1] + 1 + COLUMNS, COLUMNS))
-            for c, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                m = np.zeros((len(at), COLUMNS), np.float32)
-                m[row[s:e], col[s:e] - c * COLUMNS] = 1
-                both += m[pl] @ m[pr].T
-            near = both >= similarity * (n[pl][:, None] + n[pr][None, :] - both) - 1e-4
-            x, y = np.nonzero(near & (root[rows_l][:, None] != root[rows_r][None, :]))
-            x, y = root[rows_l][x], root[rows_r][y]
-            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        pairs = sorted(found)
-        return pa.table({"a": pa.array([names[x] for x, _ in pairs], pa.string()), "b": pa.array([names[y] for _, y in pairs], pa.string())})
-
-    met = small.unionByName(probes).unionByName(others).groupBy("g", "i", "j").applyInArrow(compare, "a string, b string")
-    return met.distinct()
-
-
-def normal_lines(texts: DataFrame) -> DataFrame:
-    """``texts(.., line)`` with normal lines, and ``n``: the number of different shingles."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        for b in batches:
-            lines = [normal(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            n = [len({x[i:i + WIDTH] for i in range(max(1, len(x) - WIDTH + 1))}) for x in lines]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lines, pa.string()), pa.array(n, pa.int32())], names=[*b.schema.names, "n"])
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
-    return texts.mapInArrow(tidy(run), f"{head}, n int")
+    texts = rows.groupBy("id").agg(F.first("root").alias("root"), F.first("line").alias("line"))
+    texts = texts.select("*", F.array_distinct(shingles(F.col("line"))).alias("set"))
+    texts = cut(texts.select("id", "root", "line", F.size("set").alias("n")), "mixed")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if("probe").alias("p")).where("p > 0").drop("p")
+    met = cut(rows.select("key", "id", "probe").join(sizes, "key").join(texts.drop("line"), "id"), "met")
+    apart = (F.col("root") != F.col("root2")) & near_sizes(F.col("n"), F.col("n2"), similarity)
+    ordered = [F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")]
+
+    few = met.where(F.col("m") <= chunk)
+    others = few.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    pairs = few.where("probe").join(others, "key").where(apart).select(*ordered)
+
+    many = met.where(F.col("m") > chunk).groupBy("id", "root").agg(
+        F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("probe"), F.col("key"))).alias("probed"))
+    sets = texts.join(many.select("id"), "id").select("id", "n", F.array_distinct(shingles(F.col("line"))).alias("set"))
+    prefixes = cut(rare_prefixes(sets, similarity).join(many, "id"), "prefixes")
+    again = prefixes.select("t", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at", "keys")])
+    enough = room(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)
+    rare = (prefixes.where(F.size("probed") > 0).join(again, "t").where(apart).where(enough)
+            .where(F.arrays_overlap("probed", "keys2")).select(*ordered))
+
+    links = verified(cut(pairs.unionByName(rare).distinct(), "pairs"), texts, similarity)
+    a, b = (texts.select(F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("id", "ra"), ("id2", "rb")))
+    return links.join(a, "id").join(b, "id2").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def line_components(relevant: DataFrame, ids: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
     """(h1, h2, g1, g2): the representative of every line of a component of two or more.
 
-    ``relevant`` holds the lines' texts, ``ids(h1, h2, copies)`` the lines in buckets, ``inside(key, h1, h2)`` the buckets.
+    ``relevant`` holds the lines' texts, ``ids(h1, h2, copies)`` the lines in buckets, ``inside(key, h1)`` the buckets.
     """
     # copies collapse before the shuffle: a line that is very frequent is one row per task
-    text = relevant.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(ids, ["h1", "h2"])
-    texts = text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"), "line")
-    texts = cut(normal_lines(texts), "texts")
+    text = relevant.where("line is not null").groupBy("h1", "h2").agg(F.first("line").alias("line")).join(ids, ["h1", "h2"])
+    texts = text.select("h1", "h2", "copies", F.concat(hex16(F.col("h1")), hex16(F.col("h2"))).alias("id"), normal(F.col("line")).alias("line"))
+    texts = texts.select("*", F.array_distinct(shingles(F.col("line"))).alias("set"))
+    texts = cut(texts.withColumn("n", F.size("set")).drop("set"), "texts")
     names = texts.select("h1", "h2", "id", "copies", "n")
-    named = cut(inside.join(names, ["h1", "h2"]).select("key", "id", "copies", "n"), "named")
+    named = cut(inside.join(names, "h1").select("key", "id", "copies", "n"), "named")
     rank = F.struct("copies", "id")
     heads = named.groupBy("key").agg(F.max_by(F.struct("id", "n"), rank).alias("head")).select(
         "key", F.col("head.id").alias("id2"), F.col("head.n").alias("n2"))
     sized = near_sizes(F.col("n"), F.col("n2"), similarity)
-    mine = texts.select("id", F.col("line").alias("a"))
-    other = texts.select(F.col("id").alias("id2"), F.col("line").alias("b"))
-
-    pairs = named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2").distinct()
-    both = pairs.join(mine, "id").join(other, "id2").select("id", "id2", "a", "b")
-    star = both.mapInArrow(tidy(jaccard_batches(similarity)), "id string, id2 string")
+    pairs = named.join(heads, "key").where("id <> id2").where(sized).select("id", "id2")
+    star = verified(pairs, texts, similarity)
     first = components(star.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     rooted = cut(names.select("h1", "h2", "id").join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     placed = named.select("key", "id").join(rooted.select("id", "root"), "id")
@@ -330,10 +301,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     gone = removed_lines(docs.select("doc_id", F.col(text).alias("text")), similarity)
     h, r, d, t = (free_name(cols, c) for c in ("th", "removed", "__d", "__t"))
     gone = cut(gone.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("removed").alias(r)), "removed")
-    out = docs.withColumn(h, F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    out = docs.withColumn(h, F.xxhash64(text)).join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
     lines = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(r))
-    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    # the lines are an outer lambda's variable, so that a text is split once and not for each of its lines
+    rest = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")), F.lit(0))
     new = F.when(F.col(r).isNull(), F.col(text)).otherwise(rest)
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in cols], F.coalesce(F.size(r), F.lit(0)).alias("n_removed"))
 

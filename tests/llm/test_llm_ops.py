@@ -217,6 +217,57 @@ def test_line_shingles(spark, make):
         assert (h[starts[k]:end] == line_dedup.shingle_hashes([text])[0]).all()
 
 
+def test_line_dedup_native(spark, make):
+    """op3 runs no Python on the executors: no plan of it, the written ones included, has a Python node."""
+    plans, real = [], line_dedup.cut
+
+    def spy(df, name="t", schema=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, schema)
+    rows = [(i, f"line {i % 7} of a text that is nearly the same {i % 3}\nanother line, of its own {i * 7919}") for i in range(30)]
+    line_dedup.cut = spy
+    try:
+        out = line_dedup.dedup_lines(make(rows))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert out.count() == len(rows)
+    finally:
+        line_dedup.cut = real
+    assert len(plans) > 10
+    assert not [p for p in plans if re.search("Python|Pandas|InArrow", p)]
+
+
+def test_native_bands(spark):
+    """Band keys of DataFrame functions: the smallest different hashes of each part, and lines meet as often as they should."""
+    r = random.Random(3)
+    lines = [rng_text(r, 40), "ab" * 100, "x", rng_text(r, 6) * 30, "漢字かな" * 40, "a long passage of words " * 9 + rng_text(r, 30)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").repartition(1)
+    sets = {x["i"]: x["h"] for x in df.select("i", line_dedup.shingles(F.col("line")).alias("h")).collect()}
+    got = {x["i"]: [x[f"b{b}"] for b in range(8)] for x in line_dedup.with_bands(df).collect()}
+    want = []
+    for i, x in enumerate(lines):
+        assert len(set(sets[i])) == len(plain_shingles(x))
+        for b in range(8):
+            part = sorted(h for h in set(sets[i]) if (h + (1 << 63)) >> 61 == b)[:4]
+            want.append((i, b, part))
+    keys = spark.createDataFrame(want, "i int, b int, part array<bigint>").select("i", "b", F.xxhash64("b", "part").alias("k"), F.size("part").alias("n"))
+    for x in keys.collect():
+        assert got[x["i"]][x["b"]] == (x["k"] if x["n"] else None)
+
+    def changed(s):
+        k = r.randrange(len(s))
+        return s[:k] + "#" + s[k + 1:]
+    pairs = []
+    for i in range(600):
+        a = rng_text(r, 30)[:r.randrange(60, 180)]
+        b = changed(a)
+        if len(plain_shingles(a) & plain_shingles(b)) >= 0.8 * len(plain_shingles(a) | plain_shingles(b)):
+            pairs += [(2 * i, a), (2 * i + 1, b)]
+    met = line_dedup.with_bands(spark.createDataFrame(pairs, "i int, line string")).collect()
+    keys = {x["i"]: {(b, x[f"b{b}"]) for b in range(8) if x[f"b{b}"] is not None} for x in met}
+    n = [bool(keys[i] & keys[i + 1]) for i in keys if i % 2 == 0]
+    assert len(n) > 100 and sum(n) >= 0.97 * len(n)
+
+
 def test_line_dedup_odd(spark, make):
     out = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(out) == len(ODD)
