@@ -69,6 +69,17 @@ def test_arrays_of_both_blocks(spark, repeat):
     assert got["b"]["_s_idx"] == [0] and got["b"]["_n_idx"] == []
 
 
+def test_norm_and_tokens_once_a_row(spark):
+    """The norm isn't summed again for each of a mail's terms, and a subject is split into tokens once."""
+    df = spark.createDataFrame([("a", "red red blue", "blue")], "id string, subject string, snippet string")
+    v = FE.Vocabulary(["blue", "red"], [2.0, 1.5])
+    out = FE.tfidf_arrays(df, {"_s": (FE.subject_terms(), v, 0), "_n": (FE.snippet_terms(), v, 2)})
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("aggregate(") == 2 and "/ SQRT(" not in text
+    assert text.count("regexp_extract_all(lower(coalesce(subject") == 1
+    assert df.select(FE.subject_terms()).first()[0] == ["red", "red", "blue", "red red", "red blue"]
+
+
 def test_a_feed_has_files_by_its_size(spark, tmp_path, monkeypatch):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"), F.lit("src1").alias("source"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
